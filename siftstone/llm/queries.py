@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from siftstone.llm import ann, chat, mixing, packing, pii, quality_rules, simhash, token_cache
+from siftstone.llm import ann, chat, mixing, packing, pii, quality_rules, quality_zstd, simhash, token_cache, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_ann": ann.op2_ann,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_quality": quality_zstd.op4_quality,
     "op5_token_counts": token_cache.op5_tokens,
     "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
