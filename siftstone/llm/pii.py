@@ -2,7 +2,7 @@
 
 Entities are found by one pattern: e-mail addresses, IPv4 addresses, numbers of 13 to 19
 digits (cards, accounts), telephone and social security numbers, IBANs, secrets (values
-after ``token =`` and the like, long hexadecimal strings) and names after a title.  Each
+after ``token =`` and the like, access keys, long hexadecimal strings) and names after a title.  Each
 is replaced in place by a surrogate that depends on a key and the entity alone, so an
 entity has the same surrogate everywhere without a table of all entities:
 
@@ -44,10 +44,14 @@ _LONG = r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)"
 _PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
-_SECRET = r"(?<=(?:token|secret|password|passwd|api_key|apikey)\"? {0,2}[=:] {0,2}[\"'])[^\"'\s]{8,256}|\b[0-9a-f]{32,128}\b"
+_PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|sk-)"
+_SECRET = (
+    r"(?<=(?i:token|secret|passw(?:or)?d|pwd|api_?key|access_?key)[\"']? {0,2}[=:] {0,2}[\"']?)(?=[^\s\"']{0,255}\d)[^\s\"',;=:][^\s\"',;]{6,254}[A-Za-z0-9+/=]"
+    rf"|\b{_PREFIX}[A-Za-z0-9]{{16,80}}\b|\b[0-9a-f]{{32,128}}\b"
+)
 PATTERN = "|".join([_EMAIL, _SECRET, _IP, _PHONE, _SSN, _IBAN, _LONG, _NAME])
 #: A text without any of these has no entity.
-_HINT = r"[0-9@=:]|" + _TITLE
+_HINT = r"[0-9@=:]|" + _PREFIX + "|" + _TITLE
 
 GIVEN = {
     ("m", "latin"): ["Adam", "Bruno", "Carlos", "David", "Emil", "Felix", "Gustav", "Henri", "Ivan", "Jonas", "Karl", "Louis"],
@@ -238,7 +242,9 @@ def surrogate(e: Column, key: str = DEFAULT_KEY, attempt: Column | None = None)
     """The replacement of one entity."""
     attempt = (F.lit(0) if attempt is None else attempt).cast("string")
     k = kind(e)
-    plain = _with(_keyed(key, F.lit("secret"), canonical(e), attempt), lambda d: _substitute(e, d))
+    sign = F.regexp_extract(e, "^" + _PREFIX, 0)
+    rest = F.substr(e, F.length(sign) + 1, F.length(e))
+    plain = F.concat(sign, _with(_keyed(key, F.lit("secret"), canonical(e), attempt), lambda d: _substitute(rest, d)))
     iban = F.concat(F.substring(e, 1, 2), _with(_keyed(key, F.lit("iban"), canonical(e), attempt), lambda d: _substitute(F.substr(e, F.lit(3), F.length(e)), d)))
     return (
         F.when(k == "email", _email_surrogate(key, e, attempt)).when(k == "name", _name_surrogate(key, e, attempt)).when(k == "ip", _ip_surrogate(key, e))
