@@ -87,7 +87,8 @@ def _keys(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _cold_links(index: DataFrame, probes: DataFrame) -> DataFrame:
-    a, b = probes.alias("a"), index.alias("b")
+    # Merge joins are asked for wherever a side is exploded: its estimated size isn't.
+    a, b = probes.hint("merge").alias("a"), index.alias("b")
     third = F.bit_count(F.shiftrightunsigned(F.col("a.rest").bitwiseXOR(F.col("b.rest")), 16))
     whole = F.bit_count(F.col("a.rest").bitwiseXOR(F.col("b.rest")))
     return a.join(
@@ -124,7 +125,7 @@ def _hot_links(index: DataFrame, probes: DataFrame) -> DataFrame:
     side = hubs(probes.where("flips = 1"), near)
     heads = centre.groupBy("key", "x").agg(F.min("fp").alias("u"))
     rows = centre.unionByName(ring).unionByName(side).select("key", "x", F.col("fp").alias("v"))
-    return rows.join(heads, ["key", "x"]).where("u != v").select("u", "v")
+    return rows.hint("merge").join(heads, ["key", "x"]).where("u != v").select("u", "v")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def links(nodes: DataFrame) -> DataFrame:
     # Probe sides are counted only where the index side repeats.
     cost = (
         probes.select("key")
-        .join(busy, "key")
+        .join(busy.hint("merge"), "key")
         .groupBy("key")
         .agg((F.count(F.lit(1)) * F.first("n")).alias("cost"))
         .where(F.col("cost") > HOT_PAIRS)
