@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm.common import cut, table
+from siftstone.llm.common import table
 from siftstone.llm.mixing import mix_stage
 from siftstone.llm.packing import pack_stage
 from siftstone.llm.pii import pii_stage
 from siftstone.llm.quality_rules import rules_stage
 from siftstone.llm.simhash import dedup_stage
+from siftstone.sources.scratch import cut
 
 STAGES = [
     ("quality rules", rules_stage),

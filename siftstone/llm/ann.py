@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import cut, table
+from siftstone.llm.common import table
+from siftstone.sources.scratch import cut
 
 BITS = 256
 #: Standard errors in a bound: an estimate misses by more in under two of 1,000 cases.

@@ -1,11 +1,8 @@
-"""Helpers shared by the operators: table access, shared scratch tables, hash folds."""
+"""Helpers shared by the operators: table access, hash folds, labelled samples."""
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,64 +21,6 @@ def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or the checkpoint folder
-    that the context already has.  Only where neither is set (tests, one machine) a
-    temporary folder is made."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        at = "file://" + tempfile.mkdtemp(prefix="siftstone-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(at)
-    return at
-
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table through Spark's file system, whatever store it is in."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended before the interpreter
-            return
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/siftstone/{tag}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table written in the shared folder: it cuts the lineage, survives lost
-    executors, is computed once, and is read back by column."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._siftstone_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the table that :func:`cut` wrote, once nothing reads it any more."""
-    path = getattr(df, "_siftstone_path", None)
-    if path:
-        remove(df.sparkSession, path)
-
-
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id falls in fold 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import cut, table
+from siftstone.llm.common import table
+from siftstone.sources.scratch import cut
 
 #: No target is above this many times its source's size.
 MAX_REPEATS = 3

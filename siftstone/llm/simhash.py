@@ -21,7 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_batches, cut, drop, table
+from siftstone.llm.common import arrow_batches, table
+from siftstone.operators.graph import components
+from siftstone.sources.scratch import cut
 
 #: A key with more candidate pairs than this is resolved through hubs.
 HOT_PAIRS = 4096
@@ -150,42 +152,6 @@ def links(nodes: DataFrame) -> DataFrame:
     return cold.unionByName(warm)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an undirected edge list (u, v of type long).
-
-    Random-order contraction: in each round every node hooks to the neighbour (or itself)
-    whose keyed hash is lowest, edges are renamed to the hooked nodes, loops and repeats
-    go.  A constant share of the nodes goes in each round, so rounds grow with the
-    logarithm of the largest component, whatever its shape.  Each round's tables are
-    written in the shared folder; nothing is collected but whether edges are left.
-    """
-    edges = cut(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges")
-    names = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node")), "cc-names")
-    turn = 0
-    while not edges.isEmpty():
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("n"))
-        hook = cut(
-            both.groupBy("u").agg(F.min(rank("v")).alias("best")).select("u", F.least(F.col("best"), rank("u")).getField("n").alias("to")),
-            "cc-hook",
-        )
-        left = edges.join(hook, "u").select(F.col("to").alias("a"), F.col("v"))
-        both_ends = left.join(hook.withColumnRenamed("u", "v").withColumnRenamed("to", "b"), "v")
-        fresh = cut(
-            both_ends.where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(),
-            "cc-edges",
-        )
-        moved = cut(
-            names.join(hook.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")),
-            "cc-names",
-        )
-        for old in (edges, names, hook):
-            drop(old)
-        edges, names, turn = fresh, moved, turn + 1
-    drop(edges)
-    return names
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): class of each document, by its smallest doc_id.
 

@@ -17,7 +17,8 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_batches, cut, scratch_path, table
+from siftstone.llm.common import arrow_batches, table
+from siftstone.sources.scratch import cut, scratch_path
 
 VOCABULARY = "piece_bpe_32k.model"
 SCHEMA = "version string, digest binary, n_tokens long"
