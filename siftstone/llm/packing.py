@@ -10,6 +10,7 @@ as bins may be open the longest come first: that needs no more open bins and los
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,58 +21,124 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siftstone.llm.common import arrow_batches, cut, table
+from siftstone.llm.common import arrow_batches, table
+from siftstone.sources.scratch import cut
 
 VOCABULARY = "word_bpe_49k.json"
 SIZE = 2048
 OPEN_BINS = 1024
 #: Pieces in a packing group: large enough that the bins left open at its end are few.
 GROUP = 100_000
-#: Remembered chunks in one Python worker; beyond it the memory starts afresh.
+#: Remembered chunks in each of the two generations of a Python worker's memory.
 MEMORY = 400_000
+#: Characters of text that are encoded together, about.
+TOGETHER = 2_000_000
+_JOINED = 2000
 
-_loaded: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
+#: Controls that Python takes for white space and the vocabulary's splitter doesn't.
+_CONTROLS = re.compile("[\x1c-\x1f]")
+#: A stop after a letter or digit and before white space: the splitter parts it there.
+_STOP = re.compile(r"(?<=[^\W_])([.,])(?!\S)")
+
+_loaded: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    """Ids of a text as little-endian bytes.  The vocabulary's normalizer turns white space
-    into spaces and its splitter never joins across them, so the ids of a text are those
-    of its chunks between white space, which repeat and are remembered."""
+    """Ids of texts as little-endian bytes.
+
+    The vocabulary's normalizer lower-cases and turns white space into spaces, and its
+    splitter never joins across white space, nor a letter with the stop that follows.  So
+    the ids of a text are those of its chunks, which repeat and are remembered.  Texts
+    beyond Latin-1 are not lower-cased here, since libraries may differ in that.
+    """
 
     def __init__(self, path: str):
-        if path not in _loaded:
-            _loaded[path] = (Tokenizer.from_file(path), {})
-        self.tokenizer, self.known = _loaded[path]
-
-    def learn(self, chunks) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = list(chunks)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        chunks = text.split()
-        known = self.known
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _chunks(self, text: str) -> list[str] | None:
+        if _CONTROLS.search(text):
+            return None
         try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            self.learn(set(chunks))
-            return b"".join([self.known[c] for c in chunks])
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return _STOP.sub(r" \1", text.lower()).split()
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, missing: set[str]) -> None:
+        known, older = self.known, self.older
+        if len(known) > MEMORY:
+            known, older = {}, known
+            self.known, self.older = known, older
+        new = []
+        for c in missing:
+            if c in older:
+                known[c] = older[c]
+            elif c.isascii():
+                new.append(c)
+            else:
+                try:
+                    c.encode("latin-1")
+                    new.append(c)
+                except UnicodeEncodeError:
+                    known[c] = self._whole(c)
+        for at in range(0, len(new), _JOINED):
+            part = new[at : at + _JOINED]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            raw = np.asarray(got.ids, dtype="<u4").tobytes()
+            starts = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(raw) // 4)
+            ends = np.cumsum(np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1)
+            begin = 0
+            for c, end in zip(part, (4 * np.searchsorted(starts, ends)).tolist()):
+                known[c] = raw[begin:end]
+                begin = end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            stop, n = at, 0
+            while stop < len(texts) and (n == 0 or n + len(texts[stop]) <= TOGETHER):
+                n += len(texts[stop]) + 1
+                stop += 1
+            out += self._some(texts[at:stop])
+            at = stop
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        chunks = [self._chunks(t) for t in texts]
+        held, missing = [], set()
+        for words in chunks:
+            got = list(map(self.known.get, words or ()))
+            if None in got:
+                missing.update(c for c, g in zip(words, got) if g is None)
+            held.append(got)
+        if missing:
+            self._learn(missing)
+        out = []
+        for text, words, got in zip(texts, chunks, held):
+            if words is None:
+                out.append(self._whole(text))
+            elif None in got:
+                out.append(b"".join([self.known[c] if g is None else g for c, g in zip(words, got)]))
+            else:
+                out.append(b"".join(got))
+        return out
 
 
 def _pieces(path: str, end: int, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, tail = ChunkEncoder(path), int(end).to_bytes(4, "little")
+        if path not in _loaded:
+            _loaded[path] = ChunkEncoder(path)
+        encoder, tail = _loaded[path], int(end).to_bytes(4, "little")
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = encoder.encode(text or "") + tail
+            for doc_id, ids in zip(pdf["doc_id"], encoder.encode([t or "" for t in pdf["text"]])):
+                ids += tail
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
