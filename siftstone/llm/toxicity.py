@@ -211,27 +211,32 @@ def features(restored: str) -> set[str]:
 
 def fit(sample: list[tuple[str, int]], decoder: Decoder) -> dict:
     """Weights of a ridge logistic model over the features that toxic texts have in surplus."""
-    docs = [features(restore(t, decoder)) for t, _ in sample]
+    docs = [restore(t, decoder) for t, _ in sample]
     y = np.array([v for _, v in sample], dtype=float)
     n1, n0 = y.sum(), len(y) - y.sum()
     if not len(y) or not n1 or not n0:
         return {"weights": {}, "b": float(np.log((n1 + 0.5) / (n0 + 0.5))) if len(y) else -3.0}
-    seen, toxic = Counter(), Counter()
+    # Features are made again in each pass: held for all texts they would fill the driver.
+    toxic = Counter()
     for d, v in zip(docs, y):
-        seen.update(d)
         if v:
-            toxic.update(d)
+            toxic.update(features(d))
+    toxic = Counter({f: n for f, n in toxic.items() if n >= 3})
+    seen = Counter(toxic)
+    for d, v in zip(docs, y):
+        if not v:
+            seen.update(f for f in features(d) if f in toxic)
 
     def surplus(f: str) -> float:
         """Standard errors by which toxic texts have the feature more often than all."""
         share = n1 / len(y)
         return (toxic[f] - seen[f] * share) / np.sqrt(seen[f] * share * (1 - share))
 
-    names = sorted((f for f in toxic if toxic[f] >= 3 and surplus(f) > SURPLUS), key=lambda f: (-surplus(f), f))[:FEATURES]
+    names = sorted((f for f in toxic if surplus(f) > SURPLUS), key=lambda f: (-surplus(f), f))[:FEATURES]
     index = {f: k for k, f in enumerate(names)}
     rows, cols = [], []
     for i, d in enumerate(docs):
-        got = [index[f] for f in d if f in index]
+        got = [index[f] for f in features(d) if f in index]
         rows += [i] * len(got)
         cols += got
     rows, cols = np.array(rows), np.array(cols)
