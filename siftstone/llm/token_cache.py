@@ -82,15 +82,16 @@ def count_tokens(docs: DataFrame, cache: TokenCache, vocabulary: str | None = No
     named = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     keys = cut(named.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "tokens-keys")
     missing = keys.select("digest").distinct().join(cache.counts(version), "digest", "left_anti")
-    # The row that stands for a missing content: its smallest id (null ids sort first).
-    stand = keys.join(missing, "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id")).getField("doc_id").alias("doc_id"))
-    misses = cut(stand, "tokens-misses")
+    # The row that stands for a missing content: its smallest id.  Where only rows without
+    # an id have it, or the row is repeated, one of several equal rows is taken below.
+    same = keys.join(missing, "digest", "left_semi").groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    stand = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n"))
+    misses = cut(same.groupBy("digest").agg(stand.alias("s")).select("digest", "s.doc_id", (F.col("s.none") | (F.col("s.n") > 1)).alias("several")), "tokens-misses")
     if not misses.isEmpty():
-        one = named.join(misses.select("doc_id", "digest").where("doc_id is not null"), ["doc_id", "digest"], "left_semi")
-        texts = one.select("digest", "text")
-        odd = misses.where("doc_id is null")
-        if not odd.isEmpty():  # contents that only or also rows without an id have
-            texts = texts.unionByName(named.where("doc_id is null").join(odd.select("digest"), "digest", "left_semi").select("digest", "text"))
+        texts = named.join(misses.where("not several").select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select("digest", "text")
+        odd = misses.where("several").select("digest")
+        if not odd.isEmpty():
+            texts = texts.unionByName(named.join(odd, "digest", "left_semi").select("digest", "text").dropDuplicates(["digest"]))
         cache.append(texts.mapInPandas(_counter(vocabulary), "digest binary, n_tokens long"), version)
     return keys.join(cache.counts(version), "digest").select("doc_id", "n_bytes", "n_tokens")
 
