@@ -11,6 +11,7 @@ as bins may be open the longest come first: that needs no more open bins and los
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,12 +34,16 @@ GROUP = 100_000
 MEMORY = 400_000
 #: Characters of text that are encoded together, about.
 TOGETHER = 2_000_000
-_JOINED = 2000
-
 #: Controls that Python takes for white space and the vocabulary's splitter doesn't.
 _CONTROLS = re.compile("[\x1c-\x1f]")
-#: A stop after a letter or digit and before white space: the splitter parts it there.
-_STOP = re.compile(r"(?<=[^\W_])([.,])(?!\S)")
+
+def _byte_letters() -> dict[int, str]:
+    """The vocabulary's stand-ins for bytes: printable ones stand for themselves, the
+    others are counted on from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
 
 _loaded: dict[str, ChunkEncoder] = {}
 
@@ -47,15 +52,20 @@ class ChunkEncoder:
     """Ids of texts as little-endian bytes.
 
     The vocabulary's normalizer lower-cases and turns white space into spaces, and its
-    splitter never joins across white space, nor a letter with the stop that follows.  So
-    the ids of a text are those of its chunks, which repeat and are remembered.  Texts
-    beyond Latin-1 are not lower-cased here, since libraries may differ in that.
+    splitter never joins across white space.  So the ids of a text are those of its chunks,
+    which repeat and are remembered.  A chunk of letters alone is one piece to the
+    splitter, so the library's merge model gets it directly; a stop after it is the next piece.
+    All other chunks, and texts beyond Latin-1, which libraries may lower-case and compose
+    in their own ways, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.stops = {c: self._whole(c) for c in ".,"}
 
     def _chunks(self, text: str) -> list[str] | None:
         if _CONTROLS.search(text):
@@ -64,38 +74,42 @@ class ChunkEncoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text.split()
-        return _STOP.sub(r" \1", text.lower()).split()
+        return text.lower().split()
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.merges.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, chunk: str) -> bytes:
+        plain = chunk.isascii()
+        if not plain:
+            try:
+                chunk.encode("latin-1")
+                plain = chunk == chunk.lower()
+            except UnicodeEncodeError:
+                pass
+        if plain and chunk.isalpha() and (chunk.islower() or not chunk.isascii()):
+            return self._word(chunk)
+        stop = self.stops.get(chunk[-1])
+        if plain and stop and chunk[:-1].isalpha() and chunk == chunk.lower():
+            base = self.known.get(chunk[:-1]) or self.older.get(chunk[:-1])
+            if base is None:
+                base = self.known[chunk[:-1]] = self._word(chunk[:-1])
+            return base + stop
+        return self._whole(chunk)
+
     def _learn(self, missing: set[str]) -> None:
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        if len(known) > MEMORY:
-            known, older = {}, known
-            self.known, self.older = known, older
-        new = []
         for c in missing:
-            if c in older:
-                known[c] = older[c]
-            elif c.isascii():
-                new.append(c)
-            else:
-                try:
-                    c.encode("latin-1")
-                    new.append(c)
-                except UnicodeEncodeError:
-                    known[c] = self._whole(c)
-        for at in range(0, len(new), _JOINED):
-            part = new[at : at + _JOINED]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            raw = np.asarray(got.ids, dtype="<u4").tobytes()
-            starts = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(raw) // 4)
-            ends = np.cumsum(np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1)
-            begin = 0
-            for c, end in zip(part, (4 * np.searchsorted(starts, ends)).tolist()):
-                known[c] = raw[begin:end]
-                begin = end
+            got = older.get(c)
+            known[c] = self._ids(c) if got is None else got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
