@@ -51,8 +51,9 @@ _SECRET = (
     rf"|\b{_PREFIX}[A-Za-z0-9]{{16,80}}\b|\b[0-9a-f]{{32,128}}\b"
 )
 PATTERN = "|".join([_EMAIL, _SECRET, _IP, _PHONE, _SSN, _IBAN, _LONG, _NAME])
-#: A text without any of these has no entity.
-_HINT = r"[0-9@=:]|" + _PREFIX + "|" + _TITLE
+#: A text without one of these characters or strings has no entity.
+_HINT = "[0-9@=:]"
+_HINT_STRINGS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", *sorted({t for t in MALE + FEMALE if not any(t != u and t.startswith(u) for u in MALE + FEMALE)})]
 
 GIVEN = {
     ("m", "latin"): ["Adam", "Bruno", "Carlos", "David", "Emil", "Felix", "Gustav", "Henri", "Ivan", "Jonas", "Karl", "Louis"],
@@ -69,7 +70,10 @@ SYLLABLES = {
 def find(text: Column) -> Column:
     """All entities of a text, in order; an empty list for most texts at little cost."""
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
+    hint = text.rlike(_HINT)
+    for x in _HINT_STRINGS:  # plain searches cost far less than one pattern with them all
+        hint = hint | text.contains(x)
+    return F.when(hint, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
 
 
 def _any(e: Column, titles: list[str]) -> Column:
@@ -256,9 +260,10 @@ def surrogate(e: Column, key: str = DEFAULT_KEY, attempt: Column | None = None)
 def collisions(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """(entity, attempt) for those distinct canonical entities (column ``entity``) whose
     first surrogate another entity has too, or is an entity itself."""
-    state = cut(entities.select("entity", F.lit(0).alias("attempt")), "pii-entities")
+    state = entities.select("entity", F.lit(0).alias("attempt"))
     while True:
-        given = state.withColumn("surrogate", canonical(surrogate(F.col("entity"), key, F.col("attempt"))))
+        first = _with(surrogate(F.col("entity"), key, F.col("attempt")), canonical)
+        given = cut(state.select("entity", "attempt", first.alias("surrogate")), "pii-surrogates")
         w = Window.partitionBy("surrogate").orderBy("attempt", "entity")
         # At most the repeats are ranked: surrogates that one entity has leave first.
         shared = given.groupBy("surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("surrogate")
@@ -266,11 +271,8 @@ def collisions(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         real = given.join(entities.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("entity")
         bad = cut(again.unionByName(real).distinct(), "pii-bad")
         if bad.isEmpty():
-            return state.where("attempt > 0")
-        state = cut(
-            state.join(bad.withColumn("bad", F.lit(1)), "entity", "left").select("entity", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt")),
-            "pii-entities",
-        )
+            return given.where("attempt > 0").select("entity", "attempt")
+        state = given.join(bad.withColumn("bad", F.lit(1)), "entity", "left").select("entity", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt"))
 
 
 def replace(docs: DataFrame, key: str = DEFAULT_KEY, literal_exceptions: int = LITERAL_EXCEPTIONS) -> DataFrame:
@@ -282,7 +284,7 @@ def replace(docs: DataFrame, key: str = DEFAULT_KEY, literal_exceptions: int = L
     """
     text = F.coalesce("text", F.lit(""))
     found = docs.select(F.explode(find(text)).alias("e")).where(kind(F.col("e")).isin("email", "name", "secret", "iban"))
-    entities = found.select(canonical(F.col("e")).alias("entity")).distinct()
+    entities = cut(found.select(canonical(F.col("e")).alias("entity")).distinct(), "pii-entities")
     exceptions = collisions(entities, key)
     few = exceptions.limit(literal_exceptions + 1).collect()
     if len(few) <= literal_exceptions:
