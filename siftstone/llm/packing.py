@@ -11,9 +11,11 @@ as bins may be open the longest come first: that needs no more open bins and los
 from __future__ import annotations
 
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,11 +33,26 @@ OPEN_BINS = 1024
 #: Pieces in a packing group: large enough that the bins left open at its end are few.
 GROUP = 100_000
 #: Remembered chunks in each of the two generations of a Python worker's memory.
-MEMORY = 400_000
+MEMORY = 300_000
 #: Characters of text that are encoded together, about.
 TOGETHER = 2_000_000
 #: Controls that Python takes for white space and the vocabulary's splitter doesn't.
 _CONTROLS = re.compile("[\x1c-\x1f]")
+#: Marks that the splitter takes as one piece after a word, and how many such runs are remembered.
+_MARKS = string.punctuation
+_TAILS = 10_000
+
+
+def _lower_latin(word: str) -> bool:
+    """True for a word of Latin-1 letters that lower-casing leaves as it is."""
+    if word.isascii():
+        return word.islower()
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return word == word.lower()
+
 
 def _byte_letters() -> dict[int, str]:
     """The vocabulary's stand-ins for bytes: printable ones stand for themselves, the
@@ -53,8 +70,8 @@ class ChunkEncoder:
 
     The vocabulary's normalizer lower-cases and turns white space into spaces, and its
     splitter never joins across white space.  So the ids of a text are those of its chunks,
-    which repeat and are remembered.  A chunk of letters alone is one piece to the
-    splitter, so the library's merge model gets it directly; a stop after it is the next piece.
+    which repeat and are remembered.  A run of letters is one piece to the splitter, so the
+    library's merge model gets it directly; a run of marks after it is the next piece.
     All other chunks, and texts beyond Latin-1, which libraries may lower-case and compose
     in their own ways, go through the whole tokenizer.
     """
@@ -65,7 +82,7 @@ class ChunkEncoder:
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.stops = {c: self._whole(c) for c in ".,"}
+        self.tails: dict[str, bytes] = {}
 
     def _chunks(self, text: str) -> list[str] | None:
         if _CONTROLS.search(text):
@@ -86,28 +103,28 @@ class ChunkEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _ids(self, chunk: str) -> bytes:
-        plain = chunk.isascii()
-        if not plain:
-            try:
-                chunk.encode("latin-1")
-                plain = chunk == chunk.lower()
-            except UnicodeEncodeError:
-                pass
-        if plain and chunk.isalpha() and (chunk.islower() or not chunk.isascii()):
-            return self._word(chunk)
-        stop = self.stops.get(chunk[-1])
-        if plain and stop and chunk[:-1].isalpha() and chunk == chunk.lower():
-            base = self.known.get(chunk[:-1]) or self.older.get(chunk[:-1])
-            if base is None:
-                base = self.known[chunk[:-1]] = self._word(chunk[:-1])
-            return base + stop
-        return self._whole(chunk)
-
-    def _learn(self, missing: set[str]) -> None:
+        word = chunk.rstrip(_MARKS)
+        if not word.isalpha() or not _lower_latin(word):
+            return self._whole(chunk)
+        if word == chunk:
+            return self._word(word)
+        ids = self.known.get(word) or self.older.get(word)
+        if ids is None:
+            ids = self.known[word] = self._word(word)
+        marks = chunk[len(word) :]
+        tail = self.tails.get(marks)
+        if tail is None:
+            tail = self._whole(marks)
+            if len(self.tails) < _TAILS:
+                self.tails[marks] = tail
+        return ids + tail
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Make sure that all these chunks are in the newer generation."""
         if len(self.known) > MEMORY:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        for c in missing:
+        for c in chunks.difference(known):
             got = older.get(c)
             known[c] = self._ids(c) if got is None else got
 
@@ -125,23 +142,9 @@ class ChunkEncoder:
 
     def _some(self, texts: list[str]) -> list[bytes]:
         chunks = [self._chunks(t) for t in texts]
-        held, missing = [], set()
-        for words in chunks:
-            got = list(map(self.known.get, words or ()))
-            if None in got:
-                missing.update(c for c, g in zip(words, got) if g is None)
-            held.append(got)
-        if missing:
-            self._learn(missing)
-        out = []
-        for text, words, got in zip(texts, chunks, held):
-            if words is None:
-                out.append(self._whole(text))
-            elif None in got:
-                out.append(b"".join([self.known[c] if g is None else g for c, g in zip(words, got)]))
-            else:
-                out.append(b"".join(got))
-        return out
+        self._learn(set(chain.from_iterable(c for c in chunks if c)))
+        ids = self.known.__getitem__
+        return [self._whole(t) if c is None else b"".join(map(ids, c)) for t, c in zip(texts, chunks)]
 
 
 def _pieces(path: str, end: int, size: int):
