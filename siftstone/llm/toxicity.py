@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_batches, fit_logistic, fold, labelled_sample, sigmoid, table
+from siftstone.llm.common import arrow_batches, fold, labelled_sample, sigmoid, table
 
 #: Labelled texts the model is fitted to, at most; those whose ids hash lowest.
 TRAIN_ROWS = 8192
@@ -50,7 +50,6 @@ SUSPECT = re.compile(
     rf"[\d@$!|+€(£¥](?={_L})|(?<={_L})[\d@$|+€£¥](?![^\s.,;:!?])|({_L})\1\1|(?<!\S)\S(?:[ .\-_*]\S){{3,}}(?!\S)|(?<={_L})[*._\-](?={_L}[*._\-]{_L})"
 )
 _SPACED = re.compile(rf"(?<!\S)(?:{_L}|[\d@$!|+€])(?:[ .\-_*](?:{_L}|[\d@$!|+€])){{3,}}(?!\S)")
-_WORD = re.compile(r"[^\W_]+", re.UNICODE)
 _EDGE = ".,;:!?\"'()[]{}<>#$%&*|-_"
 
 
