@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import constants as K
 from siftstone.functions import scalars as S
+from siftstone.sources.scratch import cut
 
 SNAPSHOT = ["hash", "path", "normalized_path", "file_name", "source_root", "size", "modified_ns"]
 
@@ -112,7 +113,7 @@ def relocate(bank: DataFrame, moves: DataFrame, scan_id: int, now: str) -> DataF
     """The cache after moves (moved_from, path, normalized_path, file_name, source_root):
     a moved row keeps id, hash, size, time and first_seen_ts; a row already at the new path
     gets the hash and keeps its size and time.  Of moves of one row the first, by new path, counts."""
-    first = moves.groupBy("moved_from").agg(F.min(F.struct("normalized_path", "path", "file_name", "source_root")).alias("m"))
+    first = cut(moves.groupBy("moved_from").agg(F.min(F.struct("normalized_path", "path", "file_name", "source_root")).alias("m")), "relocate-moves")
     old = bank.join(first.withColumnRenamed("moved_from", "normalized_path"), "normalized_path")
     target = old.select(
         "id", "hash", F.col("m.path").alias("path"), F.col("m.normalized_path").alias("normalized_path"), F.col("m.file_name").alias("file_name"),

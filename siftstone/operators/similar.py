@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from siftstone.functions import constants as K
 from siftstone.functions import scalars as S
 from siftstone.operators.graph import components
+from siftstone.sources.scratch import cut
 
 #: Beyond this distance an index has more probes than blocks have comparisons.
 INDEXED_DISTANCE = 11
@@ -64,6 +65,7 @@ def in_blocks(rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFr
     """All unordered pairs (l, r) of ``rows``, by blocks: each row goes to the cells of its
     block's row and column, and cells are equi-joined, so work is spread evenly over any
     number of tasks and no side is broadcast.  For thresholds that no index can serve."""
+    rows = cut(rows, "blocks")  # both sides and the count read it
     n = max(1, -(-rows.count() // block_rows))
     block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     row = F.struct(*rows.columns)
