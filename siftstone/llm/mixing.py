@@ -26,8 +26,8 @@ MAX_REPEATS = 3
 BLOCK_DOCS = 256
 MAX_BLOCKS = 1 << 20
 #: Words in an output shard, about; shards at most.
-SHARD_WORDS = 2_000_000
-MAX_SHARDS = 1 << 14
+SHARD_WORDS = 1_000_000
+MAX_SHARDS = 1 << 16
 SEED = 20240
 
 _GAP = r"[\x20\x09-\x0D]+"
@@ -167,16 +167,23 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     drawn = cut(drawn.withColumn("quota", F.col("passes") * F.col("blocks") + F.col("edge") + F.when(F.size("picks") > 0, 1).otherwise(0)), "mix-drawn")
     total = whole.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     shards = min(MAX_SHARDS, 1 << max(0, (total // SHARD_WORDS).bit_length()))
-    sources = cut(drawn.join(shard_quotas(drawn, shards), "source_key"), "mix-plan")
+    starts = shard_quotas(drawn, shards)
+    # Every so manieth start is a head: a draw's shard is found in two short scans.
+    heads = F.filter("starts", lambda s, i: i % F.lit(_stride(shards)) == 0)
+    sources = cut(drawn.join(starts.withColumn("heads", heads), "source_key"), "mix-plan")
     return keyed, sources, shards
 
 
+def _stride(shards: int) -> int:
+    return 1 << (shards.bit_length() // 2)
+
+
 def _block(place: str, blocks: str) -> Column:
     """Block of a place: the top bits of its 62, as many as the power of two needs."""
     return F.expr(f"shiftright({place}, 62 - cast(log2({blocks}) as int))").cast("long")
 
 
-def _draws(rows: DataFrame, sources: DataFrame) -> DataFrame:
+def _draws(rows: DataFrame, sources: DataFrame, shards: int) -> DataFrame:
     """Adds source_size, target, copies and the shard of each copy.  One row for each
     source is joined, so a hot source is no hot key when that side is broadcast, and is
     split by adaptive execution when it isn't."""
@@ -184,9 +191,12 @@ def _draws(rows: DataFrame, sources: DataFrame) -> DataFrame:
     extra = (F.col("block") < F.col("edge")) | ((F.col("block") == F.col("edge")) & F.array_contains("picks", F.col("place")))
     joined = rows.join(sources.drop("source"), "source_key").withColumn("block", block)
     copies = F.col("passes") + F.when(extra, 1).otherwise(0)
-    shards = F.expr("transform(sequence(0L, copies - 1), e -> size(filter(starts, s -> s <= e * blocks + block)) - 1)")
+    n = _stride(shards)
+    head = "size(filter(heads, s -> s <= e * blocks + block)) - 1"
+    within = f"size(filter(slice(starts, h * {n} + 1, {n}), s -> s <= e * blocks + block)) - 1"
+    found = F.expr(f"transform(sequence(0L, copies - 1), e -> transform(array({head}), h -> h * {n} + {within})[0])")
     out = joined.withColumn("copies", copies)
-    return out.withColumn("shards", F.when(F.col("copies") > 0, shards).otherwise(F.array().cast("array<int>")))
+    return out.withColumn("shards", F.when(F.col("copies") > 0, found).otherwise(F.array().cast("array<int>")))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -197,8 +207,8 @@ def mix(docs: DataFrame) -> DataFrame:
     a null doc_id is kept.  Equal rows get equal results, so a row repeated is taken or
     left as one.  An empty table gives no rows.  Reruns agree.
     """
-    rows, sources, _ = plan(docs)
-    out = _draws(rows, sources)
+    rows, sources, shards = plan(docs)
+    out = _draws(rows, sources, shards)
     return out.select(
         "doc_id", "size", "source_size", "target",
         F.when(F.col("size") > 0, F.col("copies") * F.col("size")).otherwise(F.lit(0)).cast("long").alias("taken"), "shards",
@@ -217,6 +227,6 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), _source_key().alias("source_key"), _place("doc_id", text).alias("place"), F.length(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))).alias("n")
     )
-    drawn = _draws(rows.where("n > 0"), sources).select("row", "place", F.explode("shards").alias("shard"))
+    drawn = _draws(rows.where("n > 0"), sources, shards).select("row", "place", F.explode("shards").alias("shard"))
     mixed = drawn.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("shard", "place"))
     return mixed.select("row.*")

@@ -72,6 +72,19 @@ def test_shards_get_disjoint_exact_ranges(spark):
     assert sum(size) == 1000 and max(size) - min(size) <= 3  # halves of halves of halves
 
 
+def test_draws_lie_in_their_shards_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 300)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows, sources, shards = mixing.plan(docs)
+    assert shards >= 64
+    keys = {r["source_key"]: r for r in sources.collect()}
+    for r in mixing._draws(rows, sources, shards).select("source_key", "block", "shards").collect():
+        s = keys[r["source_key"]]
+        for e, shard in enumerate(r["shards"]):
+            at = e * s["blocks"] + r["block"]
+            assert s["starts"][shard] <= at and (shard == shards - 1 or at < s["starts"][shard + 1])
+
+
 def test_mix_query(spark):
     out = mixing.op7_mixing(spark, SF).collect()
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
