@@ -81,19 +81,25 @@ def count_tokens(docs: DataFrame, cache: TokenCache, vocabulary: str | None = No
     text = F.coalesce("text", F.lit(""))
     named = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     keys = cut(named.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "tokens-keys")
-    missing = keys.select("digest").distinct().join(cache.counts(version), "digest", "left_anti")
-    # The row that stands for a missing content: its smallest id.  Where only rows without
-    # an id have it, or the row is repeated, one of several equal rows is taken below.
-    same = keys.join(missing, "digest", "left_semi").groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    stand = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n"))
-    misses = cut(same.groupBy("digest").agg(stand.alias("s")).select("digest", "s.doc_id", (F.col("s.none") | (F.col("s.n") > 1)).alias("several")), "tokens-misses")
+    # The row that stands for a content is that of its smallest id: one row for each digest
+    # and task is shuffled, however many copies a content has.
+    stand = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("s")
+    contents = keys.groupBy("digest").agg(stand).select("digest", "s.doc_id", "s.none")
+    missing = contents.join(cache.counts(version), "digest", "left_anti")
+    # Where only rows without an id have a content, or the row repeats, one of several equal
+    # rows is taken below.
+    repeats = keys.where("doc_id is not null").groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = F.col("none") | F.col("n").isNotNull()
+    misses = cut(missing.join(repeats, ["digest", "doc_id"], "left").select("digest", "doc_id", several.alias("several")), "tokens-misses")
     if not misses.isEmpty():
         texts = named.join(misses.where("not several").select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select("digest", "text")
         odd = misses.where("several").select("digest")
         if not odd.isEmpty():
             texts = texts.unionByName(named.join(odd, "digest", "left_semi").select("digest", "text").dropDuplicates(["digest"]))
         cache.append(texts.mapInPandas(_counter(vocabulary), "digest binary, n_tokens long"), version)
-    return keys.join(cache.counts(version), "digest").select("doc_id", "n_bytes", "n_tokens")
+    # As a table of its own the counts leave the join free to split a content of many copies.
+    counts = cut(cache.counts(version).join(contents.select("digest"), "digest", "left_semi"), "tokens-counts")
+    return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
