@@ -217,7 +217,7 @@ def pack_lengths(lengths, size: int = SIZE, most: int = OPEN_BINS) -> tuple[np.n
 
 
 def _packed(size: int, most: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["mix", "doc_id", "piece", "ids_crc32"], kind="stable")
         window = np.arange(len(pdf)) // most
         pdf = pdf.iloc[np.lexsort((-pdf["length"].to_numpy(), window))]

@@ -1,7 +1,7 @@
 """Surrogates for personal data, in Spark expressions only.
 
 Entities are found by one pattern: e-mail addresses, IPv4 addresses, numbers of 13 to 19
-digits (cards, accounts), telephone and social security numbers, IBANs, secrets (values
+digits (cards, accounts; in one run or in a card's groups), telephone and social security numbers, IBANs, secrets (values
 after ``token =`` and the like, access keys, long hexadecimal strings) and names after a title.  Each
 is replaced in place by a surrogate that depends on a key and the entity alone, so an
 entity has the same surrogate everywhere without a table of all entities:
@@ -41,8 +41,13 @@ _LOCAL = r"\p{L}\p{N}._%+\-"
 _EMAIL = rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}@(?:[\p{{L}}\p{{N}}-]{{1,63}}\.){{1,8}}\p{{L}}{{2,24}}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
-_LONG = r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)"
-_PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+#: One run of digits, or a card's groups; not groups out of a longer row of such groups.
+_GROUPS = r"(?:\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5})"
+_LONG = rf"(?<![\w+])\d{{13,19}}(?!\w)|(?<![\w+])(?<!\s\d{{4}} )(?<!^\d{{4}} ){_GROUPS}(?! \d{{4}}\b|\w)"
+_PHONE = (
+    r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{2,4}(?:-\d{2,4})?(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\w)"
+    r"|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+)
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 _PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|sk-)"
