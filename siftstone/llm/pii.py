@@ -41,11 +41,16 @@ _LOCAL = r"\p{L}\p{N}._%+\-"
 _EMAIL = rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}@(?:[\p{{L}}\p{{N}}-]{{1,63}}\.){{1,8}}\p{{L}}{{2,24}}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
-#: One run of digits, or a card's groups; not groups out of a longer row of such groups.
-_GROUPS = r"(?:\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5})"
-_LONG = rf"(?<![\w+])\d{{13,19}}(?!\w)|(?<![\w+])(?<!\s\d{{4}} )(?<!^\d{{4}} ){_GROUPS}(?! \d{{4}}\b|\w)"
+#: One run of digits, or a card's groups: four of four digits or more (a row of which ``_pieces`` parts), or 4-6-5 and 4-6-4.
+_GROUPS = r"(?:\d{4}(?: \d{4}){3,}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})"
+_LONG = rf"(?<![\w+])\d{{13,19}}(?!\w)|(?<![\w+]){_GROUPS}(?!\w)"
+#: The end of a number of 7 to 15 digits, country code included.
+_NEXT = r"[ .()-]{0,3}\d"
+_E164 = r"(?!\w)(?<=\+\d" + _NEXT * 6 + f"(?:{_NEXT}" * 8 + ")?" * 8 + ")"
 _PHONE = (
-    r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{2,4}(?:-\d{2,4})?(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\w)"
+    rf"(?<![\w+])\+\d{{1,3}}[ .-]?\(0\)[ .-]?\d{{1,4}}(?:[ .-]?\d{{2,4}}){{1,4}}{_E164}"
+    r"|(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{2,4}(?:-\d{2,4})?(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\w)"
+    rf"|(?<![\w+])\+\d{{1,3}}(?:[ .-]?\(\d{{1,4}}\)(?:[ .-]?\d{{1,4}}){{2,5}}|[ .-]\d[ .-]\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}){_E164}"
     r"|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
 )
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -72,8 +77,8 @@ SYLLABLES = {
 }
 
 
-def find(text: Column) -> Column:
-    """All entities of a text, in order; an empty list for most texts at little cost."""
+def _matches(text: Column) -> Column:
+    """All matches of the pattern in a text, in order; an empty list for most texts at little cost."""
     none = F.array().cast("array<string>")
     hint = text.rlike(_HINT)
     for x in _HINT_STRINGS:  # plain searches cost far less than one pattern with them all
@@ -81,6 +86,82 @@ def find(text: Column) -> Column:
     return F.when(hint, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
 
 
+def _is_row(match: Column) -> Column:
+    """Whether a match is a row of more groups of four digits than one card has."""
+    return (F.length(match) > 19) & match.rlike(r"^\d{4}(?: \d{4}){4,}$")
+
+
+def _check_sum(group: Column) -> Column:
+    """What four digits add to a Luhn sum."""
+
+    def digit(i: int) -> Column:
+        return F.substring(group, i, 1).cast("int")
+
+    def double(d: Column) -> Column:
+        return d * 2 - F.when(d > 4, 9).otherwise(0)
+
+    return double(digit(1)) + digit(2) + double(digit(3)) + digit(4)
+
+
+def _pieces(row: Column) -> Column:
+    """Of a row, by turns: the groups before a card (maybe none), and the card; the rest at the end.
+
+    Cards are those four groups whose Luhn check holds, from the left; four that don't
+    begin as cards do give way to four that do and overlap them.
+    """
+
+    def part(x: Column) -> Column:
+        groups, sums = x["groups"], x["sums"]
+
+        def valid(i: Column) -> Column:
+            holds = (F.get(sums, i) + F.get(sums, i + 1) + F.get(sums, i + 2) + F.get(sums, i + 3)) % 10 == 0
+            return F.when(~holds, 0).when(F.get(groups, i).rlike("^(?:[3-6]|2[2-7])"), 2).otherwise(1)
+
+        def step(s: Column, v: Column) -> Column:
+            at = s["at"]
+            later = F.greatest(*(F.coalesce(F.get(s["valid"], at + k), F.lit(0)) for k in (1, 2, 3)))
+            card = (v > 0) & (at >= s["free"]) & ((v == 2) | (later < 2))
+            new = F.when(card, F.concat(s["starts"], F.array(at))).otherwise(s["starts"])  # grows by cards, not by groups
+            return _with(new, lambda n: F.struct(
+                n.alias("starts"), F.when(F.size(n) > F.size(s["starts"]), at + 4).otherwise(s["free"]).alias("free"), (at + 1).alias("at"), s["valid"].alias("valid"),
+            ))
+
+        def walk(states: Column) -> Column:
+            zero = F.lit(0)
+            begin = F.struct(F.array().cast("array<int>").alias("starts"), zero.alias("free"), zero.alias("at"), states.alias("valid"))
+            return F.aggregate(states, begin, step, lambda s: s["starts"])
+
+        def say(starts: Column) -> Column:
+            def some(first: Column, end: Column) -> Column:
+                return F.array_join(F.slice(groups, first + 1, end - first), " ")
+
+            def end(i: Column) -> Column:
+                return F.coalesce(F.get(starts, i - 1) + 4, F.lit(0))
+
+            turns = F.transform(starts, lambda at, i: F.array(some(end(i), at), some(at, at + 4)))
+            return F.concat(F.flatten(turns), F.array(some(end(F.size(starts)), F.size(groups))))
+
+        return _with(_with(F.transform(F.sequence(F.lit(0), F.size(groups) - 4), valid), walk), say)
+
+    return _with(_with(F.split(row, " "), lambda g: F.struct(g.alias("groups"), F.transform(g, _check_sum).alias("sums"))), part)
+
+
+def _entities(matches: Column) -> Column:
+    """The entities of matches: of a row of groups its cards."""
+    each = F.transform(matches, lambda m: F.when(_is_row(m), F.filter(_pieces(m), lambda p, i: i % 2 == 1)).otherwise(F.array(m)))
+    return F.when(F.exists(matches, _is_row), F.flatten(each)).otherwise(matches)
+
+
+def _row_surrogate(key: str, row: Column) -> Column:
+    fresh = F.transform(_pieces(row), lambda p, i: F.when(i % 2 == 1, _digits_surrogate(key, p)).otherwise(p))
+    return F.array_join(F.filter(fresh, lambda p: p != ""), " ")
+
+
+def find(text: Column) -> Column:
+    """All entities of a text, in order."""
+    return _with(_matches(text), _entities)
+
+
 def _any(e: Column, titles: list[str]) -> Column:
     return e.rlike(r"^(?:" + "|".join(titles) + r")\.? \p{Lu}")
 
@@ -301,11 +382,11 @@ def replace(docs: DataFrame, key: str = DEFAULT_KEY, literal_exceptions: int = L
         source = docs.withColumn("_h", F.xxhash64(text)).join(maps, "_h", "left").drop("_h")
         tries = F.coalesce("_tries", F.create_map().cast("map<string,int>"))
     attempt = (lambda e: F.lit(0)) if tries is None else (lambda e: F.coalesce(F.element_at(tries, canonical(e)), F.lit(0)))
-    marked = source.withColumn("_found", find(text))
-    fresh = F.transform(F.col("_found"), lambda e: surrogate(e, key, attempt(e)))
+    marked = source.withColumn("_found", _matches(text))
+    fresh = F.transform(F.col("_found"), lambda e: F.when(_is_row(e), _row_surrogate(key, e)).otherwise(surrogate(e, key, attempt(e))))
     gaps = F.split(F.col("text"), PATTERN, -1)
     woven = F.array_join(F.flatten(F.zip_with(gaps, fresh, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
-    out = marked.withColumn("n_entities", F.size("_found")).withColumn("text", F.when(F.col("n_entities") > 0, woven).otherwise(F.col("text")))
+    out = marked.withColumn("n_entities", F.size(_entities(F.col("_found")))).withColumn("text", F.when(F.col("n_entities") > 0, woven).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns, "n_entities")

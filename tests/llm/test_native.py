@@ -194,6 +194,22 @@ def test_one_entity_one_surrogate(spark):
     assert again == [a, b, c, d] and all(x != y for x, y in zip(again, other))
 
 
+def test_phones_with_short_groups_and_rows_of_cards(spark):
+    phones = ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "+61 2 9876 5432", "+81 3 1234 5678", "+33 (0)1 23 45 67 89", "+44 (0)207 946 0958", "+44 (20) 79 46 09 58"]
+    cards = ["4111 1111 1111 1111 5500 0000 0000 0004", "4111 1111 1111 1111 2024", "2024 4111 1111 1111 1111", "3782-822463-10005", "3782 822463 10005 2024"]
+    plain = ["2024 2025 2026 2027 2028 2029", "+10 000 000", "1001 " * 5000 + "1001"]
+    rows = replaced(spark, phones + cards + plain)
+    got = [r["text"] for r in rows]
+    assert [r["n_entities"] for r in rows] == [1] * len(phones) + [2, 1, 1, 1, 1] + [0] * len(plain)
+    for before, after in zip(phones + cards, got):
+        assert re.sub(r"\d", "0", before) == re.sub(r"\d", "0", after) and before != after
+    for before, after in zip(phones, got):
+        assert after.split()[0] == before.split()[0] and after.split(" ", 2)[2][-5:] != before[-5:]
+    two, year_after, year_before, *_ = got[len(phones) :]
+    assert all(luhn(c.replace(" ", "")) for c in (two[:19], two[20:], year_after[:19], year_before[5:]))
+    assert year_after.endswith(" 2024") and year_before.startswith("2024 ") and "1111" not in two + year_after + year_before and got[-len(plain) :] == plain
+
+
 def test_digit_and_address_surrogates_are_bijections(spark):
     df = spark.range(20000)
     nine = df.select(F.format_string("%03d-%02d-%04d", F.expr("id div 200"), (F.col("id") % 7), F.col("id")).alias("e"))
