@@ -66,16 +66,15 @@ def emb_fp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emb_video(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of eight vectors each; an orientation turns the coefficients by 16."""
-    top = 496
-    e = emb_fp(spark, sf_dir).where(F.col("id") < top)
+    """Fingerprints of eight vectors each, of all videos that have all eight; an orientation turns the coefficients by 16."""
+    e = emb_fp(spark, sf_dir).where("id is not null")
     turned = F.transform(
         F.sequence(F.lit(0), F.lit(3)),
         lambda o: F.concat(F.slice("coefficients", o * 16 + 1, F.lit(64)), F.slice("coefficients", F.lit(1), o * 16)),
     )
     long = e.select(F.expr("id div 8").alias("video"), (F.col("id") % 8).alias("frame"), F.posexplode(turned).alias("orient", "c"))
     hashed = long.select("video", "frame", "orient", S.phash_bits("c").alias("hash"))
-    by = hashed.groupBy("video", "orient").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "hash"))), lambda x: x["hash"]).alias("f"))
+    by = hashed.groupBy("video", "orient").agg(F.transform(F.array_sort(F.collect_set(F.struct("frame", "hash"))), lambda x: x["hash"]).alias("f")).where(F.size("f") == 8)
     out = by.groupBy("video").agg(F.transform(F.array_sort(F.collect_list(F.struct("orient", "f"))), lambda x: x["f"]).alias("frames"))
     return out.select(F.format_string("/vault/video/v_%04d.mp4", "video").alias("path"), "frames")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftstone.operators import cache, dedupe, inventory, reports, similar
 from siftstone.operators.graph import components
 from siftstone.operators.inventory import ScanOptions
+from siftstone.plans import fixtures
 
 FILES = "hash string, path string, normalized_path string, file_name string, media_kind string, source_root string, size long, modified_ns long, dev long, ino long"
 
@@ -141,6 +142,21 @@ def test_video_edges_with_and_without_index_agree(spark):
     assert indexed == blocked and {e[:2] for e in indexed} == {("/v0", "/v1"), ("/v2", "/v3"), ("/v2", "/v4")}
 
 
+def test_videos_of_the_whole_table_beside_brute_force(spark):
+    sf = "/root/testdata/sf0.1"
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if len(r["embedding"]) == 64}
+    videos = fixtures.emb_video(spark, sf)
+    held = {r["path"]: np.array(r["frames"], dtype=np.int64).view(np.uint64) for r in videos.collect()}
+    assert set(held) == {f"/vault/video/v_{v:04d}.mp4" for v in {i // 8 for i in ids} if all(v * 8 + k in ids for k in range(8))} and len(held) > 62
+    paths, want = sorted(held), set()
+    for i, a in enumerate(paths):
+        rest = np.array([held[b] for b in paths[i + 1 :]], dtype=np.uint64).reshape(-1, 4, 8)
+        off = np.bitwise_count(held[a][None, :, None] ^ rest[:, None]).astype(int)
+        total = np.where((off <= 26).sum(-1) >= 4, off.sum(-1), 9999).min((1, 2))
+        want |= {(a, b, int(t)) for b, t in zip(paths[i + 1 :], total) if t < 9999}
+    assert {tuple(r)[:3] for r in similar.video_edges(videos, 26).collect()} == want
+
+
 def test_simulated_run(spark):
     plan = spark.createDataFrame(
         [("h", "/k", "/k", 1, "keep", ""), ("h", "/v", "/v", 1, "quarantine", ""), ("h", "/w", "/w", 1, "quarantine", ""), ("h", "/x", "/x", 1, "quarantine", "")],
