@@ -168,7 +168,7 @@ def _any(e: Column, titles: list[str]) -> Column:
 
 def kind(e: Column) -> Column:
     return (
-        F.when(e.contains("@"), "email")
+        F.when(e.rlike(rf"^(?:{_EMAIL})$"), "email")
         .when(_any(e, MALE + FEMALE), "name")
         .when(e.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
         .when(e.rlike(rf"^[+(]?\d[\d() .-]{{6,}}$"), "digits")

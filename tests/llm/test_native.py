@@ -210,6 +210,14 @@ def test_phones_with_short_groups_and_rows_of_cards(spark):
     assert year_after.endswith(" 2024") and year_before.startswith("2024 ") and "1111" not in two + year_after + year_before and got[-len(plain) :] == plain
 
 
+def test_secrets_with_an_at_sign_are_no_addresses(spark):
+    texts = ["password: P@ssw0rd1", "pwd=hunter2@secret9", "write to ann@mail4.example.com"]
+    e = spark.createDataFrame([(t.split()[-1].removeprefix("pwd="),) for t in texts], "e string")
+    (a, _), (b, _), (c, mail) = e.select(pii.surrogate(F.col("e")), pii.kind(F.col("e"))).collect()
+    assert re.fullmatch(r"[A-Z]@[a-z]{3}\d[a-z]{2}\d", a) and re.fullmatch(r"[a-z]{6}\d@[a-z]{6}\d", b) and "ssw0rd1" not in a and "secret9" not in b
+    assert mail == "email" and c.endswith(".com")
+
+
 def test_digit_and_address_surrogates_are_bijections(spark):
     df = spark.range(20000)
     nine = df.select(F.format_string("%03d-%02d-%04d", F.expr("id div 200"), (F.col("id") % 7), F.col("id")).alias("e"))
