@@ -45,11 +45,14 @@ LOOKALIKES = {
 }
 
 _L = r"[^\W\d_]"
-#: A sign before a letter or closing a word, a letter three times, single characters in a row.
+_ONE = rf"(?:{_L}|[\d@$!|+€])"
+_SPACED = re.compile(rf"(?<!\w){_ONE}(?:[ .\-_*]+{_ONE}){{3,}}(?!\w)")
+#: Between the characters of a spaced-out word: maybe a word's end.
+_JOINT = "\x1f"
+#: A sign before a letter, signs closing a word, a letter twice, single characters in a row.
 SUSPECT = re.compile(
-    rf"[\d@$!|+€(£¥](?={_L})|(?<={_L})[\d@$|+€£¥](?![^\s.,;:!?])|({_L})\1\1|(?<!\S)\S(?:[ .\-_*]\S){{3,}}(?!\S)|(?<={_L})[*._\-](?={_L}[*._\-]{_L})"
+    rf"[\d@$!|+€(£¥](?={_L})|(?<={_L})[\d@$!|+€£¥]*[\d@$|+€£¥](?![^\s.,;:!?])|({_L})\1|{_SPACED.pattern}|(?<={_L})[*._\-](?={_L}[*._\-]{_L})"
 )
-_SPACED = re.compile(rf"(?<!\S)(?:{_L}|[\d@$!|+€])(?:[ .\-_*](?:{_L}|[\d@$!|+€])){{3,}}(?!\S)")
 _EDGE = ".,;:!?\"'()[]{}<>#$%&*|-_"
 
 
@@ -101,6 +104,8 @@ class Decoder:
     """Viterbi decoding of one disguised stretch under a character language model."""
 
     SWAP, DROP, KEEP_SIGN, DOUBLE = 0.7, 4.5, 6.0, 0.6
+    #: What saying nothing costs, and a word's end within a spaced-out stretch.
+    GAP, BREAK = 1.5, 1.0
 
     #: Hypotheses kept in each state, and what a word that the model knows is worth.
     KEEP, KNOWN = 3, 4.0
@@ -108,13 +113,29 @@ class Decoder:
     def __init__(self, model: np.ndarray, lexicon=frozenset()):
         self.model, self.lexicon = model, lexicon
         self.known: dict[str, str] = {}
+        self.words: dict[str, str] = {}
+
+    def word(self, word: str) -> str:
+        """A stretch between white space, without the signs at its edges, decoded."""
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) > 100_000:
+                self.words.clear()
+            core = word.strip(".,;:?\"'#%&")
+            bare = re.sub(r"([$*|!])\1+$", "", core)  # noise put after a word, unless little else is left
+            core = bare if len(bare) > 2 else core
+            plain = re.sub(rf"(?<={_L})[*._\-](?={_L})", "", core) if re.search(rf"(?:{_L}[*._\-]){{2,}}{_L}", core) else core
+            got = self.words[word] = self.decode(plain) if plain else word
+        return got
 
     def _lattice(self, text: str) -> list[list[tuple[str, float]]]:
         """For each run of a character, what it may stand for, and at which cost."""
         runs, out = re.findall(r"((.)\2*)", text, re.DOTALL), []
         for run, c in runs:
             n = len(run)
-            if c.isalpha():
+            if c == _JOINT:
+                out.append([("", -self.GAP), (" ", self.BREAK)])
+            elif c.isalpha():
                 if n < 3:
                     out.append([(run, 0.0)] + ([(c, 2.5)] if n == 2 else []))
                 else:
@@ -146,7 +167,7 @@ class Decoder:
             fresh: dict[tuple[int, int], list] = {}
             for (a, b), held in states.items():
                 for said, extra in arcs:
-                    x, y, step = a, b, extra + (1.5 if said == "" else 0.0)
+                    x, y, step = a, b, extra + (self.GAP if said == "" else 0.0)
                     for ch in said:
                         z = int(codes[ord(ch)])
                         step -= float(model[x, y, z])
@@ -161,7 +182,7 @@ class Decoder:
                     said.append(back[0])
                     back = back[1]
                 word = "".join(reversed(said))
-                cost -= float(model[a, b, _BETWEEN]) + self.KNOWN * (word in self.lexicon)
+                cost -= float(model[a, b, _BETWEEN]) + self.KNOWN * sum(w in self.lexicon for w in word.split(" "))
                 if cost < best:
                     best, answer = cost, word
         return answer
@@ -172,7 +193,7 @@ def restore(text: str, decoder: Decoder) -> str:
     low = text.lower()
     if not SUSPECT.search(low):
         return low
-    low = _SPACED.sub(lambda m: decoder.decode(re.sub(r"[ .\-_*]", "", m[0])), low)
+    low = _SPACED.sub(lambda m: decoder.decode(re.sub(r"[ .\-_*]+", _JOINT, m[0])), low)
     spans, at = [], 0
     for m in SUSPECT.finditer(low):
         if m.start() < at:
@@ -186,11 +207,7 @@ def restore(text: str, decoder: Decoder) -> str:
         at = right
     out, at = [], 0
     for left, right in spans:
-        word = low[left:right]
-        core = word.strip(".,;:?\"'#%&")
-        core = re.sub(r"([$*|!])\1+$", "", core)  # noise put after a word
-        plain = re.sub(rf"(?<={_L})[*._\-](?={_L})", "", core) if re.search(rf"(?:{_L}[*._\-]){{2,}}{_L}", core) else core
-        out += [low[at:left], decoder.decode(plain) if plain else word]
+        out += [low[at:left], decoder.word(low[left:right])]
         at = right
     return "".join(out) + low[at:]
 

@@ -58,6 +58,17 @@ def test_restoration(decoder, disguised, plain):
     assert toxicity.restore(disguised, decoder) == plain
 
 
+@pytest.mark.parametrize(
+    "disguised,plain",
+    [
+        ("the clown is a l o s e r", "the clown is a loser"), ("a c l o w n", "a clown"), ("the i d i o t.", "the idiot."), ("(i d i o t)", "idiot"), ("t r a s h!", "trash!"),
+        ("i  d  i  o  t", "idiot"), ("stuupid", "stupid"), ("idio7$$$", "idiot"),
+    ],
+)
+def test_restoration_within_text(decoder, disguised, plain):
+    assert toxicity.restore(disguised, decoder) == plain
+
+
 def test_language_model_counts_every_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     lm = toxicity.language_model(docs)
