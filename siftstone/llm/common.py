@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone.sources.scratch import cut
+
 #: Rows and bytes in one Arrow batch of whole documents.
 ARROW_ROWS = 1024
 ARROW_BYTES = 16 << 20
+#: Bytes of labelled texts that a model is fitted to, at most.
+SAMPLE_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches of whole texts for the Python stages that follow."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [col(c) for c in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with a number behind it if ``df`` has such a column."""
+    held, k, got = {c.lower() for c in df.columns}, 0, name
+    while got.lower() in held:
+        k += 1
+        got = f"{name}_{k}"
+    return got
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS):
+    """Bounds the Arrow batches of whole texts for the plans made and run inside; the
+    session has its own settings again afterwards."""
+    ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    try:
+        for k, v in ours.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def fold(doc_id: Column | str, n: int) -> Column:
@@ -29,11 +61,10 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")), F.lit(0)) % F.lit(n)
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int
-) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled (text, label) pairs, the same ones at every run: those
-    whose ids hash lowest.  The bound makes the broadcast and the collect safe."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, size: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, y) of labelled documents, at most ``rows``, and of them as many as have
+    ``size`` bytes together: those whose ids hash lowest, the same ones at every run.  A text
+    that no longer fits is left out whole.  Null texts are empty."""
     chosen = (
         labels.where(keep & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .select("doc_id", F.col(label).cast("int").alias("y"))
@@ -43,8 +74,19 @@ def labelled_sample(
         .limit(rows)
     )
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = found.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("y").alias("y"))
-    return sorted((r["text"], int(r["y"])) for r in got.collect())
+    got = cut(found.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("y").alias("y")), "labelled")
+    ids, left, n = [], size, 0
+    for r in got.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        n += 1
+        if r["n"] <= left:
+            ids.append(r["doc_id"])
+            left -= r["n"]
+    return got if len(ids) == n else got.where(F.col("doc_id").isin(ids))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, size: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """The (text, y) pairs of :func:`labelled_rows`, sorted; both bounds make the collect safe."""
+    return sorted((r["text"], int(r["y"])) for r in labelled_rows(docs, labels, label, keep, rows, size).collect())
 
 
 def fit_logistic(x, y, l2: float = 1e-3, steps: int = 50):
