@@ -23,10 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_batches, fold, labelled_sample, sigmoid, table
+from siftstone.llm.common import arrow_batches, fold, labelled_rows, sigmoid, table
+from siftstone.sources.scratch import cut
 
-#: Labelled texts the model is fitted to, at most; those whose ids hash lowest.
+#: Labelled texts the model is fitted to, at most, and their bytes; those whose ids hash lowest.
 TRAIN_ROWS = 8192
+TRAIN_BYTES = 64 << 20
 FEATURES = 4000
 #: Standard errors of surplus in toxic texts from which a feature counts.
 SURPLUS = 5.0
@@ -46,13 +48,24 @@ LOOKALIKES = {
 
 _L = r"[^\W\d_]"
 _ONE = rf"(?:{_L}|[\d@$!|+€])"
-_SPACED = re.compile(rf"(?<!\w){_ONE}(?:[ .\-_*]+{_ONE}){{3,}}(?!\w)")
+#: Single characters in a row.  Possessive, so that a text is read once.
+_SPACED = re.compile(rf"(?<!\w){_ONE}(?:[ .\-_*]++{_ONE}){{3,}}+")
+#: What every such row holds, and few other texts: two of them with separators around.
+_TWO_APART = re.compile(rf"[ .\-_*]{_ONE}[ .\-_*]+{_ONE}[ .\-_*]")
+_LAST = re.compile(rf"[ .\-_*]+{_ONE}\Z")
 #: Between the characters of a spaced-out word: maybe a word's end.
 _JOINT = "\x1f"
-#: A sign before a letter, signs closing a word, a letter twice, single characters in a row.
+#: In a word: a sign before a letter, signs closing it, a letter three times, letters with marks between.
 SUSPECT = re.compile(
-    rf"[\d@$!|+€(£¥](?={_L})|(?<={_L})[\d@$!|+€£¥]*[\d@$|+€£¥](?![^\s.,;:!?])|({_L})\1|{_SPACED.pattern}|(?<={_L})[*._\-](?={_L}[*._\-]{_L})"
+    rf"[\d@$!|+€(£¥](?={_L})|(?<={_L})[\d@$!|+€£¥]*[\d@$|+€£¥](?![^.,;:!?])|({_L})\1\1|(?<={_L})[*._\-](?={_L}[*._\-]{_L})"
 )
+_TWICE = re.compile(rf"({_L})\1")
+_RUN = re.compile(r"(.)\1+")
+_MARKED = re.compile(rf"(?:{_L}[*._\-]){{2}}{_L}")
+_INNER = re.compile(rf"(?<={_L})[*._\-](?={_L})")
+#: Characters that are decoded together, and words that are remembered.
+STRETCH = 64
+MEMORY = 500_000
 _EDGE = ".,;:!?\"'()[]{}<>#$%&*|-_"
 
 
@@ -101,7 +114,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi decoding of one disguised stretch under a character language model."""
+    """Viterbi decoding of disguised stretches under a character language model."""
 
     SWAP, DROP, KEEP_SIGN, DOUBLE = 0.7, 4.5, 6.0, 0.6
     #: What saying nothing costs, and a word's end within a spaced-out stretch.
@@ -111,22 +124,49 @@ class Decoder:
     KEEP, KNOWN = 3, 4.0
 
     def __init__(self, model: np.ndarray, lexicon=frozenset()):
-        self.model, self.lexicon = model, lexicon
+        self.costs, self.lexicon = (-model).ravel().tolist(), lexicon
+        self.bare = frozenset(_RUN.sub(r"\1", w) for w in lexicon)
+        self.lengths = sorted({len(w) for w in self.bare})
         self.known: dict[str, str] = {}
-        self.words: dict[str, str] = {}
+
+    def suspect(self, word: str) -> bool:
+        """Whether a word looks disguised.  Letters that stand twice are usual; they count
+        where, taken once, they let the word begin as one that the model knows."""
+        if SUSPECT.search(word):
+            return True
+        if not self.bare or not _TWICE.search(word):
+            return False
+        once = _RUN.sub(r"\1", word.strip(_EDGE))
+        return any(once[:n] in self.bare for n in self.lengths)
 
     def word(self, word: str) -> str:
-        """A stretch between white space, without the signs at its edges, decoded."""
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > 100_000:
-                self.words.clear()
-            core = word.strip(".,;:?\"'#%&")
-            bare = re.sub(r"([$*|!])\1+$", "", core)  # noise put after a word, unless little else is left
-            core = bare if len(bare) > 2 else core
-            plain = re.sub(rf"(?<={_L})[*._\-](?={_L})", "", core) if re.search(rf"(?:{_L}[*._\-]){{2,}}{_L}", core) else core
-            got = self.words[word] = self.decode(plain) if plain else word
-        return got
+        """A word between white space: as it is, or decoded without the signs at its edges."""
+        if not self.suspect(word):
+            return word
+        core = word.strip(".,;:?\"'#%&")
+        if core[-1:] in ("$", "*", "|", "!"):  # noise put after a word, unless little else is left
+            bare = core.rstrip(core[-1])
+            core = bare if len(bare) > 2 and len(core) - len(bare) > 1 else core
+        plain = _INNER.sub("", core) if _MARKED.search(core) else core
+        return self.decode(plain) if plain else word
+
+    def spaced(self, text: str) -> str:
+        """The text with its rows of single characters decoded."""
+        if not _TWO_APART.search(text):
+            return text
+
+        def one(m: re.Match) -> str:
+            row, rest = m[0], ""
+            if text[m.end() : m.end() + 1].isalnum():  # the last character begins a word
+                at = _LAST.search(row[-STRETCH:])
+                if at is None:
+                    return row
+                cut = len(row) - len(at[0])
+                row, rest = row[:cut], row[cut:]
+            letters = re.split(r"[ .\-_*]+", row)
+            return self.decode(_JOINT.join(letters)) + rest if len(letters) > 3 else m[0]
+
+        return _SPACED.sub(one, text)
 
     def _lattice(self, text: str) -> list[list[tuple[str, float]]]:
         """For each run of a character, what it may stand for, and at which cost."""
@@ -152,114 +192,172 @@ class Decoder:
         return out
 
     def decode(self, text: str) -> str:
+        """The likeliest plain spelling.  Stretches beyond ``STRETCH`` characters, longer than
+        any word, are decoded in parts of that size, so that time grows with the length."""
+        if len(text) > STRETCH:
+            return "".join(self.decode(text[at : at + STRETCH]) for at in range(0, len(text), STRETCH))
+        if text.isalpha() and not _TWICE.search(text):  # one path
+            return text
         got = self.known.get(text)
         if got is None:
-            if len(self.known) > 100_000:
+            if len(self.known) >= MEMORY // 3:
                 self.known.clear()
             got = self.known[text] = self._viterbi(text)
         return got
 
     def _viterbi(self, text: str) -> str:
-        codes, model = _codes(), self.model
+        codes, costs = _codes(), self.costs
         # A state is the last two symbols; it holds its cheapest few (cost, back pointer).
         states: dict[tuple[int, int], list] = {(_BETWEEN, _BETWEEN): [(0.0, None)]}
         for arcs in self._lattice(text):
             fresh: dict[tuple[int, int], list] = {}
+            spelled = [(said, [int(codes[ord(ch)]) for ch in said], extra + (self.GAP if said == "" else 0.0)) for said, extra in arcs]
             for (a, b), held in states.items():
-                for said, extra in arcs:
-                    x, y, step = a, b, extra + (self.GAP if said == "" else 0.0)
-                    for ch in said:
-                        z = int(codes[ord(ch)])
-                        step -= float(model[x, y, z])
+                for said, sounds, step in spelled:
+                    x, y = a, b
+                    for z in sounds:
+                        step += costs[(x * SYMBOLS + y) * SYMBOLS + z]
                         x, y = y, z
                     fresh.setdefault((x, y), []).extend((cost + step, (said, back)) for cost, back in held)
             states = {s: sorted(h, key=lambda c: c[0])[: self.KEEP] for s, h in fresh.items()}
         best, answer = float("inf"), text
         for (a, b), held in states.items():
+            end = costs[(a * SYMBOLS + b) * SYMBOLS + _BETWEEN]
             for cost, back in held:
                 said = []
                 while back is not None:
                     said.append(back[0])
                     back = back[1]
                 word = "".join(reversed(said))
-                cost -= float(model[a, b, _BETWEEN]) + self.KNOWN * sum(w in self.lexicon for w in word.split(" "))
+                cost += end - self.KNOWN * sum(w in self.lexicon for w in word.split(" "))
                 if cost < best:
                     best, answer = cost, word
         return answer
 
 
 def restore(text: str, decoder: Decoder) -> str:
-    """The lower-cased text with its disguised stretches decoded."""
-    low = text.lower()
-    if not SUSPECT.search(low):
-        return low
-    low = _SPACED.sub(lambda m: decoder.decode(re.sub(r"[ .\-_*]+", _JOINT, m[0])), low)
-    spans, at = [], 0
-    for m in SUSPECT.finditer(low):
-        if m.start() < at:
-            continue
-        left, right = m.start(), m.end()
-        while left > at and not low[left - 1].isspace():
-            left -= 1
-        while right < len(low) and not low[right].isspace():
-            right += 1
-        spans.append((left, right))
-        at = right
-    out, at = [], 0
-    for left, right in spans:
-        out += [low[at:left], decoder.word(low[left:right])]
-        at = right
-    return "".join(out) + low[at:]
-
-
-def features(restored: str) -> set[str]:
-    """The words of a restored text, without signs at their edges, and their beginnings."""
-    out = set()
-    for w in set(restored.split()):
+    """The lower-cased words of a text, disguised ones decoded."""
+    return " ".join(map(decoder.word, decoder.spaced(text.lower()).split()))
+
+
+def features(word: str) -> list[str]:
+    """The parts of a restored word, without signs at their edges, and their beginnings."""
+    out = []
+    for w in word.split():
         w = w.strip(_EDGE)
         if w:
-            out.add(w)
-            for k in (4, 5, 6, 7):
-                if len(w) > k:
-                    out.add(w[:k] + "~")
+            out.append(w)
+            if len(w) > 4:
+                out += [w[:k] + "~" for k in range(4, min(8, len(w)))]
     return out
 
 
-def fit(sample: list[tuple[str, int]], decoder: Decoder) -> dict:
-    """Weights of a ridge logistic model over the features that toxic texts have in surplus."""
-    docs = [restore(t, decoder) for t, _ in sample]
-    y = np.array([v for _, v in sample], dtype=float)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    if not len(y) or not n1 or not n0:
-        return {"weights": {}, "b": float(np.log((n1 + 0.5) / (n0 + 0.5))) if len(y) else -3.0}
-    # Features are made again in each pass: held for all texts they would fill the driver.
-    toxic = Counter()
-    for d, v in zip(docs, y):
-        if v:
-            toxic.update(features(d))
-    toxic = Counter({f: n for f, n in toxic.items() if n >= 3})
-    seen = Counter(toxic)
-    for d, v in zip(docs, y):
-        if not v:
-            seen.update(f for f in features(d) if f in toxic)
+class Marks:
+    """The features of a text among those of a set; those of a word are remembered."""
+
+    def __init__(self, decoder: Decoder, among=None):
+        self.decoder, self.among = decoder, among
+        #: How features begin: most plain words begin like none.
+        self.heads = None if among is None else {f.rstrip("~")[:4] for f in among}
+        self.words: dict[str, tuple[str, ...]] = {}
+
+    def _of(self, word: str) -> tuple[str, ...]:
+        core = word.rstrip(".,;:!?")
+        if core.isalpha() and not _TWICE.search(core):  # nothing in it looks disguised
+            if self.heads is not None and core[:4] not in self.heads:
+                return ()
+            got = features(core)
+        else:
+            got = features(self.decoder.word(word))
+        return tuple(got if self.among is None else filter(self.among.__contains__, got))
+
+    def of(self, text: str) -> set[str]:
+        out, words = set(), self.words
+        for w in set(self.decoder.spaced(text.lower()).split()):
+            got = words.get(w)
+            if got is None:
+                got = self._of(w)
+                if len(w) <= STRETCH:
+                    if len(words) >= MEMORY:
+                        words.clear()
+                    words[w] = got
+            if got:
+                out.update(got)
+        return out
+
+
+def _least(k: int, n: int) -> float:
+    """The share of toxic texts among those with a feature, at the least (Wilson bound)."""
+    z2 = CONFIDENCE**2
+    return float((k + z2 / 2 - CONFIDENCE * np.sqrt(k * (n - k) / n + z2 / 4)) / (n + z2))
+
+
+def _each(shared, known: frozenset, among, f):
+    """``f(batches of rows, marks)`` as a function for mapInPandas."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return f(batches, Marks(Decoder(shared.value, known), among))
+
+    return run
+
+
+def _counts(batches: Iterator[pd.DataFrame], marks: Marks) -> Iterator[pd.DataFrame]:
+    n = Counter()
+    for pdf in batches:
+        for t in pdf["text"]:
+            n.update(marks.of(t))
+    yield pd.DataFrame({"feature": list(n), "n": list(n.values())})
+
+
+def _indices(batches: Iterator[pd.DataFrame], marks: Marks) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "at": [sorted(marks.among[f] for f in marks.of(t)) for t in pdf["text"]]})
+
+
+def _counted(sample: DataFrame, shared, known: frozenset) -> tuple[dict[str, int], dict[str, int]]:
+    """How many toxic texts, and how many texts, have each feature of three toxic ones or more."""
+
+    def counted(label: int, among, least: int) -> dict[str, int]:
+        rows = sample.where(F.col("y") == label).select("text").mapInPandas(_each(shared, known, among, _counts), "feature string, n long")
+        return {r["feature"]: r["n"] for r in rows.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
+
+    toxic = counted(1, None, 3)
+    return toxic, Counter(toxic) + Counter(counted(0, frozenset(toxic), 1))
+
+
+def fit(sample: DataFrame, lm: np.ndarray) -> dict:
+    """Weights of a ridge logistic model over the features that toxic texts have in surplus,
+    from the bounded table ``sample`` (doc_id, text, y).  Its texts are decoded in parallel;
+    only counts and indices of features reach the driver.
+
+    The words that mark toxic texts are learned first, by a decoder that knows none; then
+    all is counted again with the decoder that knows them, which is the one that scores.
+    """
+    spark = sample.sparkSession
+    n0, n1 = (sample.where(F.col("y") == v).count() for v in (0, 1))
+    if not n1 or not n0:
+        return {"weights": {}, "lexicon": frozenset(), "b": float(np.log((n1 + 0.5) / (n0 + 0.5))) if n0 + n1 else -3.0}
+    sample = sample.repartition(spark.sparkContext.defaultParallelism)
+    shared = spark.sparkContext.broadcast(lm)
+    toxic, seen = _counted(sample, shared, frozenset())
+    known = frozenset(f for f in toxic if f[-1] != "~" and _least(toxic[f], seen[f]) >= 0.5)
+    toxic, seen = _counted(sample, shared, known)
 
     def surplus(f: str) -> float:
         """Standard errors by which toxic texts have the feature more often than all."""
-        share = n1 / len(y)
+        share = n1 / (n0 + n1)
         return (toxic[f] - seen[f] * share) / np.sqrt(seen[f] * share * (1 - share))
 
     names = sorted((f for f in toxic if surplus(f) > SURPLUS), key=lambda f: (-surplus(f), f))[:FEATURES]
     index = {f: k for k, f in enumerate(names)}
-    rows, cols = [], []
-    for i, d in enumerate(docs):
-        got = [index[f] for f in features(d) if f in index]
-        rows += [i] * len(got)
-        cols += got
-    rows, cols = np.array(rows), np.array(cols)
+    held = sorted(map(tuple, sample.mapInPandas(_each(shared, known, index, _indices), f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, y int, at array<int>").collect()))
+    y = np.array([v for _, v, _ in held], dtype=float)
+    rows = np.array([i for i, (_, _, at) in enumerate(held) for _ in at], dtype=np.int64)
+    cols = np.array([k for _, _, at in held for k in at], dtype=np.int64)
     w, b = np.zeros(len(names)), float(np.log(n1 / n0))
     step_w, step_b = np.full(len(names), 1e-6), 1e-6  # AdaGrad: rare features move as far
     for _ in range(400):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], len(docs)) + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], len(y)) + b, -30, 30)))
         e = p - y
         g = np.bincount(cols, e[rows], len(names)) + RIDGE * w
         step_w += g * g
@@ -267,38 +365,27 @@ def fit(sample: list[tuple[str, int]], decoder: Decoder) -> dict:
         gb = e.sum()
         step_b += gb * gb
         b -= 0.5 * gb / np.sqrt(step_b)
-    # The share of toxic texts among those with the feature, at the least (Wilson bound).
-    least = {}
-    for f in names:
-        k, n = toxic[f], seen[f]
-        z2 = CONFIDENCE**2
-        least[f] = (k + z2 / 2 - CONFIDENCE * np.sqrt(k * (n - k) / n + z2 / 4)) / (n + z2)
-    return {"weights": {f: (float(v), float(least[f])) for f, v in zip(names, w)}, "b": b}
-
-
-def lexicon(model: dict) -> frozenset:
-    """The whole words that mark most texts they are in as toxic."""
-    return frozenset(f for f, (_, least) in model["weights"].items() if least >= 0.5 and f[-1] != "~")
+    return {"weights": {f: (float(v), _least(toxic[f], seen[f])) for f, v in zip(names, w)}, "lexicon": known, "b": b}
 
 
-def score(restored: str, model: dict) -> float:
-    weights = model["weights"]
-    got = [weights[f] for f in features(restored) if f in weights]
+def score(found: set[str], model: dict) -> float:
+    """The score of a text with these features."""
+    got = [model["weights"][f] for f in sorted(found)]
     # One feature alone may decide, where all that have it leave little doubt.
     return max([sigmoid(sum(w for w, _ in got) + model["b"]), *(least for _, least in got if least >= ALONE)])
 
 
-_decoders: dict[int, Decoder] = {}
+_held: dict[int, Marks] = {}
 
 
 def _scorer(shared):
     def run(text: pd.Series) -> pd.Series:
-        held = shared.value
-        if shared.id not in _decoders:
-            _decoders.clear()
-            _decoders[shared.id] = Decoder(held["lm"], lexicon(held["model"]))
-        decoder, model = _decoders[shared.id], held["model"]
-        return pd.Series([score(restore(t or "", decoder), model) for t in text], dtype=float)
+        model = shared.value["model"]
+        if shared.id not in _held:
+            _held.clear()
+            _held[shared.id] = Marks(Decoder(shared.value["lm"], model["lexicon"]), model["weights"])
+        marks = _held[shared.id]
+        return pd.Series([score(marks.of(t or ""), model) for t in text], dtype=float)
 
     return run
 
@@ -321,16 +408,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """(doc_id, score) for each row of ``docs``; ``learn`` says of which ids labels may be
     learned.
 
-    Only texts are inputs of a score; null and empty texts get the score of no words.
-    Repeated rows are scored each; a null doc_id is kept.  Without labels of both kinds
-    every text gets the base rate.  An empty table gives no rows.
+    Only texts are inputs of a score; null and empty texts get the score of no words.  Texts
+    of any length are read whole, in time that grows with their length.  Equal texts have
+    equal scores: repeated rows are scored each, and a null doc_id is kept.  Of labels that
+    repeat an id the larger counts, of texts that do the smallest.  Without labels of both
+    kinds every text gets the base rate.  An empty table gives no rows.  Other columns of
+    ``docs``, whatever their names, are not read.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
-    lm = language_model(docs)
-    model = fit(labelled_sample(docs, labels, "toxic", learn, TRAIN_ROWS), Decoder(lm))
-    shared = _Shared(spark.sparkContext.broadcast({"lm": lm, "model": model}))
-    return docs.select("doc_id", F.pandas_udf(_scorer(shared), "double")("text").alias("score"))
+    with arrow_batches(spark):
+        lm = language_model(docs)
+        model = fit(labelled_rows(docs, labels, "toxic", learn, TRAIN_ROWS, TRAIN_BYTES), lm)
+        shared = _Shared(spark.sparkContext.broadcast({"lm": lm, "model": model}))
+        return cut(docs.select("doc_id", F.pandas_udf(_scorer(shared), "double")("text").alias("score")), "toxicity-scores")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Toxicity and quality: restoration, held-out accuracy, odd rows."""
 
+import itertools
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siftstone.llm import quality_zstd, toxicity
-from siftstone.llm.common import fold
+from siftstone.llm.common import fold, labelled_sample
 from tests.conftest import SF
 
 BIG = "/root/testdata/sf0.1"
@@ -69,6 +72,44 @@ def test_restoration_within_text(decoder, disguised, plain):
     assert toxicity.restore(disguised, decoder) == plain
 
 
+@pytest.mark.parametrize("disguised,plain", [("1d10t", "idiot"), ("m0r0n", "moron"), ("stuuuupid", "stupid"), ("l.o.s.e.r", "loser"), ("tr@sh", "trash"), ("cl0wn$$$", "clown"), ("good moon", "good moon")])
+def test_restoration_by_the_language_model_alone(decoder, disguised, plain):
+    assert toxicity.restore(disguised, toxicity.Decoder(-np.array(decoder.costs).reshape([toxicity.SYMBOLS] * 3))) == plain
+
+
+@pytest.mark.parametrize("text", ["1d10t", "a$$", "0", "st00p!d", "x1!|", "\x1f".join("ad1d"), "uu1!!l", "@@b", "(c0w", "3"])
+def test_viterbi_against_all_paths(decoder, text):
+    """The decoded spelling costs as little as any path through the lattice."""
+    plain = toxicity.Decoder(-np.array(decoder.costs).reshape([toxicity.SYMBOLS] * 3))
+
+    def cost(path):
+        said, total = "".join(p for p, _ in path), sum(c + (plain.GAP if p == "" else 0) for p, c in path)
+        s = [toxicity._BETWEEN] * 2 + [int(toxicity._codes()[ord(c)]) for c in said] + [toxicity._BETWEEN]
+        return total + sum(plain.costs[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] for a, b, c in zip(s, s[1:], s[2:])), said
+
+    paths = [cost(p) for p in itertools.product(*plain._lattice(text))]
+    least = min(paths)[0]
+    assert plain.decode(text) in {said for c, said in paths if c < least + 1e-6}
+
+
+@pytest.mark.parametrize("unit", ["$", "$!", "a.", "a_.", "1a ", "ab1$", "a.....", "é1", "lll$ "])
+def test_time_grows_with_the_length(decoder, unit):
+    text = unit * (1_000_000 // len(unit)) + "ax"
+    began = time.process_time()
+    assert toxicity.restore(text, decoder)
+    assert time.process_time() - began < 15
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 + i), "en", "s", 1) for i in range(40)] + [(50, "y" * 5000, "en", "s", 1)], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    every = labelled_sample(docs, labels, "toxic", F.lit(True), 100, 1 << 20)
+    assert len(every) == 41
+    some = labelled_sample(docs, labels, "toxic", F.lit(True), 100, 400)
+    assert 0 < len(some) < 41 and sum(len(t) for t, _ in some) <= 400 and set(some) <= set(every)
+    assert len(labelled_sample(docs, labels, "toxic", F.lit(True), 7, 1 << 20)) <= 7
+
+
 def test_language_model_counts_every_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     lm = toxicity.language_model(docs)
@@ -87,6 +128,15 @@ def test_odd_rows(spark, score, label):
     assert score(df.limit(0), labels.limit(0), F.lit(True)).count() == 0
 
 
+def test_dictionaries_hold_whole_texts(monkeypatch):
+    monkeypatch.setattr(quality_zstd, "DICTIONARY", 100)
+    texts = [f"text number {k} " * 2 for k in range(20)] + ["x" * 500, None, ""]
+    built = quality_zstd.build_dictionary(texts)
+    held = built.decode().split("\n")
+    assert len(built) <= 100 and len(held) >= 2 and set(held) <= set(texts) and built == quality_zstd.build_dictionary(texts[::-1])
+    assert quality_zstd.build_dictionary([None, ""]).strip() == b""
+
+
 def test_labels_of_held_out_rows_are_never_read(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
