@@ -11,6 +11,8 @@ so that no piece learns from far-away text in place of the dictionary.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import zstandard
@@ -18,12 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.llm.common import arrow_batches, fit_logistic, fold, labelled_sample, sigmoid, table
+from siftstone.sources.scratch import cut
 
-#: Labelled texts learned from, at most; those whose ids hash lowest.
+#: Labelled texts learned from, at most, and their bytes; those whose ids hash lowest.
 TRAIN_ROWS = 8192
-#: Bytes of a dictionary; of a text in building it; of a piece that is compressed at once.
+TRAIN_BYTES = 64 << 20
+#: Bytes of a dictionary, a part of the bounded sample; of a piece that is compressed at once.
 DICTIONARY = 1 << 19
-SAMPLE = 2048
 PIECE = 2048
 LEVEL = 9
 #: Compressed bytes added to the sum, so that a few words decide little.
@@ -31,14 +34,16 @@ PRIOR = 64
 
 
 def build_dictionary(texts: list[str]) -> bytes:
-    """Content of a dictionary: equal shares of the texts, in the middle of each, the same
-    for the same texts.  Raw content needs no minimum of samples, unlike a trained one."""
-    data = [t.encode("utf-8", "surrogatepass") for t in texts if t]
-    if not data:
-        return b" " * 8
-    share = max(64, min(SAMPLE, DICTIONARY // len(data)))
-    parts = [d[(len(d) - share) // 2 :][:share] if len(d) > share else d for d in data]
-    return b"\n".join(parts)[-DICTIONARY:]
+    """Content of a dictionary: whole distinct texts, in the order of their digests, as many
+    as fit; a text that no longer fits is left out whole.  Raw content needs no minimum of
+    samples, unlike a trained one."""
+    data = sorted({t.encode("utf-8", "surrogatepass") for t in texts if t}, key=lambda d: hashlib.sha256(d).digest())
+    parts, left = [], DICTIONARY
+    for d in data:
+        if len(d) < left:
+            parts.append(d)
+            left -= len(d) + 1
+    return b"\n".join(parts) if parts else b" " * 8
 
 
 class Compressors:
@@ -94,16 +99,19 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """(doc_id, score) for each row of ``docs``; ``learn`` says of which ids labels may be
     learned.
 
-    Only texts are inputs of a score.  Null and empty texts score as neither alike nor compressible.  Repeated
-    rows are scored each; a null doc_id is kept.  Without labels of both kinds every text
-    gets the base rate.  An empty table gives no rows.
+    Only texts are inputs of a score.  Null and empty texts score as neither alike nor
+    compressible; texts of any length are compressed whole, piece by piece.  Equal texts have
+    equal scores: repeated rows are scored each, and a null doc_id is kept.  Of labels that
+    repeat an id the larger counts, of texts that do the smallest.  Without labels of both
+    kinds every text gets the base rate.  An empty table gives no rows.  Other columns of
+    ``docs``, whatever their names, are not read.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
-    model = fit(labelled_sample(docs, labels, "quality", learn, TRAIN_ROWS))
+    model = fit(labelled_sample(docs, labels, "quality", learn, TRAIN_ROWS, TRAIN_BYTES))
     shared = spark.sparkContext.broadcast(model)
     run = _scorer(shared, shared._jbroadcast.id())
-    return docs.select("doc_id", F.pandas_udf(run, "double")("text").alias("score"))
+    with arrow_batches(spark):
+        return cut(docs.select("doc_id", F.pandas_udf(run, "double")("text").alias("score")), "quality-scores")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
