@@ -38,11 +38,19 @@ KEEPER_REASONS = {
 HARDLINK_REASON = "hardlink of keeper — no space freed"
 DUPLICATE_REASON = "duplicate of keeper"
 
+# The reasons that a manifest states.
+REASON_CANCELED = "canceled before move"
+REASON_GONE = "source file no longer exists"
+REASON_DIFFERS = "content differs from keeper "
+REASON_VERIFY = "verify error: "
+REASON_MOVE = "move error: "
+
 LEGACY_PREFIX = "p:"
 LOG_LEVELS = ["info", "warn", "error", "dry", "real"]
 LOG_RING = 2000
 SAMPLE_CAP = 500
 DETAILED_ERRORS = 20
+PROGRESS_FILES = 256
 READ_BUFFER = 8 << 20
 COMPARE_BLOCK = 64 << 10
 HASH_PROBE = 8

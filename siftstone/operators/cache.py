@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import constants as K
 from siftstone.functions import scalars as S
-from siftstone.sources.scratch import cut
+from siftstone.sources.scratch import cut, in_order
 
 SNAPSHOT = ["hash", "path", "normalized_path", "file_name", "source_root", "size", "modified_ns"]
 
@@ -54,21 +54,42 @@ def counters(looked: DataFrame) -> DataFrame:
     )
 
 
+def with_hashes(misses: DataFrame, hashed: DataFrame) -> DataFrame:
+    """Misses with what hashing gave for their paths; the hash of a file in error is null."""
+    return misses.drop("hash").join(hashed, "path")
+
+
+def outcome_counters(scanned: DataFrame) -> DataFrame:
+    """What a scan saved, reused, computed and read, for each root and, with a null root, for all.
+    ``scanned``: source_root, size, computed, moved_from."""
+    reused, size = ~F.col("computed") | F.col("moved_from").isNotNull(), F.col("size")
+    return scanned.rollup("source_root").agg(
+        F.count_if("computed").alias("new_hashes_saved"), F.count_if(reused).alias("hashes_reused"), F.count_if("computed").alias("hashes_computed"),
+        F.count_if(F.col("moved_from").isNotNull()).alias("moved_reused"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes_seen"),
+        F.coalesce(F.sum(F.when(F.col("computed"), size)), F.lit(0)).alias("bytes_hashed"),
+    )
+
+
 def moves_by_hash(hashed: DataFrame, bank: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
     """Files (normalized_path, hash) new to the cache, with ``moved_from``: the k-th file of
     a hash, by path, takes the k-th stale row of that hash, by id; no row twice.
 
     Stale rows have no live path.  Rows that a filename hit has ``claimed`` are gone.  Ranks
-    are taken within the hashes that have stale rows, after a semi-join both ways.
+    are places in the order of (hash, path) and (hash, id), less the hash's first: a hash that
+    a third of all files have is spread over tasks like any other stretch of that order.
     """
     stale = bank.where("not path_exists").select("hash", "id", F.col("normalized_path").alias("moved_from"))
     if claimed is not None:
         stale = stale.join(claimed.select(F.col("claimed").alias("moved_from")).where("moved_from is not null").distinct(), "moved_from", "left_anti")
     new = hashed.select("hash", "normalized_path").join(stale.select("hash").distinct(), "hash", "left_semi")
-    rank = lambda *by: F.row_number().over(Window.partitionBy("hash").orderBy(*by))
-    mine = new.withColumn("k", rank("normalized_path"))
-    theirs = stale.join(new.select("hash").distinct(), "hash", "left_semi").withColumn("k", rank("id"))
-    return mine.join(theirs, ["hash", "k"]).select("normalized_path", "hash", "moved_from")
+    stale = stale.join(new.select("hash").distinct(), "hash", "left_semi")
+
+    def ranked(rows: DataFrame, by: str) -> DataFrame:
+        rows = in_order(rows, "hash", by, tag="moves")
+        first = rows.groupBy("hash").agg(F.min("place").alias("first"))
+        return rows.join(first, "hash").withColumn("k", F.col("place") - F.col("first")).drop("place", "first")
+
+    return ranked(new, "normalized_path").join(ranked(stale, "id"), ["hash", "k"]).select("normalized_path", "hash", "moved_from")
 
 
 def upsert_files(bank: DataFrame, seen: DataFrame, scan_id: int | Column, now: str | Column) -> DataFrame:
@@ -167,6 +188,24 @@ def recent_scans(scans: DataFrame, limit: int = K.RECENT_SCANS) -> DataFrame:
     return scans.orderBy(F.desc("id")).limit(limit)
 
 
+SCAN_FIGURES = ["files_seen", "bytes_seen", "hashes_reused", "hashes_computed", "duplicate_groups", "wasted_bytes"]
+
+
+def start_scan(scans: DataFrame, mode: str, roots: list[str], now: str) -> DataFrame:
+    """The history with one more scan, which hasn't ended and counts nothing yet."""
+    row = scans.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")).withColumns(
+        {"started_ts": F.lit(now), "ended_ts": F.lit(None).cast("string"), "mode": F.lit(mode), "roots": F.array(*map(F.lit, roots)).cast("array<string>")}
+        | {c: F.lit(0).cast("long") for c in SCAN_FIGURES}
+    )
+    return scans.unionByName(row.select(scans.columns))
+
+
+def finish_scan(scans: DataFrame, mine: Column, now: str, **figures: int) -> DataFrame:
+    """The history with some scans ended; figures that aren't given are 0, as for a scan that failed."""
+    given = {c: F.when(mine, F.lit(int(figures.get(c, 0))).cast("long")).otherwise(F.col(c)) for c in SCAN_FIGURES}
+    return scans.withColumns({"ended_ts": F.when(mine, F.lit(now)).otherwise(F.col("ended_ts"))} | given)
+
+
 def list_folders(folders: DataFrame) -> DataFrame:
     return folders.orderBy(F.desc_nulls_last("last_scan_ts"), F.desc("id"))
 

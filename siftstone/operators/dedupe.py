@@ -57,11 +57,20 @@ def report_totals(files: DataFrame) -> DataFrame:
     return total.select("*", key).join(groups.select("*", key), "k").drop("k")
 
 
+def _named(files: DataFrame, folder: Column | None) -> DataFrame:
+    """(dir, file_name, hash, bytes): of several files of one name the greatest path's hash."""
+    dirs = files.withColumn("dir", S.parent("normalized_path") if folder is None else folder)
+    return dirs.groupBy("dir", "file_name").agg(F.max_by("hash", F.struct("normalized_path", "hash")).alias("hash"), F.sum("size").alias("bytes"))
+
+
 def signatures(files: DataFrame, folder: Column | None = None) -> DataFrame:
     """(dir, signature, file_count, total_bytes): digest of each folder's direct names and
-    hashes in name order.  Of several files of one name the greatest path's hash counts."""
-    dirs = files.withColumn("dir", S.parent("normalized_path") if folder is None else folder)
-    names = dirs.groupBy("dir", "file_name").agg(F.max_by("hash", F.struct("normalized_path", "hash")).alias("hash"), F.sum("size").alias("bytes"))
+    hashes in name order.  The digest needs a folder's names in one list; see
+    :func:`duplicate_dirs` for how few folders come to that."""
+    return _signed(_named(files, folder))
+
+
+def _signed(names: DataFrame) -> DataFrame:
     mark = F.lit("\u0000")
     pairs = F.transform(F.array_sort(F.collect_list(F.struct("file_name", "hash"))), lambda p: F.concat(p["file_name"], mark, p["hash"], mark))
     return names.groupBy("dir").agg(
@@ -69,9 +78,21 @@ def signatures(files: DataFrame, folder: Column | None = None) -> DataFrame:
     )
 
 
+def _twins(names: DataFrame) -> DataFrame:
+    """(dir): folders that share the number of their names and two sums of their hashes with
+    another.  Sums are partial in each task, so a folder with most of all files is one row a
+    task, and it is listed only if another folder may have the same files."""
+    sums = [F.sum(F.xxhash64(*([F.lit(1)] * k), "file_name", "hash").cast("decimal(38,0)")).alias(f"s{k}") for k in (0, 1)]
+    prints = names.groupBy("dir").agg(F.count(F.lit(1)).alias("n"), *sums)
+    key = ["n", "s0", "s1"]
+    several = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*key)
+    return prints.join(several, key, "left_semi").select("dir")
+
+
 def duplicate_dirs(files: DataFrame, folder: Column | None = None) -> DataFrame:
     """Sets of folders with equal direct contents; figures are those of the first folder."""
-    sets = signatures(files, folder).groupBy("signature").agg(
+    names = _named(files, folder)
+    sets = _signed(names.join(_twins(names), "dir", "left_semi")).groupBy("signature").agg(
         F.count(F.lit(1)).alias("n_dirs"), F.array_sort(F.collect_list("dir")).alias("dirs"), F.min(F.struct("dir", "file_count", "total_bytes")).alias("f")
     )
     out = sets.where("n_dirs > 1").select(
@@ -105,17 +126,16 @@ def plan(files: DataFrame, rule: str = "shortest_path") -> DataFrame:
     listed twice (overlapping roots), the row that isn't the keeper's own is a hardlink of
     it, or a duplicate if the file's identity is unknown.
     """
-    best = keepers(files, rule)
-    w = Window.partitionBy("hash", "normalized_path").orderBy("path", "source_root")
-    rows = files.join(best, "hash")
+    rows = files.join(keepers(files, rule), "hash")
+    # Only rows at the keepers' own paths are ranked, to find the one row that is the keeper.
     same = F.col("normalized_path") == F.col("keeper_normalized_path")
-    # Only rows at the keeper's own path are ranked, to find the one row that is the keeper.
-    turn = F.when(same, F.row_number().over(w)).otherwise(0)
-    is_keeper = same & (F.col("turn") == 1)
+    w = Window.partitionBy("hash", "normalized_path").orderBy("path", "source_root")
+    rows = rows.where(same).withColumn("turn", F.row_number().over(w)).unionByName(rows.where(~same).withColumn("turn", F.lit(0)))
+    is_keeper = F.col("turn") == 1
     linked = (F.col("ino") != 0) & (F.col("ino") == F.col("keeper_ino")) & (F.col("dev") == F.col("keeper_dev"))
     reason = F.when(is_keeper, K.KEEPER_REASONS[rule]).when(linked, K.HARDLINK_REASON).otherwise(K.DUPLICATE_REASON)
     action = F.when(is_keeper | linked, "keep").otherwise("quarantine")
-    return rows.withColumn("turn", turn).select("hash", "path", "normalized_path", "size", action.alias("action"), reason.alias("reason"))
+    return rows.select("hash", "path", "normalized_path", "size", action.alias("action"), reason.alias("reason"))
 
 
 def plan_counts(plan_rows: DataFrame) -> DataFrame:
@@ -152,10 +172,11 @@ def planned_members(files: DataFrame, plan_rows: DataFrame) -> DataFrame:
 
 def waste_by_extension(files: DataFrame, top: int = K.TOP_EXTENSIONS) -> DataFrame:
     """Bytes of all but each group's first file, by extension: the largest ``top`` and the rest together."""
-    first = group_stats_first(files)
-    rows = group_members(files).join(first, "hash")
+    rows = group_members(files).join(group_stats_first(files), "hash")
+    same = F.col("normalized_path") == F.col("first_path")
     turn = F.row_number().over(Window.partitionBy("hash", "normalized_path").orderBy("path", "source_root"))
-    spare = rows.withColumn("turn", turn).where("normalized_path != first_path or turn > 1")
+    again = rows.where(same).withColumn("turn", turn).where("turn > 1").drop("turn")
+    spare = rows.where(~same).unionByName(again)
     sums = spare.groupBy(S.file_ext("path").alias("ext")).agg(F.sum("size").alias("bytes"))
     ranked = sums.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("bytes"), "ext")))
     name = F.when(F.col("rank") <= top, F.col("ext")).otherwise("other")

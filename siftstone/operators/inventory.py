@@ -152,6 +152,12 @@ def children(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent is not null").join(up, ["source_root", "parent"]).orderBy("parent", "path")
 
 
+def remembered_roots(roots: DataFrame, folders: DataFrame) -> DataFrame:
+    """Chosen roots (source_root) with what is remembered of each, and whether anything is."""
+    known = folders.withColumnRenamed("normalized_path", "source_root").withColumn("remembered", F.lit(True))
+    return roots.join(known, "source_root", "left").na.fill(False, ["remembered"])
+
+
 def sample_files(files: DataFrame, cap: int = K.SAMPLE_CAP) -> DataFrame:
     """At most ``cap`` files, the first by root and path."""
     return files.orderBy("source_root", "normalized_path").limit(cap).select("path", "file_name", "media_kind", "size", "source_root")

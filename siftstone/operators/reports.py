@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions import constants as K
 from siftstone.functions import scalars as S
 from siftstone.operators.dedupe import group_members
+from siftstone.sources.scratch import in_order
 
 
 def export_rows(files: DataFrame) -> DataFrame:
@@ -27,9 +28,11 @@ def export_lines(files: DataFrame) -> DataFrame:
 
 def quarantine_names(plan_rows: DataFrame) -> DataFrame:
     """A first guess at flat names: the k-th victim of a name, by path, gets ``_k``.  Names
-    that files already have are settled when files are moved."""
-    victims = plan_rows.where("action = 'quarantine'").withColumn("name", S.file_name("path"))
-    k = F.row_number().over(Window.partitionBy("name").orderBy("normalized_path"))
+    that files already have are settled when files are moved.  The k is a place in the order of
+    all names and paths, less the name's first, so that one name may be most files'."""
+    victims = in_order(plan_rows.where("action = 'quarantine'").withColumn("name", S.file_name("path")), "name", "normalized_path", tag="victims")
+    victims = victims.join(victims.groupBy("name").agg(F.min("place").alias("first")), "name")
+    k = F.col("place") - F.col("first") + 1
     ext, stem = S.extension("name"), S.stem("name")
     tail = F.when(ext.isNull(), "").otherwise(F.concat(F.lit("."), ext))
     later = F.concat(stem, F.lit("_"), F.col("k").cast("string"), tail)
@@ -52,8 +55,8 @@ def simulate_apply(plan_rows: DataFrame, on_disk: DataFrame) -> DataFrame:
     differs = F.col("keeper").isNotNull() & (F.col("current_hash") != F.col("keeper_hash"))
     status = F.when(gone, "skipped").when(lost | differs, "failed").otherwise("moved")
     reason = (
-        F.when(gone, "source file no longer exists").when(lost, F.concat(F.lit("verify error: "), "keeper", F.lit(" no longer exists")))
-        .when(differs, F.concat(F.lit("content differs from keeper "), "keeper"))
+        F.when(gone, K.REASON_GONE).when(lost, F.concat(F.lit(K.REASON_VERIFY), "keeper", F.lit(" no longer exists")))
+        .when(differs, F.concat(F.lit(K.REASON_DIFFERS), "keeper"))
     )
     return rows.select("hash", "path", "normalized_path", "size", status.alias("status"), reason.alias("reason"))
 
@@ -61,7 +64,7 @@ def simulate_apply(plan_rows: DataFrame, on_disk: DataFrame) -> DataFrame:
 def apply_totals(simulated: DataFrame, plan_rows: DataFrame) -> DataFrame:
     """One row: quarantined, failed, bytes_freed, kept; a skipped victim counts as failed,
     unless it was skipped by cancellation, which counts as not processed."""
-    canceled = F.coalesce(F.col("reason") == "canceled before move", F.lit(False))
+    canceled = F.coalesce(F.col("reason") == K.REASON_CANCELED, F.lit(False))
     k = F.lit(1).alias("k")
     t = simulated.agg(
         F.count_if(F.col("status") == "moved").alias("quarantined"), F.count_if((F.col("status") != "moved") & ~canceled).alias("failed"),
@@ -77,6 +80,33 @@ def restorable(manifest_rows: DataFrame) -> DataFrame:
     return manifest_rows.where(status.isin("", "moved") & (F.coalesce("quarantine_path", F.lit("")) != ""))
 
 
+def simulate_undo(manifest_rows: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """What an undo would do with each row it restores: it fails where the file has left the
+    quarantine, and where a file is at its old place again.  ``on_disk``: path."""
+    here = on_disk.select("path").distinct()
+    held = here.select(F.col("path").alias("quarantine_path"), F.lit(True).alias("held"))
+    taken = here.select(F.col("path").alias("original_path"), F.lit(True).alias("taken"))
+    rows = restorable(manifest_rows).join(held, "quarantine_path", "left").join(taken, "original_path", "left")
+    fine = F.col("held").isNotNull() & F.col("taken").isNull()
+    return rows.withColumn("outcome", F.when(fine, "restored").otherwise("failed")).drop("held", "taken")
+
+
+def undo_totals(simulated: DataFrame) -> DataFrame:
+    return simulated.agg(*(F.count_if(F.col("outcome") == k).alias(k) for k in ("restored", "failed")))
+
+
+def quarantine_lines(manifest_rows: DataFrame) -> DataFrame:
+    """Manifest rows with ``line``: their lines in the quarantine log."""
+    texts = {c: S.csv_field(F.coalesce(c, F.lit(""))) for c in ("moved_ts", "status", "original_path", "quarantine_path", "hash", "reason")}
+    cells = [texts["moved_ts"], texts["status"], texts["original_path"], texts["quarantine_path"], F.col("size").cast("string"), texts["hash"], texts["reason"]]
+    return manifest_rows.withColumn("line", F.concat_ws(",", *cells))
+
+
+def in_folder(folder: Column, path: Column) -> Column:
+    """Whether a path is a manifest below the folder once ``.`` and ``..`` are resolved by text."""
+    return S.is_under(folder, path) & path.endswith(".json")
+
+
 def log_tail(log: DataFrame, since: int, ring: int = K.LOG_RING) -> DataFrame:
     """Log rows after a cursor (rows ever written), no older than the ring's start.
 

@@ -21,6 +21,9 @@ from siftstone.sources.scratch import cut
 
 #: Beyond this distance an index has more probes than blocks have comparisons.
 INDEXED_DISTANCE = 11
+#: The same for videos, whose 32 hashes on each side meet 128 times: at one flip of 16 bits
+#: every eighth pair of unlike videos meets, at two flips each pair once.
+VIDEO_INDEXED_DISTANCE = 7
 #: Rows of a block in the comparison of all blocks with all.
 BLOCK_ROWS = 4096
 
@@ -39,9 +42,9 @@ def _segments(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.posexplode(parts).alias("seg", "value"))
 
 
-def near_hashes(left: DataFrame, right: DataFrame, max_distance: int) -> DataFrame:
+def near_hashes(left: DataFrame, right: DataFrame, max_distance: int, also: str | None = None) -> DataFrame:
     """Pairs (columns of ``left`` as l, of ``right`` as r) of 64-bit hashes at most
-    ``max_distance`` bits apart, each once.
+    ``max_distance`` bits apart, each once; with equal values of the column ``also``, if given.
 
     Of four 16-bit segments one has at most a quarter of the differing bits, so a probe of
     every word that near meets the other side in an equi-join; a pair is kept for the first
@@ -57,7 +60,9 @@ def near_hashes(left: DataFrame, right: DataFrame, max_distance: int) -> DataFra
     for i in range(3):
         part = F.bit_count(F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0xFFFF)))
         earlier = earlier & ((F.col("seg") <= i) | (part > flips))
-    met = probes.hint("merge").join(index, ["seg", "value"])
+    if also:
+        probes, index = probes.withColumn("also", F.col(f"l.{also}")), index.withColumn("also", F.col(f"r.{also}"))
+    met = probes.hint("merge").join(index, ["seg", "value"] + (["also"] if also else []))
     return met.where((F.bit_count(x) <= max_distance) & earlier).select("l", "r", F.bit_count(x).alias("distance"))
 
 
@@ -100,16 +105,15 @@ def _pair_distance(a, b, max_distance: int):
 def video_edges(fingerprints: DataFrame, max_distance: int = K.MAX_DISTANCE) -> DataFrame:
     """(path_a, path_b, total_distance, avg_distance), path_a < path_b.
 
-    Within the index's range only videos that share a near frame are compared: a similar
-    pair has four of them.  Candidates are pairs of paths, made distinct before frames are
-    compared.  Beyond it all blocks are compared with all.
+    Within the index's range only videos that share a near frame of the same number are
+    compared: a similar pair has four of them.  Candidates are pairs of paths, made distinct
+    before frames are compared.  Beyond it all blocks are compared with all.
     """
     rows = fingerprints.select("path", "frames")
-    if max_distance <= INDEXED_DISTANCE:
-        # Each video's frames in its first orientation meet all orientations of the other;
-        # the pair is unordered, so both roles are taken.
-        long = rows.select("path", F.posexplode("frames").alias("orient", "f")).select("path", "orient", F.explode("f").alias("hash")).distinct()
-        near = near_hashes(long.select("path", "hash").distinct(), long.select("path", "hash").distinct(), max_distance)
+    if max_distance <= VIDEO_INDEXED_DISTANCE:
+        rows = cut(rows, "video-frames")
+        long = rows.select("path", F.explode("frames").alias("f")).select("path", F.posexplode("f").alias("frame", "hash")).distinct()
+        near = near_hashes(long, long, max_distance, "frame")
         pairs = near.where(F.col("l.path") < F.col("r.path")).select(F.col("l.path").alias("path_a"), F.col("r.path").alias("path_b")).distinct()
         left = rows.select(F.col("path").alias("path_a"), F.col("frames").alias("fa"))
         right = rows.select(F.col("path").alias("path_b"), F.col("frames").alias("fb"))

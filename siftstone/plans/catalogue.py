@@ -9,6 +9,7 @@ from siftstone.operators import cache, dedupe, inventory, reports, similar
 from siftstone.operators.inventory import ScanOptions
 from siftstone.plans import fixtures as X
 from siftstone.plans.fixtures import sql
+from siftstone.sources.scratch import cut
 
 QUERIES = {}
 ORACLES = {}
@@ -452,7 +453,21 @@ def hamming_pairs(spark, sf_dir):
     return similar.hamming_pairs(similar.hash_bits(X.emb_fp(spark, sf_dir)).select("id", "hash"), 20)
 
 
-@register("video_edges", sql("emb_fp video", "select path_a, path_b, total_distance from edges"))
+@register(
+    "hamming_pairs_default",
+    sql("emb_fp hashes", "select a.id as id_a, b.id as id_b, bit_count(xor(a.hash, b.hash))::int as distance from hashes a join hashes b on a.id < b.id where bit_count(xor(a.hash, b.hash)) <= 10"),
+)
+def hamming_pairs_default(spark, sf_dir):
+    """At the default distance, which the index serves."""
+    return similar.hamming_pairs(similar.hash_bits(X.emb_fp(spark, sf_dir)).select("id", "hash"), 10)
+
+
+def video_edges_within(spark, sf_dir, max_distance):
+    """Edges as a table, as clusters read them twice."""
+    return cut(similar.video_edges(X.emb_video(spark, sf_dir), max_distance), "video-edges")
+
+
+@register("video_edges", sql("emb_fp video", "select path_a, path_b, total_distance from edges", distance=26))
 def video_edges(spark, sf_dir):
     return similar.video_edges(X.emb_video(spark, sf_dir), 26).select("path_a", "path_b", "total_distance")
 
@@ -465,13 +480,13 @@ _CLUSTERS = """, reach(a, b) as (
 
 @register(
     "similar_clusters",
-    sql("emb_fp video", "").rstrip("\n")
+    sql("emb_fp video", "", distance=26).rstrip("\n")
     + _CLUSTERS
     + """select n.cluster, any_value(n.size) as size, count(*)::bigint as n_edges, sum(e.total_distance)::bigint as total_distance
     from edges e join (select *, count(*) over (partition by cluster) as size from named) n on e.path_a = n.path group by n.cluster""",
 )
 def similar_clusters(spark, sf_dir):
-    return similar.clusters(similar.video_edges(X.emb_video(spark, sf_dir), 26)).select("cluster", "size", "n_edges", "total_distance")
+    return similar.clusters(video_edges_within(spark, sf_dir, 26)).select("cluster", "size", "n_edges", "total_distance")
 
 
 # --- reports ---------------------------------------------------------------------------
@@ -638,3 +653,7 @@ def paths_sanitized(spark, sf_dir):
 def compare_folders(spark, sf_dir):
     some = X.doc_files(spark, sf_dir).where(F.right("source_root", F.lit(1)).isin("0", "2", "4", "6", "8"))
     return dedupe.compare_roots(some).select("hash", "copies", "n_roots")
+
+
+# More queries, in a module of their own, which registers them here.
+from siftstone.plans import scan_queries  # noqa: E402, F401

@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import os
 import threading
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,31 @@ from siftstone.sources.scratch import cut
 VERSION = "1.0.0"
 
 
+def _exist(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(path_exists=[os.path.exists(p) for p in pdf["path"]])
+
+
+@contextmanager
+def _every(seconds: float, value: Callable[[], int], tell: Callable[[], None]):
+    """Calls ``tell`` meanwhile, whenever the value has changed."""
+    over, last = threading.Event(), [value()]
+
+    def watch() -> None:
+        while not over.wait(seconds):
+            if value() != last[0]:
+                last[0] = value()
+                tell()
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield
+    finally:
+        over.set()
+        watcher.join()
+
+
 @dataclass
 class DataPaths:
     """Where the engine keeps things; the output folder is made by the first run that moves files."""
@@ -81,6 +109,7 @@ class Engine:
         self.logs = LogSink(os.path.join(self.data.logs, "activity.jsonl"))
         self.store = Store(spark, "file://" + self.data.store)
         self._busy, self._cancel = threading.Lock(), threading.Event()
+        self._tag: str | None = None
         self._last: ScanResult | None = None
         self._plan: DataFrame | None = None
 
@@ -102,20 +131,31 @@ class Engine:
             raise ScanAlreadyRunning()
         try:
             self._cancel.clear()
+            self._tag = f"scan-{uuid.uuid4().hex}"
+            self.spark.sparkContext.addJobTag(self._tag)
             given = options or ScanOptions.interactive(data_root=self.data.root)
             self.store.remember_folders([(r, stored(os.path.abspath(r))) for r in dict.fromkeys(roots)], now())
             scan_id = self.store.start_scan(mode, list(roots), now())
             try:
                 result = self._scan(scan_id, mode, roots, given, progress or (lambda p: None))
-            except BaseException:
+            except BaseException as e:
+                self._untag()
                 self.store.finish_scan(scan_id, now())
+                if self._cancel.is_set() and not isinstance(e, Canceled):  # its jobs were stopped
+                    self._checked()
                 raise
             if commit_results:
                 self._last, self._plan = result, dedupe.plan(result.files)
             return result
         finally:
+            self._untag()
             self._busy.release()
 
+    def _untag(self) -> None:
+        tag, self._tag = self._tag, None
+        if tag:
+            self.spark.sparkContext.removeJobTag(tag)
+
     def _checked(self) -> None:
         if self._cancel.is_set():
             self.logs.warn("scan canceled")
@@ -136,10 +176,13 @@ class Engine:
         self._checked()
         told("hashing", n["hits"], n["n"], hashes_reused=n["hits"], hashes_computed=0)
         misses = looked.where("hit_kind = 'miss'")
-        hashed = cut(hash_files(misses, self.digest), "scan-hashes")
+        done = self.spark.sparkContext.accumulator(0)
+        tell = lambda: told("hashing", min(n["n"], n["hits"] + done.value), n["n"], hashes_reused=n["hits"], hashes_computed=min(n["n"] - n["hits"], done.value))
+        with _every(0.25, lambda: done.value // K.PROGRESS_FILES, tell):
+            hashed = cut(hash_files(misses, self.digest, done=done), "scan-hashes")
         self._checked()
         told("saving", n["n"], n["n"])
-        fresh = misses.drop("hash").join(hashed, "path")
+        fresh = cache.with_hashes(misses, hashed)
         self._log_errors(fresh.where("hash is null").select("path", "message", "denied"))
         new = fresh.where("hash is not null")
         moves = cache.moves_by_hash(new, live, looked).select("normalized_path", F.col("moved_from").alias("hash_moved_from"))
@@ -153,9 +196,9 @@ class Engine:
 
     def _alive(self, bank: DataFrame, walked: DataFrame) -> DataFrame:
         """The cache with ``path_exists``: by the walk for paths it met, else by the file system."""
-        met = cache.live_only(bank, walked.where("not is_dir"))
-        exists = F.udf(os.path.exists, "boolean")  # few rows: cached paths that no walk met
-        return met.withColumn("path_exists", F.when(F.col("path_exists"), True).otherwise(exists("path")))
+        met = cut(cache.live_only(bank, walked.where("not is_dir")), "scan-live")
+        asked = met.where("not path_exists").mapInPandas(_exist, met.schema)  # cached paths that no walk met
+        return met.where("path_exists").unionByName(asked)
 
     def _log_errors(self, errors: DataFrame) -> None:
         for r in inventory.error_summary(errors).collect():  # the first twenty and two totals
@@ -176,7 +219,7 @@ class Engine:
         per_root = {r["source_root"]: r.asDict() for r in inventory.root_counters(files, options).collect()}
         for r in cache.counters(looked).collect():
             per_root.setdefault(r["source_root"], {}).update(r.asDict())
-        saved = {r["source_root"]: r.asDict() for r in scanned.rollup("source_root").agg(F.count_if("computed").alias("new_hashes_saved"), F.count_if("reused_from_cache").alias("hashes_reused"), F.count_if("computed").alias("hashes_computed"), F.count_if(F.col("moved_from").isNotNull()).alias("moved_reused"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_seen"), F.coalesce(F.sum(F.when(F.col("computed"), F.col("size"))), F.lit(0)).alias("bytes_hashed")).collect()}
+        saved = {r["source_root"]: r.asDict() for r in cache.outcome_counters(scanned).collect()}
         failed = {r["source_root"]: r["n"] for r in fresh.rollup("source_root").agg(F.count_if(F.col("hash").isNull()).alias("n")).collect()}
         walk_errors = walked.where("is_dir and error is not null").count()
         for root, row in per_root.items():
@@ -198,8 +241,11 @@ class Engine:
         return ScanResult(scan_id, mode, list(roots), scanned, all_, [r for k, r in per_root.items() if k is not None], folders, totals, walked)
 
     def cancel_scan(self) -> None:
-        """Ask a running scan, or the remaining moves of a run, to stop."""
+        """Stop a running scan, its Spark jobs included, or the remaining moves of a run."""
         self._cancel.set()
+        tag = self._tag
+        if tag:
+            self.spark.sparkContext.cancelJobsWithTag(tag)
 
     def get_last_results(self) -> ScanResult | None:
         return self._last

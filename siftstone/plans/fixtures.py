@@ -53,6 +53,20 @@ def doc_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+FOLDERS = ["src", ".git", "node_modules", "Tool.APP", ".Spotlight-V100", ".Trashes", "lib", "img"]
+
+
+def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a walk over all roots meets: bookkeeping files, files in error, folders of all kinds."""
+    id_ = F.col("doc_id")
+    folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.expr("(doc_id div 3) % 8") + 1).cast("int"))
+    name = F.when(id_ % 31 == 0, ".DS_Store").when(id_ % 37 == 0, F.concat(F.lit("._"), "file_name")).when(id_ % 41 == 0, "Icon\r").otherwise(F.col("file_name"))
+    usual = (id_ % 31 != 0) & (id_ % 37 != 0) & (id_ % 41 != 0)
+    error = F.when(usual & (id_ % 29 == 0), "Permission denied").when(usual & (id_ % 23 == 0), "No such file or directory")
+    rows = doc_files(spark, sf_dir).withColumn("file_name", name).withColumn("folder", folder).withColumn("error", error)
+    return rows.withColumn("normalized_path", F.concat_ws("/", "source_root", "folder", "file_name")).drop("hash")
+
+
 def order_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.groupBy(F.col("o_custkey").alias("dir"), F.col("o_orderpriority").alias("file_name")).agg(
@@ -127,6 +141,14 @@ doc_files as (
         '/vault/' || source as source_root, size, ({T0} + ((doc_id * 7919) % 1000) * 1000000000)::bigint as modified_ns,
         1::bigint as dev, (case when doc_id % 3 = 0 then 1 + link else 1000000 + doc_id end)::bigint as ino
     from doc_base b left join doc_link l on b.hash = l.hash
+)""",
+    "walk": """walk_base as (
+    select doc_id, source_root, size, media_kind as kind, file_name as plain, (['src','.git','node_modules','Tool.APP','.Spotlight-V100','.Trashes','lib','img'])[((doc_id // 3) % 8 + 1)::int] as folder,
+        doc_id % 31 = 0 or doc_id % 37 = 0 or doc_id % 41 = 0 as bookkeeping from doc_files
+), walk as (
+    select *, source_root || '/' || folder || '/' || file_name as normalized_path from (select *,
+        case when doc_id % 31 = 0 then '.DS_Store' when doc_id % 37 = 0 then '._' || plain when doc_id % 41 = 0 then 'Icon' || chr(13) else plain end as file_name,
+        case when bookkeeping then null when doc_id % 29 = 0 then 'Permission denied' when doc_id % 23 = 0 then 'No such file or directory' end as error from walk_base)
 )""",
     "doc_bank": f"""doc_bank as (
     select doc_id + 1 as id, case when doc_id % 17 = 0 then 'p:' || substr(hash, 1, 16) else hash end as hash,
@@ -155,14 +177,14 @@ doc_files as (
 )""",
     "video": """vids as (
     select id // 8 as video, id % 8 as frame, o.o as orient, list_concat(c[o.o * 16 + 1:], c[1:o.o * 16]) as c
-    from emb_fp, (select unnest(range(4)) as o) o where id < 496
+    from emb_fp, (select unnest(range(4)) as o) o where id // 8 in (select id // 8 from emb_fp group by 1 having count(distinct id % 8) = 8)
 ), vmid as (select *, list_sort(c)[33] as mid from vids), vbits as (
     select video, frame, orient, unnest(range(64)) as i, unnest(c) as v, mid from vmid
 ), frames as (
     select video, frame, orient, sum(case when v > mid then (case when i = 63 then -9223372036854775808::hugeint else (1::hugeint << i) end) else 0 end)::bigint as hash
     from vbits group by 1, 2, 3
 ), orient_pairs as (
-    select a.video as va, b.video as vb, a.orient as oa, b.orient as ob, sum(bit_count(xor(a.hash, b.hash))) as total, count(*) filter (where bit_count(xor(a.hash, b.hash)) <= 26) as matches
+    select a.video as va, b.video as vb, a.orient as oa, b.orient as ob, sum(bit_count(xor(a.hash, b.hash))) as total, count(*) filter (where bit_count(xor(a.hash, b.hash)) <= {distance}) as matches
     from frames a join frames b on a.frame = b.frame and a.video < b.video group by 1, 2, 3, 4
 ), edges as (
     select printf('/vault/video/v_%04d.mp4', va) as path_a, printf('/vault/video/v_%04d.mp4', vb) as path_b, min(total)::bigint as total_distance
@@ -181,6 +203,7 @@ doc_files as (
 }
 
 
-def sql(views: str, body: str) -> str:
-    """``body`` after the named views, in the order given."""
-    return "with recursive " + ", ".join(CTE[v] for v in views.split()) + "\n" + body
+def sql(views: str, body: str, distance: int | None = None) -> str:
+    """``body`` after the named views (and those they build on), in the order given."""
+    names = " ".join("doc_files walk" if v == "walk" else v for v in views.split()).split()
+    return ("with recursive " + ", ".join(CTE[v] for v in names) + "\n" + body).replace("{distance}", str(distance))

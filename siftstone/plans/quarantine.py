@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from siftstone.functions import constants as K
 from siftstone.functions.errors import WouldDeleteUniqueCopy
 from siftstone.sources.content import files_equal
 from siftstone.sources.logs import LogSink, now
@@ -106,8 +107,8 @@ def apply(rows: list[dict], out_dir: str, manifests_dir: str, logs: LogSink, can
             continue
         if canceled():
             result.canceled, result.not_processed = True, result.not_processed + 1
-            logs.warn(f"quarantine canceled before moving {r['path']}")
-            note(r, "skipped", reason="canceled before move")
+            logs.warn(f"run stopped; {r['path']} stays where it is")
+            note(r, "skipped", reason=K.REASON_CANCELED)
             continue
         problem = _problem(r, keeper.get(r["hash"]))
         if problem:
@@ -121,14 +122,14 @@ def apply(rows: list[dict], out_dir: str, manifests_dir: str, logs: LogSink, can
         except OSError as e:
             result.failed += 1
             logs.error(f"move failed {r['path']} -> {target}: {e}")
-            note(r, "failed", reason=f"move error: {e}")
+            note(r, "failed", reason=f"{K.REASON_MOVE}{e}")
             continue
         try:
             note(r, "moved", target)
         except OSError:
             manifest["entries"].pop()
             move(target, r["path"])  # a move that isn't on record is taken back
-            logs.warn(f"manifest write failed; reverted move of {r['path']}")
+            logs.warn(f"{r['path']} went back to its place, as its move could not be recorded")
             raise
         result.quarantined += 1
         result.bytes_freed += r["size"]
@@ -138,20 +139,20 @@ def apply(rows: list[dict], out_dir: str, manifests_dir: str, logs: LogSink, can
     try:
         append_log(out_dir, manifest)
     except OSError as e:
-        logs.warn(f"could not write quarantine log: {e}")
+        logs.warn(f"the table of moved files was not extended: {e}")
     return result
 
 
 def _problem(r: dict, keeper: str | None) -> tuple[str, str] | None:
     """Status and reason why a victim may not be moved; None if it may."""
     if not os.path.exists(r["path"]):
-        return "skipped", "source file no longer exists"
+        return "skipped", K.REASON_GONE
     if keeper is None:
         return None
     try:
-        return None if files_equal(keeper, r["path"]) else ("failed", f"content differs from keeper {keeper}")
+        return None if files_equal(keeper, r["path"]) else ("failed", f"{K.REASON_DIFFERS}{keeper}")
     except OSError as e:
-        return "failed", f"verify error: {e}"
+        return "failed", f"{K.REASON_VERIFY}{e}"
 
 
 def undo(manifest_path: str, logs: LogSink) -> UndoResult:
@@ -164,7 +165,7 @@ def undo(manifest_path: str, logs: LogSink) -> UndoResult:
         source, target = e["quarantine_path"], e["original_path"]
         try:
             if not os.path.exists(source):
-                raise FileNotFoundError(errno.ENOENT, "missing quarantine source", source)
+                raise FileNotFoundError(errno.ENOENT, "no such file in the quarantine folder", source)
             if os.path.lexists(target):
                 raise FileExistsError(errno.EEXIST, "a file is there already", target)
             os.makedirs(os.path.dirname(target), exist_ok=True)

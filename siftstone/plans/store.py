@@ -1,13 +1,16 @@
 """The persistent cache: Parquet snapshots of five tables behind one pointer.
 
-A change writes new snapshot folders and then renames a new pointer file into place, so a
+A change writes new snapshot folders and then a new pointer, so a
 reader sees the state before or after it, never between; a lost executor costs a retry of
-a Spark write, nothing else.  Old folders are deleted after the pointer has moved.
+a Spark write, nothing else.  Pointers are numbered, and a number is taken once: of two
+writers that start from one state the second fails and changes nothing.  The folders of
+the last ``KEPT`` states stay, for frames that were handed out over them.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,8 @@ from siftstone.functions.errors import StoreError
 from siftstone.operators import cache
 
 VERSION = 3
+#: States whose folders are kept, the current one included.
+KEPT = 4
 TABLES = {
     "folders": "id long, path string, normalized_path string, first_seen_ts string, last_scan_ts string, last_file_count long, last_total_bytes long",
     "scans": "id long, started_ts string, ended_ts string, mode string, roots array<string>, files_seen long, bytes_seen long, hashes_reused long, "
@@ -25,7 +30,6 @@ TABLES = {
     "first_seen_ts string, last_seen_ts string, last_scan_id long",
     "scan_files": "scan_id long, hash string, path string, normalized_path string, file_name string, source_root string, size long, modified_ns long",
 }
-_METRICS = ["files_seen", "bytes_seen", "hashes_reused", "hashes_computed", "duplicate_groups", "wasted_bytes"]
 
 
 class Store:
@@ -34,34 +38,55 @@ class Store:
         jvm = spark._jvm.org.apache.hadoop.fs
         self._path = jvm.Path
         self._fs = jvm.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._rename = jvm.FileContext.getFileContext(jvm.Path(self.root).toUri(), spark._jsc.hadoopConfiguration())
-        self._overwrite = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-        self.state = self._read_pointer()
+        self._files = jvm.FileContext.getFileContext(jvm.Path(self.root).toUri(), spark._jsc.hadoopConfiguration())
+        self._number, self.state = 0, None
+        self.refresh()
         if self.state is None:
             self._commit({"version": VERSION, "tables": {}})
         self._migrate()
 
-    # pointer
-    def _read_pointer(self) -> dict | None:
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        text = self.spark.read.text(at.toString(), wholetext=True).first()[0]
-        return json.loads(text)
+    # pointers
+    def _numbers(self) -> list[int]:
+        """The numbers of the states that are there."""
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
+        return sorted(int(m[1]) for m in map(re.compile(r"STATE-(\d+)$").match, names) if m)
+
+    def _state(self, number: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/STATE-{number}", wholetext=True).first()[0])
+
+    def refresh(self) -> None:
+        """Take up the newest state."""
+        numbers = self._numbers()
+        if numbers:
+            self._number = numbers[-1]
+            self.state = self._state(self._number)
 
     def _commit(self, state: dict) -> None:
-        part = self._path(f"{self.root}/CURRENT.{uuid.uuid4().hex}")
+        part = self._path(f"{self.root}/.{uuid.uuid4().hex}")
         out = self._fs.create(part, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        options = self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
-        options[0] = self._overwrite
-        self._rename.rename(part, self._path(f"{self.root}/CURRENT"), options)
-        old = {p for ps in (self.state or {}).get("tables", {}).values() for p in ps}
-        kept = {p for ps in state["tables"].values() for p in ps}
-        self.state = state
-        for p in old - kept:
-            self._fs.delete(self._path(p), True)
+        keep = self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:  # a number that is taken stays as it is
+            self._files.rename(part, self._path(f"{self.root}/STATE-{self._number + 1}"), keep)
+        except Exception as e:
+            self._fs.delete(part, False)
+            mine = {p for ps in state["tables"].values() for p in ps} - {p for ps in (self.state or {}).get("tables", {}).values() for p in ps}
+            for p in mine:
+                self._fs.delete(self._path(p), True)
+            self.refresh()
+            raise StoreError("the store was changed meanwhile; nothing was written") from e
+        self._number, self.state = self._number + 1, state
+        old = [n for n in self._numbers() if n <= self._number - KEPT]
+        if not old:
+            return
+        used = {p for n in self._numbers()[len(old) :] for ps in self._state(n)["tables"].values() for p in ps}
+        for n in old:
+            for p in {p for ps in self._state(n)["tables"].values() for p in ps} - used:
+                self._fs.delete(self._path(p), True)
+            self._fs.delete(self._path(f"{self.root}/STATE-{n}"), False)
 
     def _migrate(self) -> None:
         v = self.state["version"]
@@ -106,11 +131,7 @@ class Store:
 
     def finish_scan(self, id_: int, now: str, **metrics: int) -> None:
         """Closes a scan; one that failed is closed with zeros."""
-        mine = F.col("id") == id_
-        rows = self.read("scans").withColumn("ended_ts", F.when(mine, F.lit(now)).otherwise(F.col("ended_ts")))
-        for m in _METRICS:
-            rows = rows.withColumn(m, F.when(mine, F.lit(int(metrics.get(m, 0))).cast("long")).otherwise(F.col(m)))
-        self.replace({"scans": rows})
+        self.replace({"scans": cache.finish_scan(self.read("scans"), F.col("id") == id_, now, **metrics)})
 
     def remember_folders(self, roots: list[tuple[str, str]], now: str) -> None:
         new = self.spark.createDataFrame(roots, "path string, normalized_path string")

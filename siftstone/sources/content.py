@@ -7,6 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 
 from siftstone.functions import constants as K
@@ -23,7 +24,7 @@ def hash_file(path: str, algorithm: str = "sha256") -> str:
     return h.hexdigest()
 
 
-def _hashes(algorithm: str):
+def _hashes(algorithm: str, done: Accumulator | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -32,23 +33,25 @@ def _hashes(algorithm: str):
                     rows.append((path, hash_file(path, algorithm), None, False))
                 except OSError as e:
                     rows.append((path, None, str(e.strerror or e), isinstance(e, PermissionError)))
+            if done is not None:
+                done.add(len(rows))
             yield pd.DataFrame(rows, columns=["path", "hash", "message", "denied"])
 
     return run
 
 
-def hash_files(files: DataFrame, algorithm: str = "sha256", bytes_per_task: int = 1 << 30) -> DataFrame:
+def hash_files(files: DataFrame, algorithm: str = "sha256", bytes_per_task: int = 1 << 30, done: Accumulator | None = None) -> DataFrame:
     """(path, hash, message, denied) of distinct paths, read in a stream of bounded buffers.
 
     ``files`` has (path, size).  Files are dealt evenly over tasks first: a walk's
-    partitions may be as uneven as its folders.
+    partitions may be as uneven as its folders.  ``done`` counts files as tasks end.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown digest {algorithm}")
     paths = files.select("path", "size").distinct()
     total = paths.agg({"size": "sum"}).first()[0] or 0
     tasks = max(1, min(100_000, total // bytes_per_task + 1, paths.count() or 1), paths.sparkSession.sparkContext.defaultParallelism)
-    return paths.repartition(int(tasks)).select("path").mapInPandas(_hashes(algorithm), "path string, hash string, message string, denied boolean")
+    return paths.repartition(int(tasks)).select("path").mapInPandas(_hashes(algorithm, done), "path string, hash string, message string, denied boolean")
 
 
 def files_equal(a: str, b: str) -> bool:

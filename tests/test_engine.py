@@ -3,12 +3,14 @@
 import json
 import os
 import shutil
+import threading
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.functions.errors import BadInput, Canceled, NoPendingPlan, NotConfirmed, PathOutsideRoot, ScanAlreadyRunning, WouldDeleteUniqueCopy
+from siftstone.functions.errors import BadInput, Canceled, NoPendingPlan, NotConfirmed, PathOutsideRoot, ScanAlreadyRunning, StoreError, WouldDeleteUniqueCopy
 from siftstone.operators.inventory import ScanOptions
 from siftstone.plans import quarantine
 from siftstone.plans.engine import DataPaths, Engine
@@ -292,6 +294,55 @@ def test_missing_root_is_an_error_not_a_failure(engine, tree):
     assert r.counters["errors"] >= 1 and r.totals["total_files"] == 1
 
 
+def test_canceling_stops_the_jobs_of_a_scan(engine, tree, monkeypatch):
+    from siftstone.plans import engine as module
+
+    def slow(files, digest, done=None):
+        def wait(batches):
+            for pdf in batches:
+                time.sleep(60)
+                yield pdf
+
+        return files.select("path").mapInPandas(wait, "path string")
+
+    put(tree, "a.txt", b"a")
+    monkeypatch.setattr(module, "hash_files", slow)
+    threading.Timer(4, engine.cancel_scan).start()
+    began = time.time()
+    with pytest.raises(Canceled):
+        engine.run_scan([tree], options=ALL)
+    assert time.time() - began < 40
+    monkeypatch.undo()
+    assert engine.run_scan([tree], options=ALL).totals["total_files"] == 1
+
+
+def test_progress_within_hashing(engine, tree):
+    for k in range(40):
+        put(tree, f"{k}.txt", str(k).encode())
+    told = []
+    engine.run_scan([tree], options=ALL, progress=told.append)
+    steps = [p for p in told if p["phase"] == "hashing"]
+    assert steps and all(0 <= p["percent"] <= 100 and p["total"] == 40 for p in steps) and [p["processed"] for p in steps] == sorted(p["processed"] for p in steps)
+
+
+def test_a_second_writer_loses_nothing(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    a = Store(spark, root)
+    b = Store(spark, root)
+    handed = a.read("scans")
+    a.start_scan("dry", ["/x"], "t")
+    seen = a.read("scans")
+    with pytest.raises(StoreError):
+        b.start_scan("dry", ["/y"], "t")
+    assert [r["roots"] for r in b.read("scans").collect()] == [["/x"]] and handed.count() == 0
+    assert b.start_scan("dry", ["/y"], "t") == 2
+    b.finish_scan(1, "end")
+    assert seen.count() == 1 and b.read("scans").where("ended_ts = 'end'").count() == 1  # frames over earlier states can still be read
+    for k in range(6):
+        b.finish_scan(2, f"end {k}")
+    assert len([f for f in os.listdir(f"{tmp_path}/store/scans")]) <= 5 and Store(spark, root).read("scans").count() == 2
+
+
 def test_legacy_store_is_purged(spark, tmp_path):
     root = f"file://{tmp_path}/store"
     s = Store(spark, root)

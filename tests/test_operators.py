@@ -133,12 +133,12 @@ def test_video_edges_with_and_without_index_agree(spark):
     base[2][:, 4:] = base[4][:, 4:]
     rows = [(f"/v{i}", [[int(x) for x in o] for o in v]) for i, v in enumerate(base)]
     df = spark.createDataFrame(rows, "path string, frames array<array<bigint>>")
-    indexed = {(r["path_a"], r["path_b"], r["total_distance"]) for r in similar.video_edges(df, 10).collect()}
-    similar.INDEXED_DISTANCE, kept = -1, similar.INDEXED_DISTANCE
+    indexed = {(r["path_a"], r["path_b"], r["total_distance"]) for r in similar.video_edges(df, 7).collect()}
+    similar.VIDEO_INDEXED_DISTANCE, kept = -1, similar.VIDEO_INDEXED_DISTANCE
     try:
-        blocked = {(r["path_a"], r["path_b"], r["total_distance"]) for r in similar.video_edges(df, 10).collect()}
+        blocked = {(r["path_a"], r["path_b"], r["total_distance"]) for r in similar.video_edges(df, 7).collect()}
     finally:
-        similar.INDEXED_DISTANCE = kept
+        similar.VIDEO_INDEXED_DISTANCE = kept
     assert indexed == blocked and {e[:2] for e in indexed} == {("/v0", "/v1"), ("/v2", "/v3"), ("/v2", "/v4")}
 
 
@@ -157,6 +157,26 @@ def test_videos_of_the_whole_table_beside_brute_force(spark):
     assert {tuple(r)[:3] for r in similar.video_edges(videos, 26).collect()} == want
 
 
+def test_moves_within_one_hot_hash(spark):
+    """The k-th new file of a hash takes the k-th stale row, also where nearly all files have it."""
+    n = 3000
+    bank = spark.createDataFrame([(i, "hot", "hot" if i % 50 else f"h{i}", f"/old/{i:05d}", False) for i in range(n)], "id long, x string, hash string, normalized_path string, path_exists boolean")
+    new = spark.createDataFrame([("hot" if i % 50 else f"h{i}", f"/new/{(i * 7919) % n:05d}") for i in range(n)], "hash string, normalized_path string")
+    got = {(r["normalized_path"], r["moved_from"]) for r in cache.moves_by_hash(new, bank).collect()}
+    want = set()
+    for h in {"hot" if i % 50 else f"h{i}" for i in range(n)}:
+        paths = sorted(f"/new/{(i * 7919) % n:05d}" for i in range(n) if ("hot" if i % 50 else f"h{i}") == h)
+        want |= set(zip(paths, [f"/old/{i:05d}" for i in range(n) if ("hot" if i % 50 else f"h{i}") == h]))
+    assert got == want
+
+
+def test_only_folders_with_a_twin_are_listed(spark):
+    rows = [(f"h{i}", f"/r/{d}/f{i}", 1, 1, 1) for d in ("a", "b") for i in range(5)] + [(f"h{i}", f"/r/big/f{i}", 1, 1, 1) for i in range(500)] + [("h1", "/r/c/f1", 1, 1, 1)]
+    df = files(spark, rows)
+    assert {r["dir"] for r in dedupe._twins(dedupe._named(df, None)).collect()} == {"/r/a", "/r/b"}
+    assert [r["dirs"] for r in dedupe.duplicate_dirs(df).collect()] == [["/r/a", "/r/b"]]
+
+
 def test_simulated_run(spark):
     plan = spark.createDataFrame(
         [("h", "/k", "/k", 1, "keep", ""), ("h", "/v", "/v", 1, "quarantine", ""), ("h", "/w", "/w", 1, "quarantine", ""), ("h", "/x", "/x", 1, "quarantine", "")],
