@@ -14,7 +14,9 @@ from siftstone.sources.scratch import scratch_path
 from tests.conftest import SF
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SPECIAL = ["<|endoftext|>", "<|startoftext|>"]
 ODD = [
+    *(f(t).join(x) for t in SPECIAL for f in (str, str.upper, str.title) for x in (["", ""], ["in", "side"], ["a ", " b."], ["é", "É"], ["汉", " q"])), "<|EndOfText", "<|ENDOFTEXT|", "<| ENDOFTEXT |>",
     "", " ", "plain words, and stops.", "<|endoftext|> inside <s> </s> <unk>", "a$$$, b.. c., d", "it's, don't. ÀÉß² 3.5, 10.", "x\x1cy z\x1d", "ΣΑΣ İstanbul é q",
     "a\xa0b\x85c", "汉字, and. 𝔘nicode.", "é Å. É. É", "word " * 9000, "don.t a.,b A. B, Ab. aB,", "▁ ▁▁ tabs\t\tand\nlines\n",
 ]
@@ -83,6 +85,29 @@ def test_packing(spark, odd):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_special_strings_in_any_case_are_what_the_library_makes_of_them():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tk, ours = Tokenizer.from_file(path), packing.ChunkEncoder(path)
+    assert ours.special == [t.lower() for t in (a.content for a in tk.get_added_tokens_decoder().values())]
+    for t in ODD:
+        assert np.frombuffer(ours.encode([t])[0], dtype="<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, t[:40]
+
+
+@pytest.mark.parametrize("look_ahead,group", [(1, 100_000), (1024, 100_000), (7, 20)])
+def test_lots_and_stretches(spark, look_ahead, group):
+    """No sequence holds pieces of two lots, however pieces are grouped; rows that are all alike too."""
+    rows = [(k, f"word {'more ' * (k % 50)}", "en", f"s{k // 100}", 1) for k in range(300)] + [(None, "", None, None, None)] * 200
+    df = spark.createDataFrame(rows, DOCS).repartitionById(5, F.coalesce(F.substring("source", 2, 1).cast("int"), F.lit(4)))
+    out = packing.pack(df, size=64, look_ahead=look_ahead, group=group, lot=F.coalesce(F.substring("source", 2, 1).cast("int"), F.lit(4)))
+    got = out.collect()
+    assert len([r for r in got if r["doc_id"] is None]) == 200
+    check_packing(got, [(r[0], r[1]) for r in rows], 64)
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], set()).add(4 if r["doc_id"] is None else r["doc_id"] // 100)
+    assert all(len(lots) == 1 for lots in held.values())
+
+
 def test_packing_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows = packing.op6_packing(spark, SF).collect()
