@@ -1,8 +1,10 @@
 """Surrogates for personal data, in Spark expressions only.
 
 Entities are found by one pattern: e-mail addresses, IPv4 addresses, numbers of 13 to 19
-digits (cards, accounts; in one run or in a card's groups), telephone and social security numbers, IBANs, secrets (values
-after ``token =`` and the like, access keys, long hexadecimal strings) and names after a title.  Each
+digits with a valid check digit (cards; in one run or in a card's groups), telephone and social security numbers, IBANs, secrets (values
+after ``token =`` and the like, access keys, long hexadecimal strings) and names after a title.  Two
+plain patterns say which texts can hold one at all; only those are parted, once, into what
+lies between entities and the entities.  Each
 is replaced in place by a surrogate that depends on a key and the entity alone, so an
 entity has the same surrogate everywhere without a table of all entities:
 
@@ -16,22 +18,32 @@ entity has the same surrogate everywhere without a table of all entities:
 
 The last two kinds could collide, so a pass over the distinct entities (never over texts)
 counts the entities of each surrogate; those that share one, or take one that is itself an
-entity, try again with an attempt number.  Few such exceptions travel as literals; more
-are joined by document.
+entity, try again.  A second and a third attempt are longer; from the fourth on an attempt
+holds the attempt's number and the entity, enciphered, and so differs from that of every
+other entity and from all its own before (see :func:`collisions`).  Few such exceptions travel as literals;
+more are joined by document.
+
+Who knows the key can undo the surrogates of digits, so it comes from the caller.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import hashlib
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import table
+from siftstone.llm.common import columns, free_name, table
 from siftstone.sources.scratch import cut
 
-DEFAULT_KEY = "siftstone"
+#: The setting that holds the key of the query and of the pipeline's stage.
+KEY_SETTING = "spark.siftstone.pii.key"
 #: Exceptions that are sent with the plan; more are joined.
 LITERAL_EXCEPTIONS = 2000
 ROUNDS = 6
+#: Attempts from this one on hold the entity itself, enciphered.
+CIPHERED = 3
 
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Don", "Господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Doña", "Госпожа"]
@@ -55,35 +67,70 @@ _PHONE = (
 )
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
+_BEFORE = r"(?i:token|secret|passw(?:or)?d|pwd|api_?key|access_?key)[\"']? {0,2}"
 _PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|sk-)"
 _SECRET = (
-    r"(?<=(?i:token|secret|passw(?:or)?d|pwd|api_?key|access_?key)[\"']? {0,2}[=:] {0,2}[\"']?)(?=[^\s\"']{0,255}\d)[^\s\"',;=:][^\s\"',;]{6,254}[A-Za-z0-9+/=]"
+    rf"(?<={_BEFORE}[=:] {{0,2}}[\"']?)(?=[^\s\"']{{0,255}}\d)[^\s\"',;=:][^\s\"',;]{{6,254}}[A-Za-z0-9+/=]"
     rf"|\b{_PREFIX}[A-Za-z0-9]{{16,80}}\b|\b[0-9a-f]{{32,128}}\b"
 )
 PATTERN = "|".join([_EMAIL, _SECRET, _IP, _PHONE, _SSN, _IBAN, _LONG, _NAME])
-#: A text without one of these characters or strings has no entity.
-_HINT = "[0-9@=:]"
-_HINT_STRINGS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", *sorted({t for t in MALE + FEMALE if not any(t != u and t.startswith(u) for u in MALE + FEMALE)})]
+#: A text in which neither is found has no entity: an at sign, seven digits with little between them, an address of
+#: four numbers, the sign after a secret's name; long hexadecimal strings, access keys, an IBAN's beginning, titles.
+#: Both begin with a look at one character, at which nearly all places of a text fail.
+HINTS = [
+    rf"(?=[\d@=:])(?:@|\d(?:[ .()-]{{0,3}}\d){{6}}|\d\.\d{{1,3}}\.\d{{1,3}}\.\d|(?<={_BEFORE})[=:])",
+    rf"[0-9a-f]{{32}}|(?=[AgsA-Z\p{{Lu}}])(?:{_PREFIX}[A-Za-z0-9]{{16}}|[A-Z]{{2}}\d{{2}} ?[A-Z0-9]{{4}} ?[A-Z0-9]{{4}}|(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu})",
+]
+#: Parts a text in which entities are marked; a text that holds it is matched twice instead.
+_MARK = "\ue000"
 
 GIVEN = {
     ("m", "latin"): ["Adam", "Bruno", "Carlos", "David", "Emil", "Felix", "Gustav", "Henri", "Ivan", "Jonas", "Karl", "Louis"],
     ("f", "latin"): ["Anna", "Berta", "Clara", "Diana", "Elena", "Flora", "Greta", "Helena", "Irma", "Julia", "Klara", "Laura"],
     ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Илья", "Кирилл"],
     ("f", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Ксения", "Лидия"],
+    ("m", "greek"): ["Ανδρέας", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"],
+    ("f", "greek"): ["Άννα", "Ελένη", "Ζωή", "Ιωάννα", "Μαρία", "Σοφία"],
 }
 SYLLABLES = {
     "latin": ["ba", "be", "do", "fa", "ga", "ka", "ko", "la", "le", "lo", "ma", "mi", "na", "no", "pa", "ra", "ri", "ro", "sa", "so", "ta", "to", "va", "vi"],
     "cyrillic": ["ба", "бе", "до", "фа", "га", "ка", "ко", "ла", "ле", "ло", "ма", "ми", "на", "но", "па", "ра", "ри", "ро", "са", "со", "та", "то", "ва", "ви"],
+    "greek": ["βα", "βε", "γα", "γο", "δα", "δο", "κα", "κο", "λα", "λε", "μα", "μι", "να", "νο", "πα", "πο", "ρα", "ρο", "σα", "σο", "τα", "το", "φα", "φι"],
 }
+#: The letters of an enciphered attempt in each script, and the end of a family name.
+CIPHER = {"latin": "bcdfghjklmnprstv", "cyrillic": "бвгджзклмнпрстфх", "greek": "βγδζθκλμνξπρστφχ"}
+NAME_END = {"latin": "n", "cyrillic": "н", "greek": "ς"}
+
+
+def _parts(text: Column) -> Column:
+    """What lies between matches and the matches, in order, each with whether it is an entity;
+    most texts, at little cost, are one part."""
+    hint = text.rlike(HINTS[0]) | text.rlike(HINTS[1])
+    marked = F.split(F.regexp_replace(text, F.lit(PATTERN), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    both = F.zip_with(F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda g, m: F.array(g, m))
+    twice = F.filter(F.flatten(both), lambda p: p.isNotNull())
+    cut = F.when(hint, F.when(text.contains(_MARK), twice).otherwise(marked)).otherwise(F.array(text))
+
+    def tagged(parts: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            return F.struct(p.alias("text"), F.when(i % 2 == 1, _genuine(p, F.get(parts, i - 1))).otherwise(False).alias("entity"))
+
+        return F.transform(parts, one)
+
+    return _with(cut, tagged)
 
 
-def _matches(text: Column) -> Column:
-    """All matches of the pattern in a text, in order; an empty list for most texts at little cost."""
-    none = F.array().cast("array<string>")
-    hint = text.rlike(_HINT)
-    for x in _HINT_STRINGS:  # plain searches cost far less than one pattern with them all
-        hint = hint | text.contains(x)
-    return F.when(hint, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
+def _genuine(match: Column, before: Column) -> Column:
+    """Whether a match is an entity: a number in a card's form is one if its Luhn check holds,
+    or if it stands where a secret does.  Others are numbers of any kind."""
+    number = match.rlike(r"^\d(?:[ -]?\d){12,18}$")
+    digits = F.regexp_replace(match, "[ -]", "")
+    valid = _with(digits, lambda d: _luhn(F.substr(d, F.lit(1), F.length(d) - 1)).cast("string") == F.substr(d, F.length(d), F.lit(1)))
+    return F.when(number, valid | before.rlike(_BEFORE + r"[=:] {0,2}[\"']?$")).otherwise(True)
+
+
+def _matches(parts: Column) -> Column:
+    return F.transform(F.filter(parts, lambda p: p["entity"]), lambda p: p["text"])
 
 
 def _is_row(match: Column) -> Column:
@@ -159,7 +206,7 @@ def _row_surrogate(key: str, row: Column) -> Column:
 
 def find(text: Column) -> Column:
     """All entities of a text, in order."""
-    return _with(_matches(text), _entities)
+    return _with(_matches(_parts(text)), _entities)
 
 
 def _any(e: Column, titles: list[str]) -> Column:
@@ -266,20 +313,29 @@ def _ip_surrogate(key: str, e: Column) -> Column:
     return _with(o, fresh)
 
 
-#: Ranges of letters that replace letters of the same script and case.
-_RANGES = [("a", 26), ("A", 26), ("а", 32), ("А", 32), ("α", 17), ("Α", 17)]
+def _letters(first: int, size: int) -> str:
+    return "".join(chr(first + k) for k in range(size))
+
+
+#: Scripts by their first and last letter, and the letters that replace theirs.
+_SCRIPTS = [
+    ("a", "z", _letters(0x61, 26)), ("A", "Z", _letters(0x41, 26)), ("а", "я", _letters(0x430, 32)), ("А", "Я", _letters(0x410, 32)),
+    ("α", "ω", _letters(0x3B1, 17)), ("Α", "Ω", _letters(0x391, 17)), ("à", "ö", _letters(0xE0, 23)), ("ø", "þ", _letters(0xF8, 6)), ("À", "Ö", _letters(0xC0, 23)), ("Ø", "Þ", _letters(0xD8, 6)),
+    ("\u0621", "\u064a", _letters(0x628, 19)), ("\u05d0", "\u05ea", _letters(0x5D0, 27)), ("\u0904", "\u0939", _letters(0x915, 37)), ("\u0e01", "\u0e2e", _letters(0xE01, 46)),
+    ("\u3041", "\u3096", _letters(0x3042, 84)), ("\u30a1", "\u30fa", _letters(0x30A2, 88)), ("\u4e00", "\u9fff", _letters(0x4E00, 512)), ("\uac00", "\ud7a3", _letters(0xAC00, 512)),
+]
 
 
 def _substitute(text: Column, digest: Column) -> Column:
-    """Each letter or digit by one of the same class, chosen by the digest and the place."""
+    """Each letter or digit by one of the same class, chosen by the digest and the place.
+    Letters of scripts that are not listed become Latin ones of the same case."""
     hexadecimal = text.rlike(r"^(?=.*\d)[0-9a-f]+$")
 
     def one(c: Column, i: Column) -> Column:
-        n = F.conv(F.substr(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.floor(i / 32).cast("int") * 7
+        n = F.conv(F.substr(digest, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int") + F.floor(i / 32).cast("int") * 7
         out = F.when(hexadecimal, F.substr(F.lit("0123456789abcdef"), n % 16 + 1, F.lit(1))).when(c.rlike(r"^\d$"), (n % 10).cast("string"))
-        for first, size in _RANGES:
-            letters = "".join(chr(ord(first) + k) for k in range(size))
-            out = out.when((c >= letters[0]) & (c <= letters[-1]), F.substr(F.lit(letters), n % size + 1, F.lit(1)))
+        for first, last, letters in _SCRIPTS:
+            out = out.when((c >= first) & (c <= last), F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1)))
         plain = "bcdfghklmnprstvw"
         return out.when(c.rlike(r"^\p{Lu}$"), F.upper(F.substr(F.lit(plain), n % 16 + 1, F.lit(1)))).when(c.rlike(r"^\p{L}$"), F.substr(F.lit(plain), n % 16 + 1, F.lit(1))).otherwise(c)
 
@@ -287,41 +343,59 @@ def _substitute(text: Column, digest: Column) -> Column:
 
 
 def _keyed(key: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), *parts), 256)
+    return F.sha2(F.concat_ws("|", F.lit(key), *(p.cast("string") for p in parts)), 512)
+
+
+def _longer(attempt: Column) -> Column:
+    """What later attempts add: letters that are replaced like the others."""
+    return F.repeat(F.lit("x"), F.least(attempt, F.lit(CIPHERED)) * 2)
+
+
+def _ciphered(key: str, e: Column, attempt: Column) -> Column:
+    """Attempt and entity under AES, as hexadecimal digits: different for different pairs."""
+    secret = F.unhex(F.lit(hashlib.sha256(f"cipher|{key}".encode()).hexdigest()[:32]))
+    return F.lower(F.hex(F.aes_encrypt(F.concat_ws("|", attempt.cast("string"), e).cast("binary"), secret, F.lit("ECB"), F.lit("PKCS"))))
+
+
+def _spelt(code: Column, script: str) -> Column:
+    return F.translate(code, "0123456789abcdef", CIPHER[script])
 
 
 def _email_surrogate(key: str, e: Column, attempt: Column) -> Column:
     local, domain = F.substring_index(e, "@", 1), F.lower(F.substring_index(e, "@", -1))
     name = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
     last = F.substring_index(domain, ".", -1)
+    usual = _with(_keyed(key, F.lit("email"), F.lower(e), attempt), lambda d: _substitute(F.concat(local, _longer(attempt)), d))
     return F.concat(
-        _with(_keyed(key, F.lit("email"), F.lower(e), attempt), lambda d: _substitute(local, d)), F.lit("@"),
+        F.when(attempt < CIPHERED, usual).otherwise(_spelt(_ciphered(key, F.lower(e), attempt), "latin")), F.lit("@"),
         _with(_keyed(key, F.lit("domain"), domain), lambda d: _substitute(name, d)), F.lit("."), last,
     )
 
 
 def _name_surrogate(key: str, e: Column, attempt: Column) -> Column:
     words = F.split(e, " ")
-    script = F.when(F.element_at(words, -1).rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    last = F.element_at(words, -1)
+    script = F.when(last.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(last.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
     gender = F.when(_any(e, FEMALE), "f").otherwise("m")
 
     def pick(items: list[str], n: Column) -> Column:
         return F.element_at(F.array(*map(F.lit, items)), (n % len(items) + 1).cast("int"))
 
     def named(h: Column) -> Column:
-        def given(g: str, s: str, i: Column) -> Column:
-            return pick(GIVEN[g, s], F.conv(F.substr(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
+        def number(i: Column) -> Column:
+            return F.conv(F.substr(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
         def family(s: str) -> Column:
-            parts = [pick(SYLLABLES[s], F.conv(F.substring(h, 17 + 4 * i, 4), 16, 10).cast("int")) for i in range(4)]
-            return F.initcap(F.concat(*parts, F.lit({"latin": "n", "cyrillic": "н"}[s])))
+            syllables = F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(CIPHERED)) * 2 + 3), lambda i: pick(SYLLABLES[s], number(i + 4)))
+            usual = F.array_join(syllables, "")
+            return F.initcap(F.concat(F.when(attempt < CIPHERED, usual).otherwise(_spelt(_ciphered(key, e, attempt), s)), F.lit(NAME_END[s])))
 
         def word(w: Column, i: Column) -> Column:
             out = F.when(i == 0, w)
             for s in SYLLABLES:
                 out = out.when((i == F.size(words) - 1) & (script == s), family(s))
             for g, s in GIVEN:
-                out = out.when((gender == g) & (script == s), given(g, s, i))
+                out = out.when((gender == g) & (script == s), pick(GIVEN[g, s], number(i)))
             return out
 
         return F.array_join(F.transform(words, word), " ")
@@ -329,73 +403,106 @@ def _name_surrogate(key: str, e: Column, attempt: Column) -> Column:
     return _with(_keyed(key, F.lit("name"), e, attempt), named)
 
 
-def surrogate(e: Column, key: str = DEFAULT_KEY, attempt: Column | None = None) -> Column:
+def surrogate(e: Column, key: str, attempt: Column | None = None) -> Column:
     """The replacement of one entity."""
-    attempt = (F.lit(0) if attempt is None else attempt).cast("string")
+    attempt = F.lit(0) if attempt is None else attempt.cast("int")
     k = kind(e)
+
+    def masked(what: str, sign: Column, rest: Column, upper: bool) -> Column:
+        code = _ciphered(key, canonical(e), attempt)
+        usual = _with(_keyed(key, F.lit(what), canonical(e), attempt), lambda d: _substitute(F.concat(rest, _longer(attempt)), d))
+        return F.concat(sign, F.when(attempt < CIPHERED, usual).otherwise(F.upper(code) if upper else code))
+
     sign = F.regexp_extract(e, "^" + _PREFIX, 0)
-    rest = F.substr(e, F.length(sign) + 1, F.length(e))
-    plain = F.concat(sign, _with(_keyed(key, F.lit("secret"), canonical(e), attempt), lambda d: _substitute(rest, d)))
-    iban = F.concat(F.substring(e, 1, 2), _with(_keyed(key, F.lit("iban"), canonical(e), attempt), lambda d: _substitute(F.substr(e, F.lit(3), F.length(e)), d)))
+    plain = masked("secret", sign, F.substr(e, F.length(sign) + 1, F.length(e)), False)
+    iban = masked("iban", F.substring(e, 1, 2), F.substr(e, F.lit(3), F.length(e)), True)
     return (
         F.when(k == "email", _email_surrogate(key, e, attempt)).when(k == "name", _name_surrogate(key, e, attempt)).when(k == "ip", _ip_surrogate(key, e))
         .when(k == "digits", _digits_surrogate(key, e)).when(k == "iban", iban).otherwise(plain)
     )
 
 
-def collisions(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def collisions(entities: DataFrame, key: str) -> DataFrame:
     """(entity, attempt) for those distinct canonical entities (column ``entity``) whose
-    first surrogate another entity has too, or is an entity itself."""
-    state = entities.select("entity", F.lit(0).alias("attempt"))
+    first surrogate another entity has too, or is an entity itself.
+
+    A round looks only at the entities that the round before left.  It ends: from attempt
+    ``CIPHERED`` on the surrogates of a round differ from each other, and those of one
+    entity from round to round, so an entity can only meet the finitely many entities and
+    surrogates that are settled, each of them once.
+    """
+    pending, rounds = entities.select("entity"), []
     while True:
-        first = _with(surrogate(F.col("entity"), key, F.col("attempt")), canonical)
-        given = cut(state.select("entity", "attempt", first.alias("surrogate")), "pii-surrogates")
-        w = Window.partitionBy("surrogate").orderBy("attempt", "entity")
-        # At most the repeats are ranked: surrogates that one entity has leave first.
-        shared = given.groupBy("surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("surrogate")
-        again = given.join(shared, "surrogate", "left_semi").withColumn("turn", F.row_number().over(w)).where("turn > 1").select("entity")
+        turn = F.lit(len(rounds))
+        now = _with(surrogate(F.col("entity"), key, turn), canonical)
+        given = cut(pending.select("entity", turn.alias("attempt"), now.alias("surrogate")), "pii-surrogates")
+        shared = given.groupBy("surrogate").agg(F.min("entity").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        again = given.join(shared, "surrogate").where("entity != first").select("entity")
         real = given.join(entities.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("entity")
-        bad = cut(again.unionByName(real).distinct(), "pii-bad")
+        clash = again.unionByName(real)
+        for held, left in rounds:
+            met = given.select("entity", "surrogate").join(held.select("surrogate", F.col("entity").alias("holder")), "surrogate")
+            clash = clash.unionByName(met.join(left.select(F.col("entity").alias("holder")), "holder", "left_anti").select("entity"))
+        bad = cut(clash.distinct(), "pii-bad")
+        rounds.append((given, bad))
         if bad.isEmpty():
-            return given.where("attempt > 0").select("entity", "attempt")
-        state = given.join(bad.withColumn("bad", F.lit(1)), "entity", "left").select("entity", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt"))
-
-
-def replace(docs: DataFrame, key: str = DEFAULT_KEY, literal_exceptions: int = LITERAL_EXCEPTIONS) -> DataFrame:
-    """``docs`` with the entities of ``text`` replaced, and ``n_entities``.
-
-    ``n_chars``, if there, follows the text.  Null texts stay null with 0 entities; all
-    other columns stay.  Repeated rows get the same text, an entity the same surrogate in
-    every row.  An empty table gives no rows.
+            break
+        pending = bad
+    out = entities.select("entity", F.lit(0).alias("attempt")).limit(0)
+    for held, left in rounds[1:]:
+        out = out.unionByName(held.select("entity", "attempt").join(left, "entity", "left_anti"))
+    return out
+
+
+def replace(docs: DataFrame, key: str, literal_exceptions: int = LITERAL_EXCEPTIONS) -> DataFrame:
+    """``docs`` with the entities of ``text`` replaced, and their number: ``n_entities``, or
+    ``n_entities_1`` and so on where ``docs`` has such a column.
+
+    ``n_chars``, if there, follows the text.  Null texts stay null with 0 entities; empty
+    ones stay empty.  All other columns stay as they are, whatever their names.  Texts of any
+    length are matched whole.  Repeated rows get the same text, an entity the same surrogate
+    in every row, and no two entities that surrogates could confuse the same one (of those
+    that tie for one the smallest keeps it).  An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     found = docs.select(F.explode(find(text)).alias("e")).where(kind(F.col("e")).isin("email", "name", "secret", "iban"))
     entities = cut(found.select(canonical(F.col("e")).alias("entity")).distinct(), "pii-entities")
     exceptions = collisions(entities, key)
     few = exceptions.limit(literal_exceptions + 1).collect()
+    parts, n_entities, by, held = (free_name(docs, c) for c in ("parts", "n_entities", "text_hash", "tries"))
     if len(few) <= literal_exceptions:
         tries = F.create_map(*(F.lit(v) for r in few for v in (r["entity"], r["attempt"]))) if few else None
         source = docs
     else:  # the exceptions of each text come by its hash
-        named = docs.select(F.xxhash64(text).alias("_h"), F.explode(F.array_distinct(F.transform(find(text), canonical))).alias("entity")).distinct()
-        maps = named.join(exceptions, "entity").groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_tries"))
-        source = docs.withColumn("_h", F.xxhash64(text)).join(maps, "_h", "left").drop("_h")
-        tries = F.coalesce("_tries", F.create_map().cast("map<string,int>"))
+        named = docs.select(F.xxhash64(text).alias(by), F.explode(F.array_distinct(F.transform(find(text), canonical))).alias("entity")).distinct()
+        maps = named.join(exceptions, "entity").groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias(held))
+        source = docs.withColumn(by, F.xxhash64(text)).join(maps, by, "left")
+        tries = F.coalesce(held, F.create_map().cast("map<string,int>"))
     attempt = (lambda e: F.lit(0)) if tries is None else (lambda e: F.coalesce(F.element_at(tries, canonical(e)), F.lit(0)))
-    marked = source.withColumn("_found", _matches(text))
-    fresh = F.transform(F.col("_found"), lambda e: F.when(_is_row(e), _row_surrogate(key, e)).otherwise(surrogate(e, key, attempt(e))))
-    gaps = F.split(F.col("text"), PATTERN, -1)
-    woven = F.array_join(F.flatten(F.zip_with(gaps, fresh, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
-    out = marked.withColumn("n_entities", F.size(_entities(F.col("_found")))).withColumn("text", F.when(F.col("n_entities") > 0, woven).otherwise(F.col("text")))
+    marked = source.withColumn(parts, _parts(F.col("text")))
+    fresh = lambda e: F.when(_is_row(e), _row_surrogate(key, e)).otherwise(surrogate(e, key, attempt(e)))
+    woven = F.array_join(F.transform(F.col(parts), lambda p: F.when(p["entity"], fresh(p["text"])).otherwise(p["text"])), "")
+    out = marked.withColumn(n_entities, F.coalesce(F.size(_entities(_matches(F.col(parts)))), F.lit(0)))
+    out = out.withColumn("text", F.when(F.col(n_entities) > 0, woven).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "n_entities")
+        out = out.withColumn("n_chars", F.when(F.col(n_entities) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*columns(docs), n_entities)
+
+
+_drawn: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in ``spark.siftstone.pii.key``; where it is unset, one drawn at random for this
+    application, which nobody can use later on."""
+    return spark.conf.get(KEY_SETTING, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(table(spark, sf_dir, "documents"))
+    return replace(table(spark, sf_dir, "documents"), session_key(spark))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with surrogates in their texts."""
-    return replace(docs).select(*docs.columns)
+    """Pipeline stage: the documents with surrogates in their texts.  Every row stays, with
+    nulls, empty, long and repeated texts treated as in :func:`replace`; columns of any name stay."""
+    return replace(docs, session_key(spark)).select(*columns(docs))
