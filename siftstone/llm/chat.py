@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from siftstone.llm.common import table
 
 START, END, PART = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
+#: Turns in a part of a conversation whose places are summed up together.
+PART_TURNS = 256
 #: The conversation that the query adds: both texts hold control strings.
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -47,8 +49,8 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     [from, to) of characters that carry loss: the texts of ``loss_role``, without marks.
 
     Turns are sorted by turn, then role, then text; null turns come first.  Null texts and
-    roles are empty.  Rows that are equal are turns each.  A null conv_id is one
-    conversation.  An empty table gives no rows.  A conversation is one value, so it must fit in
+    roles are empty.  Rows that are equal are turns each.  Rows with a null conv_id are one
+    conversation, as rows with any other id are.  An empty table gives no rows.  A conversation is one value, so it must fit in
     a task; other columns of ``turns`` are not read.
     """
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -67,16 +69,38 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
     pieces = rows.select("conv_id", marks.alias("p"))
     text = F.concat(F.array_join(F.transform("p", lambda x: F.concat(x["mark"], x["text"])), ""), F.lit(END))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
+    length = F.transform("p", lambda x: (F.length(x["mark"]) + F.length(x["text"])).cast("long"))
 
-    def step(a, x):
-        begin = a["at"] + F.length(x["mark"])
-        stop = begin + F.length(x["text"])
-        span = F.struct(begin.cast("long").alias("start"), stop.cast("long").alias("stop"))
-        return F.struct(stop.cast("long").alias("at"), F.when(x["loss"], F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+    def spans(begins):
+        each = F.transform("p", lambda x, i: F.struct((F.get(begins, i) + F.length(x["mark"])).alias("start"), (F.get(begins, i) + F.length(x["mark"]) + F.length(x["text"])).alias("stop"), x["loss"].alias("loss")))
+        return F.transform(F.filter(each, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["stop"]))
 
-    spans = F.aggregate("p", start, step, lambda a: a["spans"])
-    return pieces.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
+    return pieces.select("conv_id", text.alias("formatted"), _once(_begins(length), spans).alias("loss_spans"))
+
+
+def _once(value: Column, f) -> Column:
+    """``f(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _begins(lengths: Column) -> Column:
+    """The sum of all lengths before each, in two levels, as a list that grows is copied at
+    each step: within parts of ``PART_TURNS``, and over the parts."""
+    none = F.array().cast("array<bigint>")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("begins"))
+
+    def run(values: Column, of) -> Column:
+        return F.aggregate(values, zero, lambda a, x: F.struct((a["at"] + of(x)).alias("at"), F.array_append(a["begins"], a["at"]).alias("begins")))
+
+    def parted(all_: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(PART_TURNS))
+        return F.transform(firsts, lambda k: run(F.slice(all_, k + 1, F.lit(PART_TURNS)), lambda x: x))
+
+    def joined(parts: Column) -> Column:
+        shifted = lambda bases: F.flatten(F.transform(parts, lambda c, k: F.transform(c["begins"], lambda b: b + F.get(bases, k))))
+        return _once(run(parts, lambda c: c["at"])["begins"], shifted)
+
+    return _once(_once(lengths, parted), joined)
 
 
 def read_back(formatted: str) -> Column:

@@ -7,7 +7,8 @@ where the target falls single documents, largest first, while they fit.  The vec
 block quotas is split recursively: each node of a binary tree draws, by sequential
 hypergeometric sampling, how many blocks of each source go to its left half.  The leaves
 are output shards; each gets disjoint ranges of its sources' permuted blocks and shuffles
-its own rows.  The tree works on one number for each source and node, never on rows.
+its own rows.  The tree works on one number for each source and node, never on rows.  The stage
+writes a shard to a file, in its shuffled order, and packing goes on shard by shard.
 
 Only DataFrame and SQL expressions are used.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import table
+from siftstone.llm.common import columns, table
 from siftstone.sources.scratch import cut
 
 #: No target is above this many times its source's size.
@@ -26,8 +27,10 @@ MAX_REPEATS = 3
 BLOCK_DOCS = 256
 MAX_BLOCKS = 1 << 20
 #: Words in an output shard, about; shards at most.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 4_000_000
 MAX_SHARDS = 1 << 16
+#: Numbers in the plan that goes to every task: where each shard begins in each source.
+MAX_STARTS = 1 << 22
 SEED = 20240
 
 _GAP = r"[\x20\x09-\x0D]+"
@@ -93,9 +96,9 @@ def _hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
     )
 
 
-def _left_half() -> str:
+def _left_half(seed: int) -> str:
     """Quotas of a node's left child: sequential draws over the sources."""
-    u = f"((shiftrightunsigned(xxhash64({SEED}, node, s.source_key), 11) + 0.5D) / 9007199254740992D)"
+    u = f"((shiftrightunsigned(xxhash64({int(seed)}, node, s.source_key), 11) + 0.5D) / 9007199254740992D)"
     take = _hypergeometric("a.total", "s.quota", "a.draws", u)
     # a: what is left to draw from and to draw; the take is computed once, in an inner list.
     return (
@@ -106,13 +109,13 @@ def _left_half() -> str:
     )
 
 
-def shard_quotas(sources: DataFrame, shards: int) -> DataFrame:
+def shard_quotas(sources: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """(source_key, starts): where each shard's range of the source's draws starts.
     ``sources`` has (source_key, quota); ``shards`` is a power of two."""
     one = F.sort_array(F.collect_list(F.struct("source_key", "quota")))
     nodes = sources.select("source_key", F.col("quota").cast("long")).agg(one.alias("quotas")).select(F.lit(1).cast("long").alias("node"), "quotas")
     for _ in range(shards.bit_length() - 1):
-        drawn = nodes.withColumn("taken", F.expr(_left_half()))
+        drawn = nodes.withColumn("taken", F.expr(_left_half(seed)))
         left = F.expr("transform(quotas, (s, i) -> named_struct('source_key', s.source_key, 'quota', taken[i]))")
         right = F.expr("transform(quotas, (s, i) -> named_struct('source_key', s.source_key, 'quota', s.quota - taken[i]))")
         both = F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("quotas")))
@@ -125,9 +128,11 @@ def shard_quotas(sources: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def plan(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame, int]:
     """(rows, sources, shards): ``rows`` has (doc_id, source_key, size, place) of every
-    document; ``sources`` one row for each source with all that decides its draws."""
+    document; ``sources`` one row for each source with all that decides its draws.  Beside
+    the sources themselves, which are listed, at most ``MAX_STARTS`` numbers are planned with:
+    with many sources there are fewer and larger shards."""
     text = F.coalesce("text", F.lit(""))
     rows = cut(docs.select("doc_id", "source", word_count(text).alias("size"), _place("doc_id", text).alias("place")), "mix-rows")
     keyed = rows.withColumn("source_key", _source_key())
@@ -165,9 +170,10 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     drawn = whole.join(chosen, "source_key", "left").withColumn("edge", F.coalesce("edge", F.lit(0)))
     drawn = drawn.withColumn("picks", F.coalesce("picks", F.array().cast("array<bigint>")))
     drawn = cut(drawn.withColumn("quota", F.col("passes") * F.col("blocks") + F.col("edge") + F.when(F.size("picks") > 0, 1).otherwise(0)), "mix-drawn")
-    total = whole.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    shards = min(MAX_SHARDS, 1 << max(0, (total // SHARD_WORDS).bit_length()))
-    starts = shard_quotas(drawn, shards)
+    total, named = whole.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
+    most = max(1, MAX_STARTS // max(1, named))
+    shards = min(MAX_SHARDS, 1 << (most.bit_length() - 1), 1 << (total // SHARD_WORDS).bit_length())
+    starts = shard_quotas(drawn, shards, seed)
     # Every so manieth start is a head: a draw's shard is found in two short scans.
     heads = F.filter("starts", lambda s, i: i % F.lit(_stride(shards)) == 0)
     sources = cut(drawn.join(starts.withColumn("heads", heads), "source_key"), "mix-plan")
@@ -199,15 +205,18 @@ def _draws(rows: DataFrame, sources: DataFrame, shards: int) -> DataFrame:
     return out.withColumn("shards", F.when(F.col("copies") > 0, found).otherwise(F.array().cast("array<int>")))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken, shards) for every row of ``docs``.
 
-    ``taken`` is a whole number of copies of the document, at most three.  Null and empty
+    ``taken`` is a whole number of copies of the document, at most three, and ``shards`` says
+    where each of them goes, as ``seed`` has it.  Null and empty
     texts have size 0, and nothing is taken of them; a null source is a source, the last;
-    a null doc_id is kept.  Equal rows get equal results, so a row repeated is taken or
-    left as one.  An empty table gives no rows.  Reruns agree.
+    a null doc_id is kept.  Texts of any length are counted whole; one that is longer than
+    its source's target is left out or taken once, whichever is nearer.  Equal rows get equal results, so a row repeated is taken or
+    left as one; where documents of one size compete, their keyed hashes decide.  An empty table gives no rows.  Only doc_id, text
+    and source are read.  Reruns agree.
     """
-    rows, sources, shards = plan(docs)
+    rows, sources, shards = plan(docs, seed)
     out = _draws(rows, sources, shards)
     return out.select(
         "doc_id", "size", "source_size", "target",
@@ -219,14 +228,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, shard by shard, shuffled
-    within each shard.  Documents without words have no share and go."""
-    _, sources, shards = plan(docs)
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = SEED) -> DataFrame:
+    """Pipeline stage: each document as often as the mix takes it; a partition, and so a file
+    when it is written, is a shard, shuffled.  Documents without words (null, empty, blank)
+    have no share and go.  Null ids and sources, long texts, repeated rows and empty tables are
+    treated as in :func:`mix`; columns of any name stay."""
+    _, sources, shards = plan(docs, seed)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), _source_key().alias("source_key"), _place("doc_id", text).alias("place"), F.length(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))).alias("n")
+        F.struct(*columns(docs)).alias("row"), _source_key().alias("source_key"), _place("doc_id", text).alias("place"), F.length(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))).alias("n")
     )
     drawn = _draws(rows.where("n > 0"), sources, shards).select("row", "place", F.explode("shards").alias("shard"))
-    mixed = drawn.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("shard", "place"))
+    mixed = drawn.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "shard", "place"))
     return mixed.select("row.*")

@@ -18,10 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_batches, table
+from siftstone.llm.common import arrow_batches, col, columns, free_name, table
 from siftstone.operators.graph import components
 from siftstone.sources.scratch import cut
 
@@ -49,10 +49,9 @@ def _fingerprint(text: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter(map(simhash64, text), dtype=np.uint64, count=len(text)).view(np.int64))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long): the fingerprint of each whole text; null text counts as empty."""
-    arrow_batches(docs.sparkSession)
-    return docs.select("doc_id", F.pandas_udf(_fingerprint, "long")("text").alias("fp"))
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp long, and ``more``): the fingerprint of each whole text; null text counts as empty."""
+    return docs.select("doc_id", F.pandas_udf(_fingerprint, "long")("text").alias("fp"), *more)
 
 
 def _turned(fp, i: int):
@@ -152,22 +151,29 @@ def links(nodes: DataFrame) -> DataFrame:
     return cold.unionByName(warm)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): class of each document, by its smallest doc_id.
-
-    Null or empty texts have fingerprint zero and are linked like any other.  Repeated
-    rows stay, each with its class.  A null doc_id takes part with its text; a class of
-    null ids alone has a null component_id.  Other columns of ``docs`` are not read.
-    """
-    small = cut(fingerprints(docs), "simhash-fp")
+def _classified(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp, and ``more``, root, component_id): ``root`` names the class."""
+    with arrow_batches(docs.sparkSession):
+        small = cut(fingerprints(docs, *more), "simhash-fp")
     nodes = cut(small.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
     names = components(links(nodes.select("fp")))
     named = nodes.join(names.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "rep", F.coalesce("root", "fp").alias("root")
     )
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return small.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.join(least, "root").select("fp", "root", "component_id")
+    return small.join(classes, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id): class of each document, by its smallest doc_id.
+
+    Null or empty texts have fingerprint zero and are linked like any other; texts of any
+    length are read whole.  Repeated
+    rows stay, each with its class.  A null doc_id takes part with its text; a class of
+    null ids alone has a null component_id.  An empty table gives no rows.  Other columns of ``docs`` are not read.
+    """
+    return _classified(docs).select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,22 +182,34 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each near-duplicate class the row with the smallest doc_id stays.
+    """Pipeline stage: of each near-duplicate class one row stays.
 
-    Rows that repeat a doc_id are one document here: one of them stays (the one with the
-    smallest text).  Rows without a doc_id stay only if their whole class has none.
+    It is the one with the smallest doc_id, null ids last; of rows with that id the one whose
+    text's digest is smallest; of rows that repeat id and text the one whose other columns are
+    smallest.  So no class is lost where ids repeat with different texts or are null.  Null and
+    empty texts are one class; long texts are read whole.  All columns stay, whatever their names; an empty table
+    gives no rows.
     """
-    found = cut(near_duplicates(docs), "simhash-classes")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    repeats = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).isEmpty()
-    nulls = not found.where("doc_id is null").limit(1).isEmpty()
-    kept = docs
-    if nulls:  # null ids never match a join key, so they are settled by their classes
-        lonely = not found.where("doc_id is null and component_id is null").limit(1).isEmpty()
-        kept = kept if lonely else kept.where("doc_id is not null")
-    kept = kept.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if repeats:
-        ids = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("r"))
-        one = ids.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns))
-        kept = one.unionByName(kept.where("doc_id is null"))
-    return kept
+    text = F.coalesce("text", F.lit(""))
+    digest = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    found = cut(_classified(docs, digest[0].alias("d1"), digest[1].alias("d2")), "simhash-classes")
+    rows = found.groupBy("root", "doc_id", "d1", "d2").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "d1", "d2")).alias("k")
+    heads = found.groupBy("root").agg(best)
+    stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d1") == F.col("k.d1")) & (F.col("d2") == F.col("k.d2"))
+    judged = rows.join(heads, "root").select(F.col("doc_id").alias("id"), "d1", "d2", "n", stays.alias("stays"))
+    judged = cut(judged.where("not stays or n > 1"), "simhash-judged")
+    n1, n2 = free_name(docs, "digest"), free_name(docs, "digest_more")
+    named = docs.withColumns({n1: digest[0], n2: digest[1]})
+
+    # Merge joins at every size: what goes can be as much as what there is, and its table says little of its size.
+    def met(some: DataFrame) -> Column:
+        return named["doc_id"].eqNullSafe(some["id"]) & (named[n1] == some["d1"]) & (named[n2] == some["d2"])
+
+    gone, repeated = judged.where("not stays"), judged.where("stays")
+    if repeated.isEmpty():
+        return named.join(gone.hint("merge"), met(gone), "left_anti").select(*columns(docs))
+    once = named.join(judged.hint("merge"), met(judged), "left_anti").select(*columns(docs))
+    several = named.join(repeated.hint("merge"), met(repeated), "left_semi")
+    one = several.groupBy("doc_id", n1, n2).agg(F.min(F.struct(*columns(docs))).alias("r")).select("r.*")
+    return once.unionByName(one)

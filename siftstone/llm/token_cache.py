@@ -46,7 +46,8 @@ def _counter(path: str):
 
 
 class TokenCache:
-    """Append-only Parquet table of (version, digest, n_tokens) in a shared folder.
+    """Append-only Parquet table of (version, digest, n_tokens) in a shared folder, a folder for
+    each version, so that the counts of other tokenizers are not read.
 
     An append is one Spark write, so it is whole or absent.  Two runs may append the same
     digest; they append the same count, and reads keep one row for a digest.
@@ -56,7 +57,7 @@ class TokenCache:
         self.spark, self.path = spark, path
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            spark.createDataFrame([], SCHEMA).write.mode("append").parquet(path)
+            spark.createDataFrame([], SCHEMA).write.mode("append").partitionBy("version").parquet(path)
 
     def counts(self, version: str) -> DataFrame:
         """(digest, n_tokens) stored for this version."""
@@ -64,7 +65,7 @@ class TokenCache:
         return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def append(self, counts: DataFrame, version: str) -> None:
-        counts.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(self.path)
+        counts.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").partitionBy("version").parquet(self.path)
 
 
 def count_tokens(docs: DataFrame, cache: TokenCache, vocabulary: str | None = None) -> DataFrame:
@@ -77,7 +78,6 @@ def count_tokens(docs: DataFrame, cache: TokenCache, vocabulary: str | None = No
     spark = docs.sparkSession
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
     version = tokenizer_version(vocabulary)
-    arrow_batches(spark)
     text = F.coalesce("text", F.lit(""))
     named = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     keys = cut(named.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "tokens-keys")
@@ -96,7 +96,8 @@ def count_tokens(docs: DataFrame, cache: TokenCache, vocabulary: str | None = No
         odd = misses.where("several").select("digest")
         if not odd.isEmpty():
             texts = texts.unionByName(named.join(odd, "digest", "left_semi").select("digest", "text").dropDuplicates(["digest"]))
-        cache.append(texts.mapInPandas(_counter(vocabulary), "digest binary, n_tokens long"), version)
+        with arrow_batches(spark):
+            cache.append(texts.mapInPandas(_counter(vocabulary), "digest binary, n_tokens long"), version)
     # As a table of its own the counts leave the join free to split a content of many copies.
     counts = cut(cache.counts(version).join(contents.select("digest"), "digest", "left_semi"), "tokens-counts")
     return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")

@@ -51,6 +51,35 @@ def test_recall_over_many_candidates():
     assert (err <= slack).mean() > 0.995
 
 
+def test_estimates_from_packed_words_are_those_of_the_signs():
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((500, 40)), rng.standard_normal(40)
+    turn = ann.rotation(40)
+    code, _, _ = ann.encode(x, turn)
+    packed = np.ascontiguousarray(code).view(np.uint64)
+    z = turn @ q
+    got, step = ann.estimates(z, list(packed.T), np.bitwise_count(packed).sum(1, dtype=np.int32))
+    signs = np.unpackbits(code, axis=1).astype(float) * 2 - 1
+    bits, low, same = ann.planes(z)
+    level = sum(np.unpackbits(p.view(np.uint8)).astype(float) * (1 << b) for b, p in enumerate(bits))
+    assert same == step and np.abs(low + step * level - z).max() <= step / 2 + 1e-12
+    assert np.allclose(got, 2 * (signs > 0) @ (low + step * level) - z.sum())
+    assert np.abs(got - signs @ z).std() < 2 * step * np.sqrt(256 / 12)
+
+
+def test_double_vectors_keep_their_digits(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((120, 12))
+    df = spark.createDataFrame([(int(i), [float(v) for v in x[i]], 0) for i in range(120)], "vec_id long, embedding array<double>, label int")
+    df = df.withColumn("query_id", df["label"]).withColumn("a.b", df["label"])
+    out = ann.nearest(df.where("vec_id % 20 = 0"), df, 7).collect()
+    assert len(out) == 42
+    for r in out:
+        exact = x @ x[r["query_id"]]
+        exact[r["query_id"]] = -np.inf
+        assert r["vec_id"] == np.argsort(-exact)[r["rank"] - 1] and abs(r["score"] - exact[r["vec_id"]]) < 1e-14 * 50
+
+
 def test_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [

@@ -3,11 +3,12 @@
 import hashlib
 import math
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.llm import chat, mixing, pii
+from siftstone.llm import chat, mixing, packing, pii
 from tests.conftest import SF
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,11 +103,15 @@ def test_mix_query(spark):
 
 
 def test_mix_stage_and_odd_rows(spark):
-    rows = [(i, "word " * (i % 7 + 1), "en", "hot" if i % 3 else None, 1) for i in range(90)] + [(1, "word " * 2, "en", "hot", 1), (None, "no id here", "en", "b", 1), (200, None, "en", "empty", 1), (201, " ", None, "empty", 1)]
+    rows = [(i, "word " * (i % 7 + 1), "en", "hot" if i % 3 else None, 1) for i in range(90)] + [(300, "long " * 200_000, "en", "long", 1)] + [(1, "word " * 2, "en", "hot", 1), (None, "no id here", "en", "b", 1), (200, None, "en", "empty", 1), (201, " ", None, "empty", 1)]
     df = spark.createDataFrame(rows, DOCS)
-    for c in ("size", "place", "shard", "row", "target", "source_key", "blocks"):
+    for c in ("size", "place", "shard", "row", "target", "source_key", "blocks", "a.b"):
         df = df.withColumn(c, F.lit("clash"))
     out = mixing.mix(df).collect()
+    alike = {}
+    for r, (i, t, _, source, _) in zip(sorted(out, key=str), sorted(rows, key=str)):
+        alike.setdefault((r["doc_id"], r["size"], r["target"]), set()).add(r["taken"])
+    assert all(len(v) == 1 for v in alike.values())  # a row repeated is taken or left as one
     assert len(out) == len(rows) and all(r["taken"] == 0 for r in out if not r["size"])
     taken = sum(r["taken"] for r in out)
     mixed = mixing.mix_stage(spark, df, SF)
@@ -114,6 +119,38 @@ def test_mix_stage_and_odd_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix_stage(spark, df.limit(0), SF).count() == 0
 
 
+def test_the_tree_decides_the_sequences(spark, monkeypatch, tmp_path):
+    """Another seed of the tree deals other documents into the pipeline's sequences; what is
+    taken of each source stays, and no sequence mixes two shards."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 20_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = []
+    for seed in (1, 2, 1):
+        out = f"{tmp_path}/{len(seen)}"
+        mixing.mix_stage(spark, docs, SF, seed).write.parquet(out)
+        mixed = spark.read.parquet(out)
+        shard = {}
+        for r in mixed.select("doc_id", "_metadata.file_name").collect():
+            shard.setdefault(r["doc_id"], set()).add(r["file_name"])
+        rows = packing.pack_stage(spark, mixed, SF).collect()
+        sequences = {}
+        for r in rows:
+            sequences.setdefault(r["sequence_id"], []).append((r["doc_id"], r["piece"]))
+        for members in sequences.values():
+            assert set.intersection(*(shard[i] for i, _ in members))
+        seen.append((sorted(sorted(v) for v in sequences.values()), sorted((r["doc_id"], r["piece"], r["length"]) for r in rows)))
+    assert seen[0][0] != seen[1][0] and seen[0][1] == seen[1][1] and seen[0] == seen[2]
+
+
+def test_plan_is_bounded_with_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 10)
+    monkeypatch.setattr(mixing, "MAX_STARTS", 256)
+    df = spark.createDataFrame([(i, "some words of a text " * 5, "en", f"s{i % 60}", 1) for i in range(600)], DOCS)
+    _, sources, shards = mixing.plan(df)
+    assert shards == 4 and sum(len(r["starts"]) for r in sources.collect()) <= 256
+    assert mixing.mix(df).count() == 600
+
+
 # --- chat ------------------------------------------------------------------------------
 
 
@@ -134,6 +171,15 @@ def test_chat_round_trip(spark):
     assert len(out) == 4 and chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_spans_of_many_turns(spark, monkeypatch):
+    for part in (256, 3, 1):
+        monkeypatch.setattr(chat, "PART_TURNS", part)
+        n = 700
+        df = spark.createDataFrame([("a", i, ["user", "assistant"][i % 3 == 1], f"t{i} " * (i % 5)) for i in range(n)], "conv_id string, turn long, role string, text string")
+        r = chat.format_chats(df).first()
+        assert [r["formatted"][s["start"] : s["stop"]] for s in r["loss_spans"]] == [f"t{i} " * (i % 5) for i in range(n) if i % 3 == 1]
+
+
 def test_chat_query(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     convs = {}
@@ -155,9 +201,12 @@ PEOPLE = [
 CLEAN = ["CC BY-NC 4.0. in 2024 there were 100,000 of 3.5", "token: understanding of words = here", "a b c", "", None, "version 3.0.1 of 12-34", "rows 100 200 300 400 500 600", "1234 5678 9012 3456 7890 1234", "x" * 100000, "1" * 5000]
 
 
-def replaced(spark, texts, **more):
+KEY = "a key of the tests"
+
+
+def replaced(spark, texts, key=KEY, **more):
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS).withColumn("_found", F.lit(1)).withColumn("entity", F.lit("clash"))
-    return pii.replace(df, **more).orderBy("doc_id").collect()
+    return pii.replace(df, key, **more).orderBy("doc_id").collect()
 
 
 def luhn(d):
@@ -210,10 +259,20 @@ def test_phones_with_short_groups_and_rows_of_cards(spark):
     assert year_after.endswith(" 2024") and year_before.startswith("2024 ") and "1111" not in two + year_after + year_before and got[-len(plain) :] == plain
 
 
+def test_numbers_without_a_check_digit_are_no_cards(spark):
+    """Numbers of a card's length are left alone, unless their check digit holds or a secret is named before them."""
+    plain = ["order 5927243073274351 shipped", "1234 5678 9012 3456", "rows 6625883203433323, 0054994038693466", "3782-822463-10006"]
+    assert not any(luhn(re.sub(r"\D", "", t)) for t in plain if "," not in t)
+    kept = ["password: 5927243073274351", "card 4111111111111111 of order 5927243073274351"]
+    rows = replaced(spark, plain + kept)
+    assert [r["n_entities"] for r in rows] == [0, 0, 0, 0, 1, 1] and [r["text"] for r in rows[:4]] == plain
+    assert "5927243073274351" not in rows[4]["text"] and rows[5]["text"].endswith(" of order 5927243073274351") and "4111" not in rows[5]["text"]
+
+
 def test_secrets_with_an_at_sign_are_no_addresses(spark):
     texts = ["password: P@ssw0rd1", "pwd=hunter2@secret9", "write to ann@mail4.example.com"]
     e = spark.createDataFrame([(t.split()[-1].removeprefix("pwd="),) for t in texts], "e string")
-    (a, _), (b, _), (c, mail) = e.select(pii.surrogate(F.col("e")), pii.kind(F.col("e"))).collect()
+    (a, _), (b, _), (c, mail) = e.select(pii.surrogate(F.col("e"), KEY), pii.kind(F.col("e"))).collect()
     assert re.fullmatch(r"[A-Z]@[a-z]{3}\d[a-z]{2}\d", a) and re.fullmatch(r"[a-z]{6}\d@[a-z]{6}\d", b) and "ssw0rd1" not in a and "secret9" not in b
     assert mail == "email" and c.endswith(".com")
 
@@ -223,24 +282,98 @@ def test_digit_and_address_surrogates_are_bijections(spark):
     nine = df.select(F.format_string("%03d-%02d-%04d", F.expr("id div 200"), (F.col("id") % 7), F.col("id")).alias("e"))
     ip = df.select(F.format_string("%d.%d.%d.7", F.col("id") % 223 + 1, F.expr("id div 223"), F.col("id") % 5).alias("e"))
     for e in (nine, ip):
-        assert e.select(pii.surrogate(F.col("e"))).distinct().count() == e.distinct().count() == 20000
+        assert e.select(pii.surrogate(F.col("e"), KEY)).distinct().count() == e.distinct().count() == 20000
 
 
 @pytest.mark.parametrize("few", [2000, 0])
 def test_collisions_are_resolved(spark, few):
     """An entity whose first surrogate is another entity takes a second one; also where
     exceptions are joined in place of being sent with the plan."""
-    first = spark.createDataFrame([("zoe@site.example.org",)], "e string").select(pii.surrogate(F.col("e"))).first()[0]
+    first = spark.createDataFrame([("zoe@site.example.org",)], "e string").select(pii.surrogate(F.col("e"), KEY)).first()[0]
     rows = replaced(spark, ["zoe@site.example.org", first, "Zoe@site.example.org and 4111111111111111", "nothing"], literal_exceptions=few)
     texts = [r["text"] for r in rows]
     assert texts[0] not in (first, "zoe@site.example.org") and texts[1] not in (first, texts[0]) and texts[2].split()[0].lower() == texts[0] and texts[3] == "nothing"
 
 
+@pytest.mark.parametrize("few", [2000, 0])
+def test_columns_of_any_name_survive(spark, few):
+    mine = ["_found", "_h", "_tries", "n_entities", "parts", "tries", "text_hash", "a.b", "e", "entity"]
+    first = spark.createDataFrame([("zoe@site.example.org",)], "e string").select(pii.surrogate(F.col("e"), KEY)).first()[0]
+    rows = [(1, "zoe@site.example.org", "en", "s", 20), (2, first, "en", "s", 20), (None, None, None, None, None), (1, "zoe@site.example.org", "en", "s", 20), (3, "plain", "en", "s", 5)]
+    df = spark.createDataFrame(rows, DOCS)
+    for c in mine:
+        df = df.withColumn(c, F.lit(f"my {c}"))
+    out = pii.replace(df, KEY, few)
+    assert out.columns == [*df.columns, "n_entities_1"]
+    got = out.collect()
+    assert all(r[c] == f"my {c}" for r in got for c in mine) and sorted(r["n_entities_1"] for r in got) == [0, 0, 1, 1, 1]
+    assert len({r["text"] for r in got if r["doc_id"] in (1, 2)}) == 2
+    stage = pii.pii_stage(spark, df, SF)
+    assert stage.columns == df.columns and stage.count() == 5 and pii.pii_stage(spark, df.limit(0), SF).count() == 0
+
+
+def distinct_surrogates(spark, entities):
+    tries = pii.collisions(entities, KEY)
+    got = entities.join(tries, "entity", "left").select("entity", pii.surrogate(F.col("entity"), KEY, F.coalesce("attempt", F.lit(0))).alias("s"), "attempt")
+    n = entities.count()
+    assert got.select(pii.canonical(F.col("s"))).distinct().count() == n
+    assert got.select(pii.canonical(F.col("s")).alias("entity")).join(entities, "entity", "left_semi").count() == 0
+    return got
+
+
+def test_few_possible_surrogates_are_no_endless_search(spark):
+    """More one-letter addresses of a domain than its script has short surrogates."""
+    for first, n in ((0x4E00, 600), (0x628, 19), (0x61, 26), (0x13A0, 40)):
+        entities = spark.createDataFrame([(f"{chr(first + k)}@domain.example.org",) for k in range(n)], "entity string")
+        got = distinct_surrogates(spark, entities).collect()
+        if first != 0x13A0:
+            assert all(ord(r["s"][0]) >= 0x80 for r in got) == (first > 0x80)
+
+
+def test_more_names_than_short_surrogates(spark, monkeypatch):
+    """2,000 names where a first surrogate has 625 forms."""
+    monkeypatch.setitem(pii.SYLLABLES, "latin", pii.SYLLABLES["latin"][:5])
+    entities = spark.createDataFrame([(f"Mr {chr(65 + i // 100)}{chr(97 + i // 10 % 10)}{chr(97 + i % 10)}",) for i in range(2000)], "entity string")
+    distinct_surrogates(spark, entities)
+
+
+def test_ciphered_attempts_differ(spark):
+    entities = spark.createDataFrame([(e,) for e in ("a@b.org", "Mr Aa", "Mrs Aa", "Господин Иванов", "Mr Παπαδος", "hunter2@x", "DE89370400440532013000")], "entity string")
+    each = entities.crossJoin(spark.range(3, 9)).select("entity", pii.surrogate(F.col("entity"), KEY, F.col("id")).alias("s"), pii.kind(F.col("entity")).alias("k"), "id").collect()
+    assert len({r["s"] for r in each}) == len(each)
+    assert all(re.match(r"Господин [А-Я][а-я]+н$", r["s"]) for r in each if r["entity"].startswith("Г")) and all(re.match(r"Mr [Α-Ω][α-ως]+$", r["s"]) for r in each if "Π" in r["entity"])
+
+
+def test_scripts_stay(spark):
+    texts = ["李小龍@mail.example.org", "محمد@mail.example.org", "élodie@mail.example.org", "иван@mail.example.org", "γιωργος@mail.example.org", "ひろし@mail.example.org", "철수@mail.example.org"]
+    rows = replaced(spark, texts)
+    names = ["CJK", "ARABIC", "LATIN", "CYRILLIC", "GREEK", "HIRAGANA", "HANGUL"]
+    for r, before, script in zip(rows, texts, names):
+        local = r["text"].split("@")[0]
+        assert local != before.split("@")[0] and len(local) == len(before.split("@")[0]) and all(unicodedata.name(c).startswith(script) for c in local)
+
+
+def test_the_mark_in_a_text_changes_nothing(spark):
+    text = "x\ue000y ann@site.example.org\ue000 and\ue000\ue000 4111 1111 1111 1111\ue000"
+    marked, plain = (r["text"] for r in replaced(spark, [text, text.replace("\ue000", "~")]))
+    assert marked.replace("\ue000", "~") == plain and plain != text.replace("\ue000", "~")
+
+
+def test_every_match_passes_the_hints(spark):
+    """What the hints leave out holds no match: checked with the pattern itself."""
+    texts = PEOPLE + ["(974) 555-3436", "974-555-3436", "+44 (0)207 946 0958", "api_key : \"s3cretvalue1\"", "sk-abcdefghij0123456789", "Don Quijote", "1.2.3.4", "token=12345678a", "Señora. García", "0123456789abcdef" * 2, "GB82WEST12345698765432", "4111-1111-1111-1111", "gho_abcdefghij0123456789"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").unionByName(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text"))
+    hint = F.col("text").rlike(pii.HINTS[0]) | F.col("text").rlike(pii.HINTS[1])
+    both = df.select(hint.alias("hint"), F.col("text").rlike(pii.PATTERN).alias("found"))
+    got = {(r["hint"], r["found"]): r["n"] for r in both.groupBy("hint", "found").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert (False, True) not in got and got[True, True] >= len(texts) and got[False, False] > 1000
+
+
 def test_names_stay_distinct(spark):
     people = [f"Mr {chr(65 + i % 26)}{'aeiou'[i % 5]}{chr(97 + i // 26)}{'xyz'[i % 3]}" for i in range(400)]
     entities = spark.createDataFrame([(p,) for p in sorted(set(people))], "entity string")
-    tries = pii.collisions(entities)
-    got = entities.join(tries, "entity", "left").select(pii.surrogate(F.col("entity"), pii.DEFAULT_KEY, F.coalesce("attempt", F.lit(0))))
+    tries = pii.collisions(entities, KEY)
+    got = entities.join(tries, "entity", "left").select(pii.surrogate(F.col("entity"), KEY, F.coalesce("attempt", F.lit(0))))
     assert got.distinct().count() == len(set(people))
 
 
@@ -250,7 +383,9 @@ def test_surrogate_query_leaves_no_private_strings(spark):
     assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
     kinds = [r"\S+@\S+", r"\d{16}", r"[0-9a-f]{40}", r"\+1 \(\d+\) \d+-\d+", r"\d+\.\d+\.\d+\.\d+", r"password=(\w+)", r"AKIA\w+"]
     for r in out.collect():
-        found = [m for k in kinds for m in re.findall(k, docs[r["doc_id"]])]
+        found = [m for k in kinds for m in re.findall(k, docs[r["doc_id"]]) if k != r"\d{16}" or luhn(m)]
+        others = [m for m in re.findall(r"(?<!\S)\d{16}(?!\S)", docs[r["doc_id"]]) if not luhn(m)]
+        assert all(m in r["text"] for m in others)  # numbers that are no cards
         assert all(m.rstrip(".,") not in r["text"] for m in found)
         if not r["n_entities"]:
             assert r["text"] == docs[r["doc_id"]] and not found

@@ -37,7 +37,7 @@ def closure(prints):
 
 
 def test_fingerprints():
-    for t in ["", None, "  \n", "One", "one two", "A b C", "ÀB c d\te\x0bf", "x " * 500, "a b c d e f g h i j k"]:
+    for t in ["", None, "  \n", "many words " * 50_000, "One", "one two", "A b C", "ÀB c d\te\x0bf", "x " * 500, "a b c d e f g h i j k"]:
         assert simhash.simhash64(t) == brute(t), t
 
 
@@ -78,6 +78,29 @@ def test_classes_of_odd_rows(spark):
     assert simhash.dedup_stage(spark, lonely, SF).count() == 1
 
 
+def test_stage_keeps_one_row_of_each_class(spark):
+    """Against the classes themselves, where ids repeat with other texts or are null."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    bases = [" ".join(rng.choices(words, k=60)) for _ in range(12)]
+    rows = [(1, bases[0]), (2, bases[0] + " "), (2, bases[1]), (None, bases[2]), (None, bases[2].upper()), (None, bases[3]), (4, bases[3]), (5, bases[4]), (5, bases[4]), (6, "long " * 100_000), (None, None), (7, "")]
+    rows += [(rng.choice([None, *range(10, 16)]), rng.choice(bases[5:])) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], DOCS)
+    for c in ("digest", "d1", "id", "n", "k", "root", "a.b", "stays"):
+        df = df.withColumn(c, F.lit("user's"))
+    kept = simhash.dedup_stage(spark, df, SF)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    roots = closure([brute(t) for _, t in rows])
+    classes = {}
+    for (i, t), r in zip(rows, roots):
+        classes.setdefault(r, []).append((i, t))
+    assert sorted(roots[r["n_chars"]] for r in got) == sorted(classes)
+    for r in got:
+        ids = [i for i, _ in classes[roots[r["n_chars"]]] if i is not None]
+        assert r["doc_id"] == (min(ids) if ids else None) and r["a.b"] == r["digest"] == "user's"
+
+
 def test_query_on_whole_table(spark):
     out = simhash.op1_simhash(spark, SF).collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
