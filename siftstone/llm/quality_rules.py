@@ -1,6 +1,6 @@
 """Quality rules whose thresholds follow the data.
 
-Each document gets counts; the rates of those that pass the base rules are put into mergeable
+Each document gets counts; the rates of those that have words are put into mergeable
 quantile sketches for each language and source (relative-error buckets: a sketch is a count
 for each bucket, sketches merge by adding counts, and a merge in any order gives the same
 sketch).  A cell's fences are its 10 and 90 % quantiles, moved outwards by twice their
@@ -118,10 +118,11 @@ def _edge(bucket: str, upper: bool) -> Column:
 
 def sketch(measured: DataFrame) -> DataFrame:
     """(lang_key, source_key, rate, bucket, n): one sketch for each cell and rate, of the
-    documents that pass the base rules."""
+    documents that have words, also those that fail the base rules: without their repeats a
+    cell's usual ones would look like its tail."""
     of = lambda count, by: F.col(count) / F.greatest(F.col(by), F.lit(1))
     pairs = F.array(*(F.struct(F.lit(k).alias("rate"), of(*v).alias("v")) for k, v in RATES.items()))
-    rows = measured.where(~_base_failed()).select("lang_key", "source_key", F.explode(pairs).alias("p"))
+    rows = measured.where("n_words > 0").select("lang_key", "source_key", F.explode(pairs).alias("p"))
     return rows.groupBy("lang_key", "source_key", "p.rate", _bucket(F.col("p.v")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -55,7 +55,7 @@ def brute_kept(rows):
     """Verdicts from plain counts, exact quantiles of bucketed rates, and the same blend."""
     rates, cells, langs, every = {}, {}, {}, []
     for key, m in rows:
-        if m["n_words"] < 10 or 100 * m["n_repeat_words"] > 20 * m["n_words"]:
+        if not m["n_words"]:
             continue
         of = {}
         for r, (c, by) in quality_rules.RATES.items():
