@@ -40,11 +40,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return got
 
 
+def _bounds(rows: int) -> dict[str, str]:
+    return {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
+
+
+def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """The same bound for a frame that is returned before it is planned: it stays in the session."""
+    for k, v in _bounds(rows).items():
+        spark.conf.set(k, v)
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS):
     """Bounds the Arrow batches of whole texts for the plans made and run inside; the
     session has its own settings again afterwards."""
-    ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
+    ours = _bounds(rows)
     before = {k: spark.conf.get(k, None) for k in ours}
     try:
         for k, v in ours.items():

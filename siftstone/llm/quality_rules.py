@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_batches, columns, table
+from siftstone.llm.common import arrow_batches, bound_batches, columns, table
 from siftstone.sources.scratch import cut
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long"
@@ -203,6 +203,7 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The texts are measured a second time where they lie, which is cheaper than moving them
     to their counts."""
     limits = cut(fences(sketch(_measured(docs))), "rules-fences")
+    bound_batches(spark)
     row = F.struct(*columns(docs))
     again = docs.select(row.alias("row"), _cell("lang").alias("lang_key"), _cell("source").alias("source_key"), _udf()("text").alias("m"))
     joined = again.select("row", "lang_key", "source_key", "m.*").join(limits, ["lang_key", "source_key"], "left")
