@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftstone.llm import ann, chat, mixing, packing, pii, quality_rules, quality_zstd, simhash, token_cache, toxicity
+from siftstone.llm import ann, chat, decontaminate, filter_audit, lexical, mixing, packing, pii, quality_rules, quality_zstd, simhash, token_cache, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,14 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality_rules.op10_rules,
+    "op11_decontamination": decontaminate.op11_decontamination,
+    "op12_filter_audit": filter_audit.op12_audit,
+    "op13_lexical_search": lexical.op13_search,
 }
 
-ORACLES = {"op8_chat": chat.OP8_SQL}
+ORACLES = {
+    "op8_chat": chat.OP8_SQL,
+    "op11_decontamination": decontaminate.OP11_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
+    "op13_lexical_search": lexical.OP13_SQL,
+}
