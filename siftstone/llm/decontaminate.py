@@ -71,18 +71,19 @@ def _shingles(distinct: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def bitmap(hashes: DataFrame):
-    """A test of a hash column by a bitmap of ``hashes`` (h): false only for hashes not among
-    them.  16 bits for each hash, up to the largest size."""
+    """A test of a hash column by a bitmap of ``hashes`` (h), two bits each: false only for hashes
+    not among them, and true for one in a thousand of those.  64 bits for each hash, up to the largest size."""
     n = hashes.count()
-    slots = min(SLOTS[1], max(SLOTS[0], 1 << (n // 4).bit_length()))
-    slot = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(slots - 1)).cast("int")
-    bit = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
-    rows = hashes.groupBy(slot(F.col("h")).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))).alias("v"))
+    slots = min(SLOTS[1], max(SLOTS[0], 1 << n.bit_length()))
+    slot = lambda h, k: F.shiftrightunsigned(h, 6 + 29 * k).bitwiseAND(F.lit(slots - 1)).cast("int")
+    bit = lambda h, k: F.shiftrightunsigned(h, 29 * k).bitwiseAND(F.lit(63)).cast("int")
+    pair = F.explode(F.array(*(F.struct(slot(F.col("h"), k).alias("k"), bit(F.col("h"), k).alias("b")) for k in (0, 1)))).alias("x")
+    rows = hashes.select(pair).groupBy("x.k").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.b"))).alias("v"))
     held = [0] * slots
     for r in rows.collect():  # at most one row for each slot
         held[r["k"]] = r["v"]
     whole = F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")  # folded into one literal
-    return lambda h: F.getbit(F.get(whole, slot(h)), bit(h)) == 1
+    return lambda h: (F.getbit(F.get(whole, slot(h, 0)), bit(h, 0)) == 1) & (F.getbit(F.get(whole, slot(h, 1)), bit(h, 1)) == 1)
 
 
 def _met(w: Column, sizes: list[int], wanted) -> Column:
