@@ -9,6 +9,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftstone.llm import decontaminate, filter_audit, lexical
 
@@ -103,8 +104,8 @@ def test_no_documents_or_items(spark):
 def test_bitmap_holds_what_it_was_given(spark):
     h = spark.range(1000).selectExpr("xxhash64(id) as h")
     test = decontaminate.bitmap(h)
-    assert h.where(test(h["h"])).count() == 1000
-    assert spark.range(1000, 21000).selectExpr("xxhash64(id) as h").where(test(h["h"])).count() < 200
+    assert h.where(test(F.col("h"))).count() == 1000
+    assert spark.range(1000, 21000).selectExpr("xxhash64(id) as h").where(test(F.col("h"))).count() < 200
 
 
 # --- filter audit ------------------------------------------------------------------------------
