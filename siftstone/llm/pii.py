@@ -11,12 +11,13 @@ entity has the same surrogate everywhere without a table of all entities:
 * digits go through a keyed Feistel network over numbers of the same length, a bijection:
   different numbers keep different surrogates.  Separators, country codes and the
   validity of a Luhn check digit stay.  IPv4 addresses: the same over 223 x 2**24.
+  A country code is told by the digits, not by what stands behind it.
 * e-mail addresses, secrets and IBANs keep the class (case, script, digit) of each character; a domain
   is replaced on its own, so that addresses of one domain still share one, and its last
-  label stays.
-* names keep title, gender, script and number of words.
+  label stays; an IBAN keeps its country, and its check digits their validity.
+* names keep title, gender, script and number of words; a family name has one surrogate with any title and any given name.
 
-The last two kinds could collide, so a pass over the distinct entities (never over texts)
+A number or an IBAN has one surrogate in every spelling, written as the mention is.  The last two kinds could collide, so a pass over the distinct entities (never over texts)
 counts the entities of each surrogate; those that share one, or take one that is itself an
 entity, try again.  A second and a third attempt are longer; from the fourth on an attempt
 holds the attempt's number and the entity, enciphered, and so differs from that of every
@@ -45,9 +46,12 @@ ROUNDS = 6
 #: Attempts from this one on hold the entity itself, enciphered.
 CIPHERED = 3
 
+#: Titles of men, of women, and of either.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Don", "Господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Doña", "Госпожа"]
-_TITLE = r"\b(?:" + "|".join(MALE + FEMALE) + r")\b"
+EITHER = ["Dr", "Prof"]
+TITLES = MALE + FEMALE + EITHER
+_TITLE = r"\b(?:" + "|".join(TITLES) + r")\b"
 _NAME = _TITLE + r"\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
 _LOCAL = r"\p{L}\p{N}._%+\-"
 _EMAIL = rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}@(?:[\p{{L}}\p{{N}}-]{{1,63}}\.){{1,8}}\p{{L}}{{2,24}}"
@@ -79,7 +83,7 @@ PATTERN = "|".join([_EMAIL, _SECRET, _IP, _PHONE, _SSN, _IBAN, _LONG, _NAME])
 #: Both begin with a look at one character, at which nearly all places of a text fail.
 HINTS = [
     rf"(?=[\d@=:])(?:@|\d(?:[ .()-]{{0,3}}\d){{6}}|\d\.\d{{1,3}}\.\d{{1,3}}\.\d|(?<={_BEFORE})[=:])",
-    rf"[0-9a-f]{{32}}|(?=[AgsA-Z\p{{Lu}}])(?:{_PREFIX}[A-Za-z0-9]{{16}}|[A-Z]{{2}}\d{{2}} ?[A-Z0-9]{{4}} ?[A-Z0-9]{{4}}|(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu})",
+    rf"[0-9a-f]{{32}}|(?=[AgsA-Z\p{{Lu}}])(?:{_PREFIX}[A-Za-z0-9]{{16}}|[A-Z]{{2}}\d{{2}} ?[A-Z0-9]{{4}} ?[A-Z0-9]{{4}}|(?:" + "|".join(TITLES) + r")\.? \p{Lu})",
 ]
 #: Parts a text in which entities are marked; a text that holds it is matched twice instead.
 _MARK = "\ue000"
@@ -154,41 +158,26 @@ def _pieces(row: Column) -> Column:
     """Of a row, by turns: the groups before a card (maybe none), and the card; the rest at the end.
 
     Cards are those four groups whose Luhn check holds, from the left; four that don't
-    begin as cards do give way to four that do and overlap them.
+    begin as cards do give way to four that do and overlap them.  Every group gets one character that says whether a
+    card could begin there, one pattern picks the beginnings from that text, and marks part the groups: linear in the row.
     """
 
     def part(x: Column) -> Column:
         groups, sums = x["groups"], x["sums"]
 
-        def valid(i: Column) -> Column:
-            holds = (F.get(sums, i) + F.get(sums, i + 1) + F.get(sums, i + 2) + F.get(sums, i + 3)) % 10 == 0
-            return F.when(~holds, 0).when(F.get(groups, i).rlike("^(?:[3-6]|2[2-7])"), 2).otherwise(1)
+        def state(g: Column, i: Column) -> Column:
+            holds = (F.get(sums, i) + F.get(sums, i + 1) + F.get(sums, i + 2) + F.get(sums, i + 3)) % 10 == 0  # null near the end
+            return F.when(~F.coalesce(holds, F.lit(False)), "0").when(g.rlike("^(?:[3-6]|2[2-7])"), "2").otherwise("1")
 
-        def step(s: Column, v: Column) -> Column:
-            at = s["at"]
-            later = F.greatest(*(F.coalesce(F.get(s["valid"], at + k), F.lit(0)) for k in (1, 2, 3)))
-            card = (v > 0) & (at >= s["free"]) & ((v == 2) | (later < 2))
-            new = F.when(card, F.concat(s["starts"], F.array(at))).otherwise(s["starts"])  # grows by cards, not by groups
-            return _with(new, lambda n: F.struct(
-                n.alias("starts"), F.when(F.size(n) > F.size(s["starts"]), at + 4).otherwise(s["free"]).alias("free"), (at + 1).alias("at"), s["valid"].alias("valid"),
-            ))
+        def marked(starts: Column) -> Column:
+            begins = lambda i: F.coalesce(F.get(starts, i) == "s", F.lit(False))
+            edge = lambda i: F.concat(F.when(begins(i - 4), _MARK).otherwise(""), F.when(begins(i), _MARK).otherwise(""))
+            line = F.array_join(F.transform(groups, lambda g, i: F.concat(edge(i), g)), " ")
+            line = F.concat(line, F.when(begins(F.size(groups) - 4), _MARK).otherwise(""))
+            return F.transform(F.split(line, _MARK, -1), lambda p: F.trim(p))
 
-        def walk(states: Column) -> Column:
-            zero = F.lit(0)
-            begin = F.struct(F.array().cast("array<int>").alias("starts"), zero.alias("free"), zero.alias("at"), states.alias("valid"))
-            return F.aggregate(states, begin, step, lambda s: s["starts"])
-
-        def say(starts: Column) -> Column:
-            def some(first: Column, end: Column) -> Column:
-                return F.array_join(F.slice(groups, first + 1, end - first), " ")
-
-            def end(i: Column) -> Column:
-                return F.coalesce(F.get(starts, i - 1) + 4, F.lit(0))
-
-            turns = F.transform(starts, lambda at, i: F.array(some(end(i), at), some(at, at + 4)))
-            return F.concat(F.flatten(turns), F.array(some(end(F.size(starts)), F.size(groups))))
-
-        return _with(_with(F.transform(F.sequence(F.lit(0), F.size(groups) - 4), valid), walk), say)
+        picked = F.regexp_replace(F.array_join(F.transform(groups, state), ""), "(?:2|1(?!.{0,2}2)).{3}", "s---")
+        return _with(F.split(picked, ""), marked)
 
     return _with(_with(F.split(row, " "), lambda g: F.struct(g.alias("groups"), F.transform(g, _check_sum).alias("sums"))), part)
 
@@ -216,7 +205,7 @@ def _any(e: Column, titles: list[str]) -> Column:
 def kind(e: Column) -> Column:
     return (
         F.when(e.rlike(rf"^(?:{_EMAIL})$"), "email")
-        .when(_any(e, MALE + FEMALE), "name")
+        .when(_any(e, TITLES), "name")
         .when(e.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
         .when(e.rlike(rf"^[+(]?\d[\d() .-]{{6,}}$"), "digits")
         .when(e.rlike(rf"^(?:{_IBAN})$"), "iban")
@@ -225,9 +214,41 @@ def kind(e: Column) -> Column:
 
 
 def canonical(e: Column) -> Column:
-    """The form in which mentions of one entity agree."""
-    k = kind(e)
-    return F.when(k == "email", F.lower(e)).when(k == "iban", F.replace(e, F.lit(" "), F.lit(""))).otherwise(e)
+    """The form in which mentions of one entity agree: e-mail addresses lower-cased, IBANs without spaces, numbers without
+    separators (and a trunk zero in parentheses), names with the first title of their gender."""
+    return _with(kind(e), lambda k: _canonical(e, k))
+
+
+def _canonical(e: Column, k: Column) -> Column:
+    plus = F.when(e.startswith("+"), "+").otherwise("")
+    number = F.concat(plus, F.regexp_replace(F.regexp_replace(e, r"\(0\)", ""), r"\D", ""))
+    return (
+        F.when(k == "email", F.lower(e)).when(k == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(k == "digits", number)
+        .when(k == "name", F.concat(_title(e), F.lit(" "), _after_title(e))).otherwise(e)
+    )
+
+
+def _title(e: Column) -> Column:
+    return F.when(_any(e, MALE), MALE[0]).when(_any(e, FEMALE), FEMALE[0]).otherwise(EITHER[0])
+
+
+def _after_title(e: Column) -> Column:
+    return F.substr(e, F.instr(e, " ") + 1, F.length(e))
+
+
+def family(e: Column) -> Column:
+    """The canonical form of a name's family name alone, whatever its title and given names."""
+    return F.concat(F.lit(MALE[0] + " "), F.substring_index(e, " ", -1))
+
+
+def _checked(e: Column) -> Column:
+    """The entities, in canonical form, whose surrogates could collide: for a name its family name as well."""
+
+    def of(k: Column) -> Column:
+        name = F.array_distinct(F.array(_canonical(e, k), family(e)))
+        return F.when(k.isin("email", "secret", "iban"), F.array(_canonical(e, k))).when(k == "name", name).otherwise(F.array().cast("array<string>"))
+
+    return _with(kind(e), of)
 
 
 def _number(key: str, *parts: Column) -> Column:
@@ -279,25 +300,79 @@ def _luhn(digits: Column) -> Column:
     return (F.lit(10) - F.aggregate(double, F.lit(0), lambda s, x: s + x) % 10) % 10
 
 
-def _digits_surrogate(key: str, e: Column) -> Column:
-    code = F.regexp_extract(e, r"^\+\d{1,3}(?=[ .(-])", 0)
-    body = F.substr(e, F.length(code) + 1, F.length(e))
-    digits = F.regexp_replace(body, r"\D", "")
+#: Country codes: of one digit, of two, and all others of three.
+_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Stands for a trunk zero in parentheses, which no number keeps abroad.
+_TRUNK = "\ue001"
+
+
+def _respelt(form: Column, sign: str, fresh: Column) -> Column:
+    """``form`` with its characters of the class ``sign`` replaced, one by one, by those of
+    ``fresh``; what is over follows at the end."""
+    marks = F.split(F.regexp_replace(form, sign, "\ue002"), "")
+
+    def put(new: Column) -> Column:
+        def step(s: Column, c: Column) -> Column:
+            mine = c == "\ue002"
+            return F.struct(F.concat(s["out"], F.when(mine, F.substr(new, s["n"] + 1, F.lit(1))).otherwise(c)).alias("out"), (s["n"] + F.when(mine, 1).otherwise(0)).alias("n"))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
+        return F.aggregate(marks, start, step, lambda s: F.concat(s["out"], F.substr(new, s["n"] + 1, F.length(new))))
+
+    return _with(fresh, put)
+
+
+def _digits_surrogate(key: str, e: Column, plain: Column | None = None) -> Column:
+    """By the canonical digits, written in the separators of the mention.  A number of ten digits
+    that isn't a card is taken for one of country code 1."""
+    form = F.replace(e, F.lit("(0)"), F.lit(_TRUNK))
+    plain = F.regexp_replace(e, r"[^\d+]", "") if plain is None else plain  # a card
 
     def card(d: Column) -> Column:
         head = F.substr(d, F.lit(1), F.length(d) - 1)
         off = F.substr(d, F.length(d), F.lit(1)).cast("int") - _luhn(head) + 10
         return _with(_permute_digits(key, F.lit("card"), head), lambda h: F.concat(h, ((_luhn(h) + off) % 10).cast("string")))
 
-    fresh = _with(digits, lambda d: F.when((F.length(d) >= 13) & (code == ""), card(d)).otherwise(_permute_digits(key, F.concat(F.lit("digits"), code), d)))
-    put = lambda d: F.array_join(
-        F.transform(
-            F.split(body, ""),
-            lambda c, i: F.when(c.rlike(r"^\d$"), F.substr(d, F.length(F.regexp_replace(F.substr(body, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c),
-        ),
-        "",
-    )
-    return F.concat(code, _with(fresh, put))
+    def number(x: Column) -> Column:
+        code, d = x["code"], x["digits"]
+        tweak = F.when((code == "") & (F.length(d) == 10), "+1").otherwise(code)
+        fresh = F.when((F.length(d) >= 13) & (code == ""), card(d)).otherwise(_permute_digits(key, F.concat(F.lit("digits"), tweak), d))
+        return F.concat(F.regexp_replace(code, r"\D", ""), fresh)
+
+    def parted(code: Column) -> Column:
+        return F.struct(code.alias("code"), F.regexp_replace(F.substr(plain, F.length(code) + 1, F.length(plain)), r"\D", "").alias("digits"))
+
+    fresh = _with(_with(F.regexp_extract(plain, _CODE, 0), parted), number)
+    return F.replace(_respelt(form, r"\d", fresh), F.lit(_TRUNK), F.lit("(0)"))
+
+
+def _rest97(text: Column) -> Column:
+    """A number modulo 97, letters standing for 10 to 35."""
+
+    def step(r: Column, c: Column) -> Column:
+        digit = F.ascii(c) - 48
+        return F.when(digit <= 9, (r * 10 + digit) % 97).otherwise((r * 100 + digit - 7) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _check97(country: Column, rest: Column) -> Column:
+    return F.lit(98) - _rest97(F.concat(rest, country, F.lit("00")))
+
+
+def _iban_surrogate(key: str, e: Column, plain: Column, attempt: Column) -> Column:
+    """Country, form and the validity of the check digits stay; what later attempts add are digits."""
+    longer = F.repeat(F.lit("0"), F.least(attempt, F.lit(CIPHERED)) * 2)
+    old = F.struct(F.substring(plain, 1, 2).alias("country"), F.substr(plain, F.lit(5), F.length(plain)).alias("rest"))
+
+    def whole(x: Column) -> Column:
+        usual = _with(_keyed(key, F.lit("iban"), plain, attempt), lambda d: _substitute(F.concat(x["rest"], longer), d))
+        off = F.substring(plain, 3, 2).cast("int") - _check97(x["country"], x["rest"])  # 0 where they are valid
+        new = F.when(attempt < CIPHERED, usual).otherwise(F.upper(_ciphered(key, plain, attempt)))
+        checked = lambda r: F.concat(x["country"], F.lpad((F.pmod(_check97(x["country"], r) - 2 + off, F.lit(97)) + 2).cast("string"), 2, "0"), r)
+        return _with(new, checked)
+
+    return _respelt(e, "[A-Z0-9]", _with(old, whole))
 
 
 def _ip_surrogate(key: str, e: Column) -> Column:
@@ -329,7 +404,7 @@ _SCRIPTS = [
 def _substitute(text: Column, digest: Column) -> Column:
     """Each letter or digit by one of the same class, chosen by the digest and the place.
     Letters of scripts that are not listed become Latin ones of the same case."""
-    hexadecimal = text.rlike(r"^(?=.*\d)[0-9a-f]+$")
+    hexadecimal = text.rlike(r"^(?=.*\d)(?=.*[a-f])[0-9a-f]+$")
 
     def one(c: Column, i: Column) -> Column:
         n = F.conv(F.substr(digest, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int") + F.floor(i / 32).cast("int") * 7
@@ -357,8 +432,8 @@ def _ciphered(key: str, e: Column, attempt: Column) -> Column:
     return F.lower(F.hex(F.aes_encrypt(F.concat_ws("|", attempt.cast("string"), e).cast("binary"), secret, F.lit("ECB"), F.lit("PKCS"))))
 
 
-def _spelt(code: Column, script: str) -> Column:
-    return F.translate(code, "0123456789abcdef", CIPHER[script])
+def _spelt(code: Column, script: Column) -> Column:
+    return _by_script(script, {s: F.translate(code, "0123456789abcdef", x) for s, x in CIPHER.items()})
 
 
 def _email_surrogate(key: str, e: Column, attempt: Column) -> Column:
@@ -367,59 +442,113 @@ def _email_surrogate(key: str, e: Column, attempt: Column) -> Column:
     last = F.substring_index(domain, ".", -1)
     usual = _with(_keyed(key, F.lit("email"), F.lower(e), attempt), lambda d: _substitute(F.concat(local, _longer(attempt)), d))
     return F.concat(
-        F.when(attempt < CIPHERED, usual).otherwise(_spelt(_ciphered(key, F.lower(e), attempt), "latin")), F.lit("@"),
+        F.when(attempt < CIPHERED, usual).otherwise(F.translate(_ciphered(key, F.lower(e), attempt), "0123456789abcdef", CIPHER["latin"])), F.lit("@"),
         _with(_keyed(key, F.lit("domain"), domain), lambda d: _substitute(name, d)), F.lit("."), last,
     )
 
 
-def _name_surrogate(key: str, e: Column, attempt: Column) -> Column:
-    words = F.split(e, " ")
-    last = F.element_at(words, -1)
-    script = F.when(last.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(last.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
-    gender = F.when(_any(e, FEMALE), "f").otherwise("m")
+def _given_names(key: str, e: Column, plain: Column, words: Column, script: Column, attempt: Column) -> Column:
+    """The words of a name, its given names replaced by ones that depend on the whole name."""
+
+    def of(h: Column) -> Column:
+        female = F.when(_any(e, EITHER), _hex4(h, F.lit(31)) % 2 == 0).otherwise(_any(e, FEMALE))
+        more = F.when(attempt == 0, "").when(attempt < CIPHERED, _sounds(h, script, attempt * 2)).otherwise(_spelt(_ciphered(key, plain, attempt), script))
+        which = F.concat(F.when(female, "f ").otherwise("m "), script)
+        some = F.lit(None).cast("array<string>")
+        for (g, s), names in GIVEN.items():
+            some = F.when(which == f"{g} {s}", F.array(*map(F.lit, names))).otherwise(some)
+
+        def listed(x: Column) -> Column:
+            one = lambda w, i: F.when((i == 0) | (i == F.size(words) - 1), w).otherwise(F.concat(_nth(x["some"], _hex4(h, i)), x["more"]))
+            return F.transform(words, one)
+
+        return _with(F.struct(some.alias("some"), more.alias("more")), listed)
+
+    return _with(_keyed(key, F.lit("name"), plain, attempt), of)
+
+
+def _family_name(key: str, kin: Column, script: Column, attempt: Column) -> Column:
+    """The surrogate of a family name, by its canonical form."""
+
+    def of(h: Column) -> Column:
+        usual = _sounds(h, script, F.least(attempt, F.lit(CIPHERED)) * 2 + 4)
+        end = _by_script(script, {s: F.lit(x) for s, x in NAME_END.items()})
+        return F.initcap(F.concat(F.when(attempt < CIPHERED, usual).otherwise(_spelt(_ciphered(key, kin, attempt), script)), end))
+
+    return _with(_keyed(key, F.lit("family"), kin, attempt), of)
+
 
-    def pick(items: list[str], n: Column) -> Column:
-        return F.element_at(F.array(*map(F.lit, items)), (n % len(items) + 1).cast("int"))
+def _hex4(h: Column, i: Column) -> Column:
+    return F.conv(F.substr(h, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
-    def named(h: Column) -> Column:
-        def number(i: Column) -> Column:
-            return F.conv(F.substr(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
-        def family(s: str) -> Column:
-            syllables = F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(CIPHERED)) * 2 + 3), lambda i: pick(SYLLABLES[s], number(i + 4)))
-            usual = F.array_join(syllables, "")
-            return F.initcap(F.concat(F.when(attempt < CIPHERED, usual).otherwise(_spelt(_ciphered(key, e, attempt), s)), F.lit(NAME_END[s])))
+def _nth(items: Column, n: Column) -> Column:
+    return F.get(items, n % F.size(items))
 
-        def word(w: Column, i: Column) -> Column:
-            out = F.when(i == 0, w)
-            for s in SYLLABLES:
-                out = out.when((i == F.size(words) - 1) & (script == s), family(s))
-            for g, s in GIVEN:
-                out = out.when((gender == g) & (script == s), pick(GIVEN[g, s], number(i)))
-            return out
 
-        return F.array_join(F.transform(words, word), " ")
+def _by_script(script: Column, of: dict[str, Column]) -> Column:
+    out = F.lit(None)
+    for s, v in of.items():
+        out = F.when(script == s, v).otherwise(out)
+    return out
+
+
+def _sounds(h: Column, script: Column, n: Column) -> Column:
+    syllables = _by_script(script, {s: F.array(*map(F.lit, x)) for s, x in SYLLABLES.items()})
+    return _with(syllables, lambda some: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _nth(some, _hex4(h, i + 4))), ""))
+
 
-    return _with(_keyed(key, F.lit("name"), e, attempt), named)
+def _name_surrogate(key: str, e: Column, plain: Column, attempt: Column, family_attempt: Column, keeps: Column) -> Column:
+    """Title, gender, script and number of words stay.  The family name depends on the family
+    name alone, given names on the whole name; where ``keeps`` holds the family name stays."""
+    last = F.substring_index(e, " ", -1)
+    script = F.when(last.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(last.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
+
+    def of(x: Column) -> Column:
+        words, s = x["words"], x["script"]
+        # A name of one word is its family's.
+        first = F.when(F.size(words) > 2, _given_names(key, e, plain, words, s, attempt)).otherwise(words)
+        new = F.when(keeps, x["last"]).otherwise(_with(family(e), lambda kin: _family_name(key, kin, s, family_attempt)))
+        return F.concat_ws(" ", F.slice(first, F.lit(1), F.size(words) - 1), new)
 
+    return _with(F.struct(F.split(e, " ").alias("words"), script.alias("script"), last.alias("last")), of)
 
-def surrogate(e: Column, key: str, attempt: Column | None = None) -> Column:
-    """The replacement of one entity."""
+
+def surrogate(e: Column, key: str, attempt: Column | None = None, family_attempt: Column | None = None) -> Column:
+    """The replacement of one entity; of a name, with the family name's own attempt."""
     attempt = F.lit(0) if attempt is None else attempt.cast("int")
-    k = kind(e)
+    family_attempt = attempt if family_attempt is None else family_attempt.cast("int")
+    return _surrogate(e, key, attempt, family_attempt, F.lit(False))
 
-    def masked(what: str, sign: Column, rest: Column, upper: bool) -> Column:
-        code = _ciphered(key, canonical(e), attempt)
-        usual = _with(_keyed(key, F.lit(what), canonical(e), attempt), lambda d: _substitute(F.concat(rest, _longer(attempt)), d))
-        return F.concat(sign, F.when(attempt < CIPHERED, usual).otherwise(F.upper(code) if upper else code))
 
-    sign = F.regexp_extract(e, "^" + _PREFIX, 0)
-    plain = masked("secret", sign, F.substr(e, F.length(sign) + 1, F.length(e)), False)
-    iban = masked("iban", F.substring(e, 1, 2), F.substr(e, F.lit(3), F.length(e)), True)
-    return (
-        F.when(k == "email", _email_surrogate(key, e, attempt)).when(k == "name", _name_surrogate(key, e, attempt)).when(k == "ip", _ip_surrogate(key, e))
-        .when(k == "digits", _digits_surrogate(key, e)).when(k == "iban", iban).otherwise(plain)
-    )
+def _compared(e: Column, key: str, attempt: Column) -> Column:
+    """The surrogate of a canonical entity by which collisions are found: family names are
+    compared with each other, and the names of one family by their given names."""
+    return _surrogate(e, key, attempt, attempt, F.size(F.split(e, " ")) > 2)
+
+
+def _surrogate(e: Column, key: str, attempt: Column, family_attempt: Column, keeps: Column) -> Column:
+    def secret(e: Column, a: Column) -> Column:
+        sign = F.regexp_extract(e, "^" + _PREFIX, 0)
+
+        def of(sign: Column) -> Column:
+            rest = F.substr(e, F.length(sign) + 1, F.length(e))
+            usual = _with(_keyed(key, F.lit("secret"), e, a), lambda d: _substitute(F.concat(rest, _longer(a)), d))
+            return F.concat(sign, F.when(a < CIPHERED, usual).otherwise(_ciphered(key, e, a)))
+
+        return _with(sign, of)
+
+    def by_kind(x: Column) -> Column:
+        e, k, plain, a = x["e"], x["k"], x["plain"], x["a"]
+        return (
+            F.when(k == "email", _email_surrogate(key, e, a)).when(k == "name", _name_surrogate(key, e, plain, a, x["f"], x["keeps"])).when(k == "ip", _ip_surrogate(key, e))
+            .when(k == "digits", _digits_surrogate(key, e, plain)).when(k == "iban", _iban_surrogate(key, e, plain, a)).otherwise(secret(e, a))
+        )
+
+    def bound(k: Column) -> Column:
+        return F.struct(e.alias("e"), k.alias("k"), _canonical(e, k).alias("plain"), attempt.alias("a"), family_attempt.alias("f"), keeps.alias("keeps"))
+
+    return _with(_with(kind(e), bound), by_kind)
 
 
 def collisions(entities: DataFrame, key: str) -> DataFrame:
@@ -434,7 +563,7 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
     pending, rounds = entities.select("entity"), []
     while True:
         turn = F.lit(len(rounds))
-        now = _with(surrogate(F.col("entity"), key, turn), canonical)
+        now = _with(_compared(F.col("entity"), key, turn), canonical)
         given = cut(pending.select("entity", turn.alias("attempt"), now.alias("surrogate")), "pii-surrogates")
         shared = given.groupBy("surrogate").agg(F.min("entity").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         again = given.join(shared, "surrogate").where("entity != first").select("entity")
@@ -465,8 +594,8 @@ def replace(docs: DataFrame, key: str, literal_exceptions: int = LITERAL_EXCEPTI
     that tie for one the smallest keeps it).  An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
-    found = docs.select(F.explode(find(text)).alias("e")).where(kind(F.col("e")).isin("email", "name", "secret", "iban"))
-    entities = cut(found.select(canonical(F.col("e")).alias("entity")).distinct(), "pii-entities")
+    found = docs.select(F.explode(find(text)).alias("e")).select(F.explode(_checked(F.col("e"))).alias("entity"))
+    entities = cut(found.distinct(), "pii-entities")
     exceptions = collisions(entities, key)
     few = exceptions.limit(literal_exceptions + 1).collect()
     parts, n_entities, by, held = (free_name(docs, c) for c in ("parts", "n_entities", "text_hash", "tries"))
@@ -474,13 +603,13 @@ def replace(docs: DataFrame, key: str, literal_exceptions: int = LITERAL_EXCEPTI
         tries = F.create_map(*(F.lit(v) for r in few for v in (r["entity"], r["attempt"]))) if few else None
         source = docs
     else:  # the exceptions of each text come by its hash
-        named = docs.select(F.xxhash64(text).alias(by), F.explode(F.array_distinct(F.transform(find(text), canonical))).alias("entity")).distinct()
+        named = docs.select(F.xxhash64(text).alias(by), F.explode(F.array_distinct(F.flatten(F.transform(find(text), _checked)))).alias("entity")).distinct()
         maps = named.join(exceptions, "entity").groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias(held))
         source = docs.withColumn(by, F.xxhash64(text)).join(maps, by, "left")
         tries = F.coalesce(held, F.create_map().cast("map<string,int>"))
-    attempt = (lambda e: F.lit(0)) if tries is None else (lambda e: F.coalesce(F.element_at(tries, canonical(e)), F.lit(0)))
+    attempt = (lambda e: F.lit(0)) if tries is None else (lambda e: F.coalesce(F.element_at(tries, e), F.lit(0)))
     marked = source.withColumn(parts, _parts(F.col("text")))
-    fresh = lambda e: F.when(_is_row(e), _row_surrogate(key, e)).otherwise(surrogate(e, key, attempt(e)))
+    fresh = lambda e: F.when(_is_row(e), _row_surrogate(key, e)).otherwise(surrogate(e, key, attempt(canonical(e)), attempt(family(e))))
     woven = F.array_join(F.transform(F.col(parts), lambda p: F.when(p["entity"], fresh(p["text"])).otherwise(p["text"])), "")
     out = marked.withColumn(n_entities, F.coalesce(F.size(_entities(_matches(F.col(parts)))), F.lit(0)))
     out = out.withColumn("text", F.when(F.col(n_entities) > 0, woven).otherwise(F.col("text")))
