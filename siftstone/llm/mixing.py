@@ -5,10 +5,10 @@ equal hash ranges.  A source's target in words becomes an exact number of block
 its blocks for each whole pass, then blocks in permuted order, and within the one block
 where the target falls single documents, largest first, while they fit.  The vector of
 block quotas is split recursively: each node of a binary tree draws, by sequential
-hypergeometric sampling, how many blocks of each source go to its left half.  The leaves
+hypergeometric sampling, how many blocks of each source go to its left half.  The leaves, 64 or more at any size,
 are output shards; each gets disjoint ranges of its sources' permuted blocks and shuffles
-its own rows.  The tree works on one number for each source and node, never on rows.  The stage
-writes a shard to a file, in its shuffled order, and packing goes on shard by shard.
+its own rows.  The tree works on one number for each node and source that has draws there, never on rows.  The stage
+writes shards to files, in their shuffled order, and packing goes on file by file.
 
 Only DataFrame and SQL expressions are used.
 """
@@ -26,11 +26,14 @@ MAX_REPEATS = 3
 #: Documents in a block, about; blocks of a source at most.
 BLOCK_DOCS = 256
 MAX_BLOCKS = 1 << 20
-#: Words in an output shard, about; shards at most.
+#: Words in an output file, about; the tree's leaves, the shards, at least and at most.  Small
+#: corpora have several shards in a file.
 SHARD_WORDS = 4_000_000
-MAX_SHARDS = 1 << 16
-#: Numbers in the plan that goes to every task: where each shard begins in each source.
-MAX_STARTS = 1 << 22
+MIN_SHARDS, MAX_SHARDS = 64, 1 << 16
+#: Sources whose draws are made one after another; more are drawn in groups, groups first.
+GROUP = 256
+#: Of a source's shards, every so manieth is looked at first.
+STRIDE = 256
 SEED = 20240
 
 _GAP = r"[\x20\x09-\x0D]+"
@@ -96,43 +99,65 @@ def _hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
     )
 
 
-def _left_half(seed: int) -> str:
-    """Quotas of a node's left child: sequential draws over the sources."""
+def _taken(seed: int) -> str:
+    """What of ``quotas`` goes to a node's left child: ``draws`` sequential draws over the sources."""
     u = f"((shiftrightunsigned(xxhash64({int(seed)}, node, s.source_key), 11) + 0.5D) / 9007199254740992D)"
     take = _hypergeometric("a.total", "s.quota", "a.draws", u)
     # a: what is left to draw from and to draw; the take is computed once, in an inner list.
     return (
         "aggregate(quotas, named_struct('total', aggregate(quotas, 0L, (x, s) -> x + s.quota), "
-        "'draws', aggregate(quotas, 0L, (x, s) -> x + s.quota) div 2, 'taken', cast(array() as array<bigint>)), "
+        "'draws', draws, 'taken', cast(array() as array<bigint>)), "
         f"(a, s) -> transform(array({take}), t -> named_struct('total', a.total - s.quota, 'draws', a.draws - t, "
         "'taken', array_append(a.taken, t)))[0], a -> a.taken)"
     )
 
 
+_SUM = "aggregate(quotas, 0L, (x, s) -> x + s.quota)"
+
+
+def _group_draws(nodes: DataFrame, seed: int) -> DataFrame:
+    """Adds ``draws``: how many of each group of sources go to the left child.  A node's groups
+    are drawn as sources are, from their sums."""
+    name = F.concat(F.lit("group "), F.col("group").cast("string"))
+    sums = nodes.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(name.alias("source_key"), F.expr(_SUM).alias("quota"), "group"))).alias("quotas"))
+    drawn = sums.withColumn("draws", F.expr(f"{_SUM} div 2")).withColumn("taken", F.expr(_taken(seed)))
+    each = drawn.select("node", F.explode(F.expr("transform(quotas, (s, i) -> struct(s.group as group, taken[i] as draws))")).alias("x"))
+    return nodes.join(each.select("node", "x.*"), ["node", "group"])
+
+
 def shard_quotas(sources: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
-    """(source_key, starts): where each shard's range of the source's draws starts.
-    ``sources`` has (source_key, quota); ``shards`` is a power of two."""
+    """(source_key, starts, shard_ids): where the ranges of a source's draws start, and in which
+    shards, for those that have any.  ``sources`` has (source_key, quota); ``shards`` is a power of two.
+
+    A node holds the sources that have draws left there, in groups of about ``GROUP``, a row
+    each, so that neither a list nor a task grows with the sources, and all rows together at most with the draws.
+    """
+    groups = max(1, sources.count() // GROUP)
     one = F.sort_array(F.collect_list(F.struct("source_key", "quota")))
-    nodes = sources.select("source_key", F.col("quota").cast("long")).agg(one.alias("quotas")).select(F.lit(1).cast("long").alias("node"), "quotas")
+    group = F.pmod(F.xxhash64("source_key"), F.lit(groups)).cast("int").alias("group")
+    nodes = sources.where("quota > 0").select("source_key", F.col("quota").cast("long").alias("quota"), group).groupBy("group").agg(one.alias("quotas"))
+    nodes = nodes.select(F.lit(1).cast("long").alias("node"), "group", "quotas")
     for _ in range(shards.bit_length() - 1):
-        drawn = nodes.withColumn("taken", F.expr(_left_half(seed)))
+        drawn = nodes.withColumn("draws", F.expr(f"{_SUM} div 2")) if groups == 1 else _group_draws(nodes, seed)
+        drawn = drawn.withColumn("taken", F.expr(_taken(seed)))
         left = F.expr("transform(quotas, (s, i) -> named_struct('source_key', s.source_key, 'quota', taken[i]))")
         right = F.expr("transform(quotas, (s, i) -> named_struct('source_key', s.source_key, 'quota', s.quota - taken[i]))")
-        both = F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("quotas")))
-        nodes = drawn.select(F.explode(both).alias("n")).select("n.node", "n.quotas")
-    leaf = nodes.select((F.col("node") - shards).alias("shard"), F.explode("quotas").alias("s")).select("shard", "s.source_key", "s.quota")
+        some = lambda quotas: F.filter(quotas, lambda s: s["quota"] > 0).alias("quotas")
+        both = F.array(F.struct((F.col("node") * 2).alias("node"), some(left)), F.struct((F.col("node") * 2 + 1).alias("node"), some(right)))
+        nodes = drawn.select("group", F.explode(both).alias("n")).select("n.node", "group", "n.quotas").where(F.size("quotas") > 0)
+        if groups > 1:
+            nodes = cut(nodes, "mix-nodes")
+    leaf = nodes.select((F.col("node") - shards).cast("int").alias("shard"), F.explode("quotas").alias("s")).select("shard", "s.source_key", "s.quota")
     upto = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = leaf.withColumn("start", F.coalesce(F.sum("quota").over(upto), F.lit(0)))
-    return starts.groupBy("source_key").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("shard", "start"))), lambda x: x.getField("start")).alias("starts")
-    )
+    ranges = starts.groupBy("source_key").agg(F.sort_array(F.collect_list(F.struct("start", "shard"))).alias("r"))
+    return ranges.select("source_key", F.col("r.start").alias("starts"), F.col("r.shard").alias("shard_ids"))
 
 
 def plan(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame, int]:
     """(rows, sources, shards): ``rows`` has (doc_id, source_key, size, place) of every
-    document; ``sources`` one row for each source with all that decides its draws.  Beside
-    the sources themselves, which are listed, at most ``MAX_STARTS`` numbers are planned with:
-    with many sources there are fewer and larger shards."""
+    document; ``sources`` one row for each source with all that decides its draws: at most a
+    number for each of its draws and shards."""
     text = F.coalesce("text", F.lit(""))
     rows = cut(docs.select("doc_id", "source", word_count(text).alias("size"), _place("doc_id", text).alias("place")), "mix-rows")
     keyed = rows.withColumn("source_key", _source_key())
@@ -170,18 +195,17 @@ def plan(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame, int]:
     drawn = whole.join(chosen, "source_key", "left").withColumn("edge", F.coalesce("edge", F.lit(0)))
     drawn = drawn.withColumn("picks", F.coalesce("picks", F.array().cast("array<bigint>")))
     drawn = cut(drawn.withColumn("quota", F.col("passes") * F.col("blocks") + F.col("edge") + F.when(F.size("picks") > 0, 1).otherwise(0)), "mix-drawn")
-    total, named = whole.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
-    most = max(1, MAX_STARTS // max(1, named))
-    shards = min(MAX_SHARDS, 1 << (most.bit_length() - 1), 1 << (total // SHARD_WORDS).bit_length())
+    total = whole.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    shards = max(MIN_SHARDS, _files(total))
     starts = shard_quotas(drawn, shards, seed)
     # Every so manieth start is a head: a draw's shard is found in two short scans.
-    heads = F.filter("starts", lambda s, i: i % F.lit(_stride(shards)) == 0)
-    sources = cut(drawn.join(starts.withColumn("heads", heads), "source_key"), "mix-plan")
+    heads = F.filter("starts", lambda s, i: i % F.lit(STRIDE) == 0)
+    sources = cut(drawn.join(starts.withColumn("heads", heads), "source_key", "left"), "mix-plan")
     return keyed, sources, shards
 
 
-def _stride(shards: int) -> int:
-    return 1 << (shards.bit_length() // 2)
+def _files(words: int) -> int:
+    return min(MAX_SHARDS, 1 << (words // SHARD_WORDS).bit_length())
 
 
 def _block(place: str, blocks: str) -> Column:
@@ -189,7 +213,7 @@ def _block(place: str, blocks: str) -> Column:
     return F.expr(f"shiftright({place}, 62 - cast(log2({blocks}) as int))").cast("long")
 
 
-def _draws(rows: DataFrame, sources: DataFrame, shards: int) -> DataFrame:
+def _draws(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds source_size, target, copies and the shard of each copy.  One row for each
     source is joined, so a hot source is no hot key when that side is broadcast, and is
     split by adaptive execution when it isn't."""
@@ -197,10 +221,9 @@ def _draws(rows: DataFrame, sources: DataFrame, shards: int) -> DataFrame:
     extra = (F.col("block") < F.col("edge")) | ((F.col("block") == F.col("edge")) & F.array_contains("picks", F.col("place")))
     joined = rows.join(sources.drop("source"), "source_key").withColumn("block", block)
     copies = F.col("passes") + F.when(extra, 1).otherwise(0)
-    n = _stride(shards)
     head = "size(filter(heads, s -> s <= e * blocks + block)) - 1"
-    within = f"size(filter(slice(starts, h * {n} + 1, {n}), s -> s <= e * blocks + block)) - 1"
-    found = F.expr(f"transform(sequence(0L, copies - 1), e -> transform(array({head}), h -> h * {n} + {within})[0])")
+    within = f"size(filter(slice(starts, h * {STRIDE} + 1, {STRIDE}), s -> s <= e * blocks + block)) - 1"
+    found = F.expr(f"transform(sequence(0L, copies - 1), e -> transform(array({head}), h -> shard_ids[h * {STRIDE} + {within}])[0])")
     out = joined.withColumn("copies", copies)
     return out.withColumn("shards", F.when(F.col("copies") > 0, found).otherwise(F.array().cast("array<int>")))
 
@@ -216,8 +239,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     left as one; where documents of one size compete, their keyed hashes decide.  An empty table gives no rows.  Only doc_id, text
     and source are read.  Reruns agree.
     """
-    rows, sources, shards = plan(docs, seed)
-    out = _draws(rows, sources, shards)
+    rows, sources, _ = plan(docs, seed)
+    out = _draws(rows, sources)
     return out.select(
         "doc_id", "size", "source_size", "target",
         F.when(F.col("size") > 0, F.col("copies") * F.col("size")).otherwise(F.lit(0)).cast("long").alias("taken"), "shards",
@@ -230,7 +253,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = SEED) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it; a partition, and so a file
-    when it is written, is a shard, shuffled.  Documents without words (null, empty, blank)
+    when it is written, is a shard, or as many shards as have its words together, shuffled.  Documents without words (null, empty, blank)
     have no share and go.  Null ids and sources, long texts, repeated rows and empty tables are
     treated as in :func:`mix`; columns of any name stay."""
     _, sources, shards = plan(docs, seed)
@@ -238,6 +261,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = SEE
     rows = docs.select(
         F.struct(*columns(docs)).alias("row"), _source_key().alias("source_key"), _place("doc_id", text).alias("place"), F.length(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))).alias("n")
     )
-    drawn = _draws(rows.where("n > 0"), sources, shards).select("row", "place", F.explode("shards").alias("shard"))
-    mixed = drawn.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "shard", "place"))
+    drawn = _draws(rows.where("n > 0"), sources).select("row", "place", F.explode("shards").alias("shard"))
+    files = min(shards, _files(sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]))
+    named = drawn.withColumn("file", F.expr(f"shard div {shards // files}").cast("int"))
+    mixed = named.repartitionById(files, "file").sortWithinPartitions("file", F.xxhash64(F.lit(seed), "shard", "place"))
     return mixed.select("row.*")

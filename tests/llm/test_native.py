@@ -64,27 +64,35 @@ def test_hypergeometric_draws(spark):
         assert r["x"] == x, (r, x)
 
 
-def test_shards_get_disjoint_exact_ranges(spark):
+@pytest.mark.parametrize("group", [256, 1])
+def test_shards_get_disjoint_exact_ranges(spark, monkeypatch, group):
+    monkeypatch.setattr(mixing, "GROUP", group)
     df = spark.createDataFrame([("=a", 700), ("=b", 33), ("=c", 0), ("", 267)], "source_key string, quota long")
-    starts = {r["source_key"]: r["starts"] for r in mixing.shard_quotas(df, 8).collect()}
-    quota = {"=a": 700, "=b": 33, "=c": 0, "": 267}
-    for k, s in starts.items():
-        assert len(s) == 8 and s[0] == 0 and s == sorted(s) and s[-1] <= quota[k]
-    size = [sum((s[g + 1] if g < 7 else quota[k]) - s[g] for k, s in starts.items()) for g in range(8)]
+    quota = {"=a": 700, "=b": 33, "": 267}
+    size = [0] * 8
+    got = mixing.shard_quotas(df, 8).collect()
+    assert {r["source_key"] for r in got} == set(quota)
+    for r in got:
+        s, shards = r["starts"], r["shard_ids"]
+        assert s[0] == 0 and s == sorted(set(s)) and s[-1] < quota[r["source_key"]] and shards == sorted(set(shards))
+        for k, shard in enumerate(shards):
+            size[shard] += (s[k + 1] if k + 1 < len(s) else quota[r["source_key"]]) - s[k]
     assert sum(size) == 1000 and max(size) - min(size) <= 3  # halves of halves of halves
 
 
 def test_draws_lie_in_their_shards_ranges(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SHARD_WORDS", 300)
+    monkeypatch.setattr(mixing, "STRIDE", 4)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows, sources, shards = mixing.plan(docs)
     assert shards >= 64
-    keys = {r["source_key"]: r for r in sources.collect()}
-    for r in mixing._draws(rows, sources, shards).select("source_key", "block", "shards").collect():
+    keys, met = {r["source_key"]: r for r in sources.collect()}, set()
+    for r in mixing._draws(rows, sources).select("source_key", "block", "shards").collect():
         s = keys[r["source_key"]]
         for e, shard in enumerate(r["shards"]):
-            at = e * s["blocks"] + r["block"]
-            assert s["starts"][shard] <= at and (shard == shards - 1 or at < s["starts"][shard + 1])
+            at, k = e * s["blocks"] + r["block"], s["shard_ids"].index(shard)
+            assert s["starts"][k] <= at and (k == len(s["starts"]) - 1 or at < s["starts"][k + 1])
+            met.add(shard)
+    assert len(met) > 10
 
 
 def test_mix_query(spark):
@@ -143,13 +151,16 @@ def test_the_tree_decides_the_sequences(spark, monkeypatch, tmp_path):
     assert seen[0][0] != seen[1][0] and seen[0][1] == seen[1][1] and seen[0] == seen[2]
 
 
-def test_plan_is_bounded_with_many_sources(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SHARD_WORDS", 10)
-    monkeypatch.setattr(mixing, "MAX_STARTS", 256)
+def test_many_sources_are_drawn_in_groups(spark, monkeypatch):
+    """No list of all sources, and as many shards as with few."""
+    monkeypatch.setattr(mixing, "GROUP", 8)
     df = spark.createDataFrame([(i, "some words of a text " * 5, "en", f"s{i % 60}", 1) for i in range(600)], DOCS)
     _, sources, shards = mixing.plan(df)
-    assert shards == 4 and sum(len(r["starts"]) for r in sources.collect()) <= 256
-    assert mixing.mix(df).count() == 600
+    plan = sources.collect()
+    assert shards == 64 and sum(len(r["starts"] or []) for r in plan) <= sum(r["quota"] for r in plan)
+    out = mixing.mix(df).collect()
+    assert len(out) == 600 and len({x for r in out for x in r["shards"]}) > 30
+    assert sum(r["taken"] for r in out) == sum(r["size"] * len(r["shards"]) for r in out)
 
 
 # --- chat ------------------------------------------------------------------------------
