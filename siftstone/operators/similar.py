@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions import constants as K
@@ -19,11 +19,12 @@ from siftstone.functions import scalars as S
 from siftstone.operators.graph import components
 from siftstone.sources.scratch import cut
 
-#: Beyond this distance an index has more probes than blocks have comparisons.
+#: The farthest hashes that the index serves: at two differing bits of a segment either side
+#: flips one.
 INDEXED_DISTANCE = 11
-#: The same for videos, whose 32 hashes on each side meet 128 times: at one flip of 16 bits
-#: every eighth pair of unlike videos meets, at two flips each pair once.
-VIDEO_INDEXED_DISTANCE = 7
+#: Frames of a video's orientation that are looked up: of eight frames four have to match, so
+#: of any five one does.
+PREFIX_FRAMES = K.FRAMES - K.MIN_MATCHES + 1
 #: Rows of a block in the comparison of all blocks with all.
 BLOCK_ROWS = 4096
 
@@ -37,33 +38,54 @@ def _masks(flips: int) -> list[int]:
     return [sum(1 << b for b in bits) for k in range(flips + 1) for bits in combinations(range(16), k)]
 
 
-def _segments(rows: DataFrame) -> DataFrame:
-    parts = F.array(*(F.shiftrightunsigned("hash", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)))
-    return rows.select("*", F.posexplode(parts).alias("seg", "value"))
+def thresholds(max_distance: int) -> list[int]:
+    """Differing bits allowed in each of four segments.  Were each segment over its own, all
+    together would differ in at least ``max_distance + 1`` bits; a segment at -1 isn't needed."""
+    rest = max_distance - 3
+    return [rest // 4 + (1 if i < rest % 4 else 0) for i in range(4)]
+
+
+def _segment(x: Column, i: int) -> Column:
+    return F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0xFFFF))
+
+
+def _variants(rows: DataFrame, name: str, flips: list[int], also: str | None) -> DataFrame:
+    """(name: the row as a struct, seg, m, key): each needed segment's value with some bits flipped by the mask ``m``."""
+    base = F.col(also).cast("long") * (1 << 18) if also else F.lit(0).cast("long")
+
+    def of(i: int, n: int) -> Column:
+        masks = F.array(*(F.lit(m).cast("long") for m in _masks(n)))
+        own = base + (i << 16) + _segment(F.col("hash"), i)
+        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("seg"), m.alias("m"), own.bitwiseXOR(m).alias("key")))
+
+    each = F.concat(*(of(i, n) for i, n in enumerate(flips) if n >= 0))
+    return rows.select(F.struct(*rows.columns).alias(name), F.explode(each).alias("v")).select(name, "v.*")
 
 
 def near_hashes(left: DataFrame, right: DataFrame, max_distance: int, also: str | None = None) -> DataFrame:
     """Pairs (columns of ``left`` as l, of ``right`` as r) of 64-bit hashes at most
-    ``max_distance`` bits apart, each once; with equal values of the column ``also``, if given.
+    ``max_distance`` (up to 11) bits apart, each once; with equal values of the integer column ``also``, if given.
 
-    Of four 16-bit segments one has at most a quarter of the differing bits, so a probe of
-    every word that near meets the other side in an equi-join; a pair is kept for the first
-    segment that near, so none comes twice.
+    Of four 16-bit segments one keeps within its threshold (see :func:`thresholds`).  At two
+    bits each side flips one, at one bit the left side does, and variants meet in an
+    equi-join.  A pair is kept for the first such segment, and where the left side has
+    flipped the lowest differing bit, so none comes twice.
     """
-    flips = max_distance // 4
-    masks = F.array(*(F.lit(m).cast("long") for m in _masks(flips)))
-    probes = _segments(left).select(F.struct(*left.columns).alias("l"), "seg", F.col("value").alias("own"), F.explode(masks).alias("m"))
-    probes = probes.select("l", "seg", F.col("own").bitwiseXOR(F.col("m")).alias("value"))
-    index = _segments(right).select(F.struct(*right.columns).alias("r"), "seg", "value")
+    if not 0 <= max_distance <= INDEXED_DISTANCE:
+        raise ValueError(f"the index serves distances up to {INDEXED_DISTANCE}")
+    allowed = thresholds(max_distance)
+    probes = _variants(left, "l", [t - t // 2 if t >= 0 else t for t in allowed], also)
+    index = _variants(right, "r", [t // 2 if t >= 0 else t for t in allowed], also).select("r", "key")
     x = F.col("l.hash").bitwiseXOR(F.col("r.hash"))
-    earlier = F.lit(True)
-    for i in range(3):
-        part = F.bit_count(F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0xFFFF)))
-        earlier = earlier & ((F.col("seg") <= i) | (part > flips))
-    if also:
-        probes, index = probes.withColumn("also", F.col(f"l.{also}")), index.withColumn("also", F.col(f"r.{also}"))
-    met = probes.hint("merge").join(index, ["seg", "value"] + (["also"] if also else []))
-    return met.where((F.bit_count(x) <= max_distance) & earlier).select("l", "r", F.bit_count(x).alias("distance"))
+    mine, earlier = F.lit(0).cast("long"), F.lit(True)
+    for i, t in enumerate(allowed):
+        part = _segment(x, i)
+        mine = F.when(F.col("seg") == i, part).otherwise(mine)
+        if t >= 0:
+            earlier = earlier & ((F.col("seg") <= i) | (F.bit_count(part) > t))
+    lowest = mine.bitwiseAND(F.negate(mine))
+    met = probes.hint("merge").join(index, "key")
+    return met.where((F.bit_count(x) <= max_distance) & earlier & (F.col("m") == lowest)).select("l", "r", F.bit_count(x).alias("distance"))
 
 
 def in_blocks(rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -90,39 +112,65 @@ def hamming_pairs(rows: DataFrame, max_distance: int, key: str = "id") -> DataFr
     return met.select(F.col(f"l.{key}").alias("id_a"), F.col(f"r.{key}").alias("id_b"), F.col("distance").cast("int").alias("distance"))
 
 
-def _pair_distance(a, b, max_distance: int):
+def _pair_distance(a: str, b: str, max_distance: int) -> Column:
     """Least total distance over orientation pairs with enough matching frames, or null."""
-    each = []
-    for i in range(K.ORIENTATIONS):
-        for j in range(K.ORIENTATIONS):
-            d = F.zip_with(F.element_at(a, i + 1), F.element_at(b, j + 1), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-            matches = F.size(F.filter(d, lambda v: v <= max_distance))
-            total = F.aggregate(d, F.lit(0), lambda s, v: s + v)
-            each.append(F.when(matches >= K.MIN_MATCHES, total))
-    return F.least(*each)
+    match = 1 << 16  # a matching frame counts beside its bits
+
+    def of(k: Column) -> Column:
+        bits = F.zip_with(F.get(a, F.floor(k / K.ORIENTATIONS).cast("int")), F.get(b, k % K.ORIENTATIONS), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return F.aggregate(bits, F.lit(0), lambda s, v: s + v + F.when(v <= max_distance, match).otherwise(0))
+
+    sums = F.transform(F.array(*map(F.lit, range(K.ORIENTATIONS**2))), of)
+    return F.array_min(F.transform(F.filter(sums, lambda s: s >= K.MIN_MATCHES * match), lambda s: s % match))
+
+
+def _prefixes(frames: DataFrame) -> DataFrame:
+    """Of (id, orient, frame, hash) the five frames of each orientation that are rarest: those
+    whose segments fewest videos have at that frame, so that frames which all films share, as black ones, aren't looked up."""
+    segments = F.array(*(_segment(F.col("hash"), i) for i in range(4)))
+    long = frames.select("id", "orient", "frame", "hash", F.posexplode(segments).alias("seg", "value"))
+    count = long.groupBy("frame", "seg", "value").agg(F.count(F.lit(1)).alias("n"))
+    usual = long.join(count, ["frame", "seg", "value"]).groupBy("id", "orient").agg(F.collect_list(F.struct("frame", "hash", "n")).alias("all"))
+    each = usual.select("id", "orient", F.explode("all").alias("x")).groupBy("id", "orient", "x.frame", "x.hash").agg(F.sum("x.n").alias("n"))
+    turn = F.row_number().over(Window.partitionBy("id", "orient").orderBy("n", "frame"))
+    return each.withColumn("turn", turn).where(F.col("turn") <= PREFIX_FRAMES).select("id", "frame", "hash").distinct()
+
+
+def _met_videos(classes: DataFrame, max_distance: int) -> DataFrame:
+    """Pairs (id_a, id_b), id_a < id_b, of videos with a near frame among the rarest five of an orientation."""
+    frames = cut(classes.select("id", F.posexplode("frames").alias("orient", "f")).select("id", "orient", F.posexplode("f").alias("frame", "hash")), "video-hashes")
+    near = near_hashes(_prefixes(frames), frames.select("id", "frame", "hash").distinct(), max_distance, "frame")
+    return near.where(F.col("l.id") < F.col("r.id")).select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b")).distinct()
 
 
 def video_edges(fingerprints: DataFrame, max_distance: int = K.MAX_DISTANCE) -> DataFrame:
     """(path_a, path_b, total_distance, avg_distance), path_a < path_b.
 
-    Within the index's range only videos that share a near frame of the same number are
-    compared: a similar pair has four of them.  Candidates are pairs of paths, made distinct
-    before frames are compared.  Beyond it all blocks are compared with all.
+    Videos of equal fingerprints are one node, and their links are written out at the end.
+    Up to the index's distance, the default among them, only nodes that share a near frame of
+    the same number are compared: a similar pair has four of eight, so looking up the five rarest of one side finds it.
+    Frames are fetched for distinct pairs alone.  Beyond that distance, where half of all unlike frames would
+    meet, all blocks are compared with all.
     """
-    rows = fingerprints.select("path", "frames")
-    if max_distance <= VIDEO_INDEXED_DISTANCE:
-        rows = cut(rows, "video-frames")
-        long = rows.select("path", F.explode("frames").alias("f")).select("path", F.posexplode("f").alias("frame", "hash")).distinct()
-        near = near_hashes(long, long, max_distance, "frame")
-        pairs = near.where(F.col("l.path") < F.col("r.path")).select(F.col("l.path").alias("path_a"), F.col("r.path").alias("path_b")).distinct()
-        left = rows.select(F.col("path").alias("path_a"), F.col("frames").alias("fa"))
-        right = rows.select(F.col("path").alias("path_b"), F.col("frames").alias("fb"))
-        met = pairs.join(left, "path_a").join(right, "path_b")
+    digests = [F.xxhash64("frames").alias("d1"), F.xxhash64(F.lit(1), "frames").alias("d2")]
+    rows = fingerprints.where("frames is not null").select("path", "frames", *digests)
+    named = rows.groupBy("d1", "d2").agg(F.first("frames").alias("frames"), F.count(F.lit(1)).alias("n"))
+    named = cut(named.withColumn("id", F.monotonically_increasing_id()), "video-classes")  # ids are fixed once written
+    classes = named.select("id", "frames")
+    if max_distance <= INDEXED_DISTANCE:
+        a = classes.select(F.col("id").alias("id_a"), F.col("frames").alias("fa"))
+        b = classes.select(F.col("id").alias("id_b"), F.col("frames").alias("fb"))
+        met = _met_videos(classes, max_distance).join(a, "id_a").join(b, "id_b")
     else:
-        cells = in_blocks(rows, "path")
-        met = cells.select(F.col("l.path").alias("path_a"), F.col("r.path").alias("path_b"), F.col("l.frames").alias("fa"), F.col("r.frames").alias("fb"))
-    out = met.withColumn("total_distance", _pair_distance(F.col("fa"), F.col("fb"), max_distance)).where("total_distance is not null")
-    return out.select("path_a", "path_b", F.col("total_distance").cast("long").alias("total_distance"), (F.col("total_distance") / K.FRAMES).alias("avg_distance"))
+        cells = in_blocks(classes, "id")
+        met = cells.select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"), F.col("l.frames").alias("fa"), F.col("r.frames").alias("fb"))
+    near = met.select("id_a", "id_b", _pair_distance("fa", "fb", max_distance).alias("total")).where("total is not null")
+    alike = named.where("n > 1").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("total"))
+    near = cut(near.unionByName(alike), "video-near")
+    members = rows.select("path", "d1", "d2").distinct().join(named.select("d1", "d2", "id"), ["d1", "d2"]).select("id", "path")
+    both = near.join(members.select(F.col("id").alias("id_a"), F.col("path").alias("p")), "id_a").join(members.select(F.col("id").alias("id_b"), F.col("path").alias("q")), "id_b")
+    both = both.where((F.col("id_a") != F.col("id_b")) | (F.col("p") < F.col("q")))
+    return both.select(F.least("p", "q").alias("path_a"), F.greatest("p", "q").alias("path_b"), F.col("total").cast("long").alias("total_distance"), (F.col("total") / K.FRAMES).alias("avg_distance"))
 
 
 def clusters(edges: DataFrame) -> DataFrame:

@@ -420,9 +420,9 @@ def list_folders(spark, sf_dir):
     return cache.list_folders(X.folder_log(spark, sf_dir))
 
 
-@register("peek_folder", sql("folder_log", "select * from folder_log where normalized_path = '/home/Customer#7'"))
+@register("peek_folder", sql("folder_log", "select * from folder_log where normalized_path = '/home/Customer#000000007'"))
 def peek_folder(spark, sf_dir):
-    return cache.peek_folder(X.folder_log(spark, sf_dir), "/home/Customer#7")
+    return cache.peek_folder(X.folder_log(spark, sf_dir), "/home/Customer#000000007")
 
 
 @register(

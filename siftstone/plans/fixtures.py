@@ -93,6 +93,15 @@ def emb_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.format_string("/vault/video/v_%04d.mp4", "video").alias("path"), "frames")
 
 
+def recoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The videos, and for each a second encoding of another path: four frames differ in 0 to 12 bits, the others in 24."""
+    n = F.regexp_extract("path", r"(\d+)\.mp4$", 1).cast("long")
+    near, far = F.expr("shiftleft(1L, cast(n % 13 as int)) - 1"), F.lit((1 << 24) - 1)
+    flipped = F.transform("frames", lambda o: F.transform(o, lambda h, k: h.bitwiseXOR(F.when(k % 2 == 0, near).otherwise(far))))
+    videos = emb_video(spark, sf_dir)
+    return videos.unionByName(videos.withColumn("n", n).select(F.format_string("/vault/video/r_%04d.mp4", "n").alias("path"), flipped.alias("frames")))
+
+
 LEVELS = ["info", "warn", "error", "dry", "real"]
 
 
@@ -190,6 +199,13 @@ doc_files as (
     select printf('/vault/video/v_%04d.mp4', va) as path_a, printf('/vault/video/v_%04d.mp4', vb) as path_b, min(total)::bigint as total_distance
     from orient_pairs where matches >= 4 group by va, vb
 )""",
+    "recoded": """encoded as (
+    select printf('/vault/video/v_%04d.mp4', video) as path, frame, orient, hash from frames union all
+    select printf('/vault/video/r_%04d.mp4', video), frame, orient, xor(hash, case when frame % 2 = 0 then (1::bigint << (video % 13)::int) - 1 else 16777215 end) from frames
+), encoded_pairs as (
+    select a.path as path_a, b.path as path_b, sum(bit_count(xor(a.hash, b.hash))) as total, count(*) filter (where bit_count(xor(a.hash, b.hash)) <= {distance}) as matches
+    from encoded a join encoded b on a.frame = b.frame and a.path < b.path group by a.path, b.path, a.orient, b.orient
+), recoded as (select path_a, path_b, min(total)::bigint as total_distance from encoded_pairs where matches >= 4 group by path_a, path_b)""",
     "event_log": """event_log as (
     select event_id - (select min(event_id) from events) as seq, ts, (['info','warn','error','dry','real'])[(length(event_type) % 5 + 1)::int] as level, props as message from events
 )""",

@@ -320,6 +320,24 @@ def video_edges_default(spark, sf_dir):
     return similar.video_edges(X.emb_video(spark, sf_dir))
 
 
+@register("video_recoded", sql("emb_fp video recoded", "select path_a, path_b, total_distance, total_distance / 8.0::double as avg_distance from recoded", distance=10))
+def video_recoded(spark, sf_dir):
+    """Videos and second encodings of them, 0 to 12 bits away in four frames, at the default distance."""
+    return similar.video_edges(X.recoded(spark, sf_dir))
+
+
+@register(
+    "hamming_recoded",
+    sql("emb_fp hashes", """, two as (select id, hash from hashes union all select id + 1000000000, xor(hash, (1::bigint << (id % 14)::int) - 1) from hashes)
+    select a.id as id_a, b.id as id_b, bit_count(xor(a.hash, b.hash))::int as distance from two a join two b on a.id < b.id where bit_count(xor(a.hash, b.hash)) <= 10""").replace("\n, two", ", two"),
+)
+def hamming_recoded(spark, sf_dir):
+    """Hashes and ones 0 to 13 bits away from them, at the default distance."""
+    rows = similar.hash_bits(X.emb_fp(spark, sf_dir)).select("id", "hash")
+    moved = rows.select((F.col("id") + 1000000000).alias("id"), F.col("hash").bitwiseXOR(F.expr("shiftleft(1L, cast(id % 14 as int)) - 1")).alias("hash"))
+    return similar.hamming_pairs(rows.unionByName(moved), 10)
+
+
 @register(
     "similar_cluster_means",
     sql("emb_fp video", "", distance=26).rstrip("\n")

@@ -125,21 +125,49 @@ def test_long_chains_are_one_component(spark):
     assert sorted(r["n"] for r in roots) == [2, n + 1]
 
 
-def test_video_edges_with_and_without_index_agree(spark):
+def flipped(x, bits, rng):
+    for b in rng.choice(64, bits, replace=False):
+        x = int(x) ^ (1 << int(b))
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2, 3, 5, 10, 11])
+def test_near_hashes_against_all_pairs(spark, distance):
+    """Each pair once, at every distance that the index serves; equal hashes and equal segments among them."""
+    rng = np.random.default_rng(distance)
+    base = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 25)]
+    held = base + [flipped(base[k % 5] & ((1 << 64) - 1), k % 14, rng) for k in range(120)] + base[:3]
+    rows = spark.createDataFrame(list(enumerate(held)), "id long, hash long")
+    got = [tuple(r) for r in similar.hamming_pairs(rows, distance).collect()]
+    off = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    want = [(i, j, off(held[i], held[j])) for i in range(len(held)) for j in range(i + 1, len(held)) if off(held[i], held[j]) <= distance]
+    assert sorted(got) == want and len(want) > 2
+
+
+def test_video_edges_with_and_without_index_agree(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    base = rng.integers(-(1 << 62), 1 << 62, (6, 4, 8))
+    base = rng.integers(-(1 << 62), 1 << 62, (30, 4, 8))
     base[1] = base[0][[1, 2, 3, 0]] ^ 7  # turned, three bits off
     base[2][:, :4] = base[3][:, :4]
     base[2][:, 4:] = base[4][:, 4:]
-    rows = [(f"/v{i}", [[int(x) for x in o] for o in v]) for i, v in enumerate(base)]
+    base[5:16] = base[16]  # a family: the same four frames, 0 to 10 bits off, of any number, and four others
+    for k in range(11):
+        places = rng.choice(8, 4, replace=False)
+        for f in range(8):
+            for o in range(4):
+                base[5 + k, o, f] = flipped(int(base[16, o, f]) & ((1 << 64) - 1), k if f in places else 30, rng)
+    base[:, :, 7] = np.where(np.arange(30)[:, None] > 16, 0, base[:, :, 7])  # black frames that many films share
+    base[20] = base[21]
+    rows = [(f"/v{i:02d}", [[int(x) for x in o] for o in v]) for i, v in enumerate(base)] + [("/none", None)]
     df = spark.createDataFrame(rows, "path string, frames array<array<bigint>>")
-    indexed = {(r["path_a"], r["path_b"], r["total_distance"]) for r in similar.video_edges(df, 7).collect()}
-    similar.VIDEO_INDEXED_DISTANCE, kept = -1, similar.VIDEO_INDEXED_DISTANCE
-    try:
-        blocked = {(r["path_a"], r["path_b"], r["total_distance"]) for r in similar.video_edges(df, 7).collect()}
-    finally:
-        similar.VIDEO_INDEXED_DISTANCE = kept
-    assert indexed == blocked and {e[:2] for e in indexed} == {("/v0", "/v1"), ("/v2", "/v3"), ("/v2", "/v4")}
+    for distance in (7, 10):
+        indexed = {(r["path_a"], r["path_b"], r["total_distance"]) for r in similar.video_edges(df, distance).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(similar, "INDEXED_DISTANCE", -1)
+            blocked = {(r["path_a"], r["path_b"], r["total_distance"]) for r in similar.video_edges(df, distance).collect()}
+        pairs = {e[:2] for e in indexed}
+        assert indexed == blocked and {("/v00", "/v01"), ("/v02", "/v03"), ("/v02", "/v04"), ("/v20", "/v21")} <= pairs
+        assert {(f"/v{5 + k:02d}", "/v16") for k in range(distance + 1)} <= pairs and not any("/v17" in p for p in pairs)
 
 
 def test_videos_of_the_whole_table_beside_brute_force(spark):
