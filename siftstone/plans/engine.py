@@ -191,7 +191,7 @@ class Engine:
         computed = computed.withColumn("computed", F.lit(True)).select(got.columns)
         both = got.unionByName(computed).withColumn("reused_from_cache", ~F.col("computed") | F.col("moved_from").isNotNull())
         scanned = cut(both, "scan-files")
-        self._save(scanned, bank, scan_id)
+        self._save(scanned, bank, scan_id, roots)
         return self._report(scan_id, mode, roots, options, walked, looked, scanned, fresh, told)
 
     def _alive(self, bank: DataFrame, walked: DataFrame) -> DataFrame:
@@ -204,15 +204,12 @@ class Engine:
         for r in inventory.error_summary(errors).collect():  # the first twenty and two totals
             self.logs.warn(r["line"])
 
-    def _save(self, scanned: DataFrame, bank: DataFrame, scan_id: int) -> None:
+    def _save(self, scanned: DataFrame, bank: DataFrame, scan_id: int, roots: list[str]) -> None:
         at = now()
         moves = scanned.where("claimed is not null").select(F.col("claimed").alias("moved_from"), "path", "normalized_path", "file_name", "source_root")
-        moved = cut(cache.relocate(bank, moves, scan_id, at), "store-moved")
-        seen = scanned.select(cache.SNAPSHOT)
-        files = cache.upsert_files(moved, seen, scan_id, at)
-        once = seen.groupBy("normalized_path").agg(F.max(F.struct(*(c for c in cache.SNAPSHOT if c != "normalized_path"))).alias("s"))
-        snapshot = once.select(F.lit(scan_id).cast("long").alias("scan_id"), "normalized_path", "s.*")
-        self.store.replace({"files": files}, {"scan_files": snapshot})
+        moved = bank if moves.isEmpty() else cut(cache.relocate(bank, moves, scan_id, at), "store-moved")
+        files = cut(cache.upsert_files(moved, scanned.select(cache.SNAPSHOT), scan_id, at), "store-files")
+        self.store.save_scan(files, scan_id, at, [stored(os.path.abspath(r)) for r in roots])
 
     def _report(self, scan_id, mode, roots, options, walked, looked, scanned, fresh, told) -> ScanResult:
         files = walked.where("not is_dir")
