@@ -30,13 +30,18 @@ def quarantine_names(plan_rows: DataFrame) -> DataFrame:
     """A first guess at flat names: the k-th victim of a name, by path, gets ``_k``.  Names
     that files already have are settled when files are moved.  The k is a place in the order of
     all names and paths, less the name's first, so that one name may be most files'."""
-    victims = in_order(plan_rows.where("action = 'quarantine'").withColumn("name", S.file_name("path")), "name", "normalized_path", tag="victims")
-    victims = victims.join(victims.groupBy("name").agg(F.min("place").alias("first")), "name")
-    k = F.col("place") - F.col("first") + 1
+    victims, k = numbered_victims(plan_rows), F.col("k")
     ext, stem = S.extension("name"), S.stem("name")
     tail = F.when(ext.isNull(), "").otherwise(F.concat(F.lit("."), ext))
     later = F.concat(stem, F.lit("_"), F.col("k").cast("string"), tail)
-    return victims.withColumn("k", k).select("normalized_path", F.when(F.col("k") == 1, F.col("name")).otherwise(later).alias("quarantine_name"))
+    return victims.select("normalized_path", F.when(F.col("k") == 1, F.col("name")).otherwise(later).alias("quarantine_name"))
+
+
+def numbered_victims(plan_rows: DataFrame) -> DataFrame:
+    """The victims, all their columns, with ``name`` and ``k``, the victim's number among those of its name, by path."""
+    victims = in_order(plan_rows.where("action = 'quarantine'").withColumn("name", S.file_name("path")), "name", "normalized_path", tag="victims")
+    first = victims.groupBy("name").agg(F.min("place").alias("first"))
+    return victims.join(first, "name").withColumn("k", F.col("place") - F.col("first") + 1).drop("place", "first")
 
 
 def simulate_apply(plan_rows: DataFrame, on_disk: DataFrame) -> DataFrame:

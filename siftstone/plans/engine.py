@@ -314,18 +314,22 @@ class Engine:
         return dedupe.plan_preview(self.get_default_plan())
 
     def apply_plan(self, confirmed: bool, canceled: Callable[[], bool] | None = None) -> quarantine.ApplyResult:
-        """Move the victims of the plan; needs a confirmation and a plan that isn't empty."""
+        """Move the victims of the plan; needs a confirmation and a plan that isn't empty.
+        The executors move them, unless ``canceled`` is given, which is asked before each."""
         if not confirmed:
             raise NotConfirmed()
         plan = self.get_default_plan()
         self._validate(plan)
-        # Moving files is the driver's work, entry by entry, and its manifest holds them all.
-        rows = [r.asDict() for r in plan.orderBy("hash", "normalized_path").collect()]
-        if not rows:
+        if plan.isEmpty():
             raise NoPendingPlan()
         self._cancel.clear()
-        result = quarantine.apply(rows, self.data.quarantine_dir, self.data.manifests, self.logs, canceled or self._cancel.is_set)
-        if result.moved:
+        if canceled is None:
+            result = quarantine.run(plan, self.data.quarantine_dir, self.data.manifests, self.logs, self._cancel.is_set)
+        else:
+            rows = (r.asDict() for r in quarantine.victims(plan).orderBy("hash", "normalized_path").toLocalIterator())
+            result = quarantine.apply(rows, self.data.quarantine_dir, self.data.manifests, self.logs, canceled)
+            result.kept = plan.where("action = 'keep'").count()
+        if result.quarantined:
             self.store.delete_paths(result.moved)
         self._plan = None
         return result
