@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import constants as K
 from siftstone.functions import scalars as S
-from siftstone.sources.scratch import cut, in_order
+from siftstone.sources.scratch import cut, numbered
 
 SNAPSHOT = ["hash", "path", "normalized_path", "file_name", "source_root", "size", "modified_ns"]
 
@@ -74,9 +74,8 @@ def moves_by_hash(hashed: DataFrame, bank: DataFrame, claimed: DataFrame | None
     """Files (normalized_path, hash) new to the cache, with ``moved_from``: the k-th file of
     a hash, by path, takes the k-th stale row of that hash, by id; no row twice.
 
-    Stale rows have no live path.  Rows that a filename hit has ``claimed`` are gone.  Ranks
-    are places in the order of (hash, path) and (hash, id), less the hash's first: a hash that
-    a third of all files have is spread over tasks like any other stretch of that order.
+    Stale rows have no live path.  Rows that a filename hit has ``claimed`` are gone.  A hash that a third of
+    all files have is no task's: see :func:`numbered`.
     """
     stale = bank.where("not path_exists").select("hash", "id", F.col("normalized_path").alias("moved_from"))
     if claimed is not None:
@@ -84,12 +83,8 @@ def moves_by_hash(hashed: DataFrame, bank: DataFrame, claimed: DataFrame | None
     new = hashed.select("hash", "normalized_path").join(stale.select("hash").distinct(), "hash", "left_semi")
     stale = stale.join(new.select("hash").distinct(), "hash", "left_semi")
 
-    def ranked(rows: DataFrame, by: str) -> DataFrame:
-        rows = in_order(rows, "hash", by, tag="moves")
-        first = rows.groupBy("hash").agg(F.min("place").alias("first"))
-        return rows.join(first, "hash").withColumn("k", F.col("place") - F.col("first")).drop("place", "first")
-
-    return ranked(new, "normalized_path").join(ranked(stale, "id"), ["hash", "k"]).select("normalized_path", "hash", "moved_from")
+    of_new, of_stale = numbered(new, "hash", "normalized_path", tag="moves"), numbered(stale, "hash", "id", tag="moves")
+    return of_new.join(of_stale, ["hash", "k"]).select("normalized_path", "hash", "moved_from")
 
 
 def upsert_files(bank: DataFrame, seen: DataFrame, scan_id: int | Column, now: str | Column) -> DataFrame:

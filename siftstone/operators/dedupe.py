@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import constants as K
 from siftstone.functions import scalars as S
+from siftstone.sources.scratch import cut, numbered
 
 
 def group_stats(files: DataFrame) -> DataFrame:
@@ -65,34 +66,51 @@ def _named(files: DataFrame, folder: Column | None) -> DataFrame:
 
 def signatures(files: DataFrame, folder: Column | None = None) -> DataFrame:
     """(dir, signature, file_count, total_bytes): digest of each folder's direct names and
-    hashes in name order.  The digest needs a folder's names in one list; see
-    :func:`duplicate_dirs` for how few folders come to that."""
-    return _signed(_named(files, folder))
+    hashes in name order.  Of up to ``CHUNK_NAMES`` names it is the digest of their list; the names of a larger
+    folder are cut into lists of that many, and it is the digest of the lists' digests, so no task holds a folder."""
+    names = _named(files, folder)
+    return _signed(names, names.groupBy("dir").agg(F.count(F.lit(1)).alias("n")))
+
+
+#: Names in one list of a folder's signature.
+CHUNK_NAMES = 4096
 
 
-def _signed(names: DataFrame) -> DataFrame:
+def _digest(rows: DataFrame, by: list[str]) -> DataFrame:
     mark = F.lit("\u0000")
     pairs = F.transform(F.array_sort(F.collect_list(F.struct("file_name", "hash"))), lambda p: F.concat(p["file_name"], mark, p["hash"], mark))
-    return names.groupBy("dir").agg(
-        F.sha2(F.array_join(pairs, ""), 256).alias("signature"), F.count(F.lit(1)).alias("file_count"), F.sum("bytes").alias("total_bytes")
-    )
+    return rows.groupBy(*by).agg(F.sha2(F.array_join(pairs, ""), 256).alias("signature"), F.count(F.lit(1)).alias("file_count"), F.sum("bytes").alias("total_bytes"))
+
+
+def _signed(names: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Signatures of the folders in ``sizes`` (dir, n)."""
+    sizes = cut(sizes, "folder-sizes")
+    small = _digest(names.join(sizes.where(F.col("n") <= CHUNK_NAMES), "dir", "left_semi"), ["dir"])
+    large = sizes.where(F.col("n") > CHUNK_NAMES)
+    if large.isEmpty():
+        return small
+    lain = numbered(names.join(large, "dir", "left_semi"), "dir", "file_name", tag="folder-names")
+    chunks = _digest(lain.withColumn("chunk", F.floor((F.col("k") - 1) / CHUNK_NAMES)), ["dir", "chunk"])
+    digests = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "signature"))), lambda x: x["signature"])
+    whole = chunks.groupBy("dir").agg(F.sha2(F.array_join(digests, ""), 256).alias("signature"), F.sum("file_count").alias("file_count"), F.sum("total_bytes").alias("total_bytes"))
+    return small.unionByName(whole)
 
 
 def _twins(names: DataFrame) -> DataFrame:
-    """(dir): folders that share the number of their names and two sums of their hashes with
+    """(dir, n): folders that share the number of their names and two sums of their hashes with
     another.  Sums are partial in each task, so a folder with most of all files is one row a
     task, and it is listed only if another folder may have the same files."""
     sums = [F.sum(F.xxhash64(*([F.lit(1)] * k), "file_name", "hash").cast("decimal(38,0)")).alias(f"s{k}") for k in (0, 1)]
     prints = names.groupBy("dir").agg(F.count(F.lit(1)).alias("n"), *sums)
     key = ["n", "s0", "s1"]
     several = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*key)
-    return prints.join(several, key, "left_semi").select("dir")
+    return prints.join(several, key, "left_semi").select("dir", "n")
 
 
 def duplicate_dirs(files: DataFrame, folder: Column | None = None) -> DataFrame:
     """Sets of folders with equal direct contents; figures are those of the first folder."""
     names = _named(files, folder)
-    sets = _signed(names.join(_twins(names), "dir", "left_semi")).groupBy("signature").agg(
+    sets = _signed(names, _twins(names)).groupBy("signature").agg(
         F.count(F.lit(1)).alias("n_dirs"), F.array_sort(F.collect_list("dir")).alias("dirs"), F.min(F.struct("dir", "file_count", "total_bytes")).alias("f")
     )
     out = sets.where("n_dirs > 1").select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftstone.functions import constants as K
 from siftstone.functions import scalars as S
 from siftstone.operators.dedupe import group_members
-from siftstone.sources.scratch import in_order
+from siftstone.sources.scratch import numbered
 
 
 def export_rows(files: DataFrame) -> DataFrame:
@@ -28,8 +28,7 @@ def export_lines(files: DataFrame) -> DataFrame:
 
 def quarantine_names(plan_rows: DataFrame) -> DataFrame:
     """A first guess at flat names: the k-th victim of a name, by path, gets ``_k``.  Names
-    that files already have are settled when files are moved.  The k is a place in the order of
-    all names and paths, less the name's first, so that one name may be most files'."""
+    that files already have are settled when files are moved.  One name may be most files'."""
     victims, k = numbered_victims(plan_rows), F.col("k")
     ext, stem = S.extension("name"), S.stem("name")
     tail = F.when(ext.isNull(), "").otherwise(F.concat(F.lit("."), ext))
@@ -39,9 +38,7 @@ def quarantine_names(plan_rows: DataFrame) -> DataFrame:
 
 def numbered_victims(plan_rows: DataFrame) -> DataFrame:
     """The victims, all their columns, with ``name`` and ``k``, the victim's number among those of its name, by path."""
-    victims = in_order(plan_rows.where("action = 'quarantine'").withColumn("name", S.file_name("path")), "name", "normalized_path", tag="victims")
-    first = victims.groupBy("name").agg(F.min("place").alias("first"))
-    return victims.join(first, "name").withColumn("k", F.col("place") - F.col("first") + 1).drop("place", "first")
+    return numbered(plan_rows.where("action = 'quarantine'").withColumn("name", S.file_name("path")), "name", "normalized_path", tag="victims")
 
 
 def simulate_apply(plan_rows: DataFrame, on_disk: DataFrame) -> DataFrame:

@@ -82,6 +82,27 @@ def in_order(df: DataFrame, *by: str, tag: str) -> DataFrame:
     return placed(cut(df.repartitionByRange(*by).sortWithinPartitions(*by), tag))
 
 
+#: Rows of one group that a window sorts in a task; larger groups are ranked by their places in a written order.
+HOT_GROUP = 1 << 20
+
+
+def numbered(df: DataFrame, group: str, by: str, tag: str, hot_group: int = HOT_GROUP) -> DataFrame:
+    """``df`` with ``k``: each row's number, from 1, within its group in the order of ``by``.
+
+    Groups are counted first.  Those that one task can sort are ranked by a window; only the rows of
+    larger ones are written in order, where ranks are places less the group's first.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_group).select(group)
+    hot = cut(sizes, f"{tag}-hot")
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(by)).cast("long")
+    if hot.isEmpty():
+        return df.withColumn("k", turn)
+    few = df.join(hot, group, "left_anti").withColumn("k", turn)
+    lain = in_order(df.join(hot, group, "left_semi"), group, by, tag=tag)
+    first = lain.groupBy(group).agg(F.min("place").alias("_first"))
+    return few.unionByName(lain.join(first, group).withColumn("k", F.col("place") - F.col("_first") + 1).drop("place", "_first"))
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table that :func:`cut` wrote, once nothing reads it any more."""
     path = getattr(df, "_siftstone_path", None)

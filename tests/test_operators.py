@@ -1,5 +1,7 @@
 """Operators on small hand-made tables."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from siftstone.operators import cache, dedupe, inventory, reports, similar
 from siftstone.operators.graph import components
 from siftstone.operators.inventory import ScanOptions
 from siftstone.plans import fixtures
+from siftstone.sources import scratch
 
 FILES = "hash string, path string, normalized_path string, file_name string, media_kind string, source_root string, size long, modified_ns long, dev long, ino long"
 
@@ -185,8 +188,10 @@ def test_videos_of_the_whole_table_beside_brute_force(spark):
     assert {tuple(r)[:3] for r in similar.video_edges(videos, 26).collect()} == want
 
 
-def test_moves_within_one_hot_hash(spark):
+@pytest.mark.parametrize("hot", [1 << 20, 100])
+def test_moves_within_one_hot_hash(spark, monkeypatch, hot):
     """The k-th new file of a hash takes the k-th stale row, also where nearly all files have it."""
+    monkeypatch.setattr(scratch.numbered, "__defaults__", (hot,))
     n = 3000
     bank = spark.createDataFrame([(i, "hot", "hot" if i % 50 else f"h{i}", f"/old/{i:05d}", False) for i in range(n)], "id long, x string, hash string, normalized_path string, path_exists boolean")
     new = spark.createDataFrame([("hot" if i % 50 else f"h{i}", f"/new/{(i * 7919) % n:05d}") for i in range(n)], "hash string, normalized_path string")
@@ -205,6 +210,21 @@ def test_only_folders_with_a_twin_are_listed(spark):
     assert [r["dirs"] for r in dedupe.duplicate_dirs(df).collect()] == [["/r/a", "/r/b"]]
 
 
+def test_folders_larger_than_a_list(spark, monkeypatch):
+    """Equal huge folders are found by their lists' digests; one name in another place makes another folder."""
+    monkeypatch.setattr(dedupe, "CHUNK_NAMES", 16)
+    monkeypatch.setattr(scratch.numbered, "__defaults__", (40,))
+    rows = [(f"h{i}", f"/r/{d}/f{i:03d}", 1, 1, 1) for d in ("a", "b") for i in range(90)]
+    rows += [(f"h{(i + 1) % 90}", f"/r/c/f{i:03d}", 1, 1, 1) for i in range(90)] + [(f"h{i}", f"/r/{d}/f{i:03d}", 1, 1, 1) for d in ("s", "t") for i in range(16)]
+    df = files(spark, rows)
+    found = {tuple(r["dirs"]): (r["file_count"], r["total_bytes"]) for r in dedupe.duplicate_dirs(df).collect()}
+    assert found == {("/r/a", "/r/b"): (90, 90), ("/r/s", "/r/t"): (16, 16)}
+    signed = {r["dir"]: r["signature"] for r in dedupe.signatures(df).collect()}
+    lists = [hashlib.sha256("".join(f"f{i:03d}\0h{i}\0" for i in range(k, min(90, k + 16))).encode()).hexdigest() for k in range(0, 90, 16)]
+    assert signed["/r/a"] == signed["/r/b"] == hashlib.sha256("".join(lists).encode()).hexdigest() != signed["/r/c"]
+    assert signed["/r/s"] == hashlib.sha256("".join(f"f{i:03d}\0h{i}\0" for i in range(16)).encode()).hexdigest()
+
+
 def test_simulated_run(spark):
     plan = spark.createDataFrame(
         [("h", "/k", "/k", 1, "keep", ""), ("h", "/v", "/v", 1, "quarantine", ""), ("h", "/w", "/w", 1, "quarantine", ""), ("h", "/x", "/x", 1, "quarantine", "")],
