@@ -51,6 +51,7 @@ LOG_RING = 2000
 SAMPLE_CAP = 500
 DETAILED_ERRORS = 20
 PROGRESS_FILES = 256
+PROGRESS_DIRS = 64
 READ_BUFFER = 8 << 20
 COMPARE_BLOCK = 64 << 10
 HASH_PROBE = 8

@@ -23,7 +23,7 @@ from siftstone.plans import quarantine
 from siftstone.plans.store import Store
 from siftstone.sources import media
 from siftstone.sources.content import hash_files
-from siftstone.sources.inventory import read_inventory, stored
+from siftstone.sources.inventory import stored, walk_tree
 from siftstone.sources.logs import LogSink, now
 from siftstone.sources.manifest import guard
 from siftstone.sources.scratch import cut
@@ -164,7 +164,9 @@ class Engine:
     def _scan(self, scan_id: int, mode: str, roots: list[str], options: ScanOptions, progress) -> ScanResult:
         told = lambda phase, done, total, **more: progress({"phase": phase, "processed": done, "total": total, "percent": min(100, done * 100 // max(total, 1)), **more})
         told("inventory", 0, 0)
-        walked = cut(read_inventory(self.spark, roots, options.skip_dev_dirs, options.follow_symlinks), "scan-walk")
+        entered = self.spark.sparkContext.accumulator(0)
+        with _every(0.1, lambda: entered.value // K.PROGRESS_DIRS, lambda: told("inventory", entered.value, 0, folders=entered.value)):
+            walked = walk_tree(self.spark, roots, options.skip_dev_dirs, options.follow_symlinks, done=entered)
         self._checked()
         files = walked.where("not is_dir")
         kept = inventory.filtered(files, options).select("source_root", "path", "normalized_path", "file_name", "media_kind", "size", "modified_ns", "dev", "ino")
