@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftstone.operators import cache
 from siftstone.plans.store import Store
 from siftstone.sources.logs import SCHEMA as LOG_SCHEMA
+from siftstone.sources.logs import ActivitySource
 
 
 def log_feed(spark: SparkSession, folder: str, since: int = 0, level: str | None = None) -> DataFrame:
@@ -19,6 +20,12 @@ def log_feed(spark: SparkSession, folder: str, since: int = 0, level: str | None
     return rows.where(F.col("level") == level) if level else rows
 
 
+def activity_feed(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The activity log's own file as a stream, entry by entry as it grows; see :class:`ActivitySource`."""
+    spark.dataSource.register(ActivitySource)
+    return spark.readStream.format("activity").option("path", path).options(**options).load()
+
+
 def level_counts(feed: DataFrame, minutes: int = 5) -> DataFrame:
     """Entries by level in windows of event time; entries an hour late still count."""
     timed = feed.withColumn("at", F.to_timestamp("ts")).withWatermark("at", "1 hour")

@@ -3,6 +3,7 @@ import os
 
 from siftstone.operators.cache import SNAPSHOT
 from siftstone.plans.store import Store
+from siftstone.sources.logs import ActivityReader, LogSink
 from siftstone.streaming import feeds
 
 LISTING = "hash string, path string, normalized_path string, file_name string, source_root string, size long, modified_ns long"
@@ -31,6 +32,42 @@ def test_log_feed_resumes_where_it_stopped(spark, tmp_path):
     assert run() == [2, 3, 4, 5]
 
 
+def test_activity_is_read_once_over_restarts(spark, tmp_path):
+    """Entries are neither lost nor repeated, in tasks of a few bytes; a line that is being written waits."""
+    sink, out, mark = LogSink(f"{tmp_path}/logs/activity.jsonl"), str(tmp_path / "out"), str(tmp_path / "mark")
+
+    def run():
+        feed = feeds.activity_feed(spark, sink.path, taskBytes="64")
+        feed.writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(out).awaitTermination()
+        return sorted((r["seq"], r["message"]) for r in spark.read.schema(feed.schema).parquet(out).collect())
+
+    said = ["one", "zwei ü", "x" * 300, "four"]
+    for m in said:
+        sink.info(m)
+    with open(sink.path, "a", encoding="utf-8") as f:
+        f.write('{"seq": 4, "ts": "t", "level": "warn", "mess')
+    assert run() == list(enumerate(said))
+    with open(sink.path, "a", encoding="utf-8") as f:
+        f.write('age": "five"}\n')
+    assert run() == run() == list(enumerate([*said, "five"]))
+    sink.warn("six")
+    assert sorted(m for _, m in run()) == sorted([*said, "five", "six"])
+
+
+def test_offsets_count_entries(tmp_path):
+    path = tmp_path / "a.jsonl"
+    reader = ActivityReader({"path": str(path), "taskbytes": "10"})
+    assert reader.latestOffset() == {"entries": 0, "byte": 0} == reader.initialOffset()
+    lines = [json.dumps({"seq": i, "message": "m" * (i * 7 % 40)}) + "\n" for i in range(50)]
+    path.write_text("".join(lines[:30]))
+    first = reader.latestOffset()
+    path.write_text("".join(lines))
+    last = reader.latestOffset()
+    assert (first["entries"], last["entries"]) == (30, 50)
+    for a, b, want in ((reader.initialOffset(), first, range(30)), (first, last, range(30, 50)), (last, last, [])):
+        assert [r[0] for p in reader.partitions(a, b) for r in reader.read(p)] == list(want)
+
+
 def test_level_counts_by_event_time(spark, tmp_path):
     logs = str(tmp_path / "logs")
     os.makedirs(logs)
