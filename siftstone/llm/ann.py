@@ -107,7 +107,8 @@ def search_block(q_ids, q, ids, x, code, norm, cos, k: int):
             best = (x[lead] * v).sum(1)
             least = np.partition(best, -k)[-k] if len(best) >= k else -np.inf
             levels = EPSILON * step * np.sqrt(bits / 12)
-            chosen = np.flatnonzero((e + slack * length + levels * scale >= least) & ~own)
+            # What was scored stays, whatever its own bound says.
+            chosen = np.union1d(lead, np.flatnonzero((e + slack * length + levels * scale >= least) & ~own))
         else:
             chosen = np.flatnonzero(~own)
         score = (x[chosen] * v).sum(1)
@@ -150,7 +151,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
     n_rows, n_queries = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
     spread = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     coded = cut(rows.select("vec_id", "embedding").mapInPandas(_encoded, kind), "ann-codes")
-    right = coded.withColumn("rb", spread("vec_id", n_rows)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    # By where rows lie: of many rows with one id each goes to a block of its own.
+    lies = F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(n_rows)).cast("int")
+    right = coded.select("*", lies.alias("rb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
     left = (
         queries.select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("dim"))
         .withColumn("qb", spread("query_id", n_queries))

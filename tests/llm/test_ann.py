@@ -100,3 +100,20 @@ def test_blocks_give_the_same_result(spark, monkeypatch):
     one = sorted(map(tuple, ann.nearest(df.where("vec_id % 20 = 0"), df, 5).collect()))
     monkeypatch.setattr(ann, "BLOCK", 50)
     assert sorted(map(tuple, ann.nearest(df.where("vec_id % 20 = 0"), df, 5).collect())) == one
+
+
+def test_rows_of_one_id_are_spread(spark, monkeypatch):
+    """Rows that repeat an id meet a query in several blocks, and all count."""
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((900, 16)).astype("float32")
+    ids = [7] * 600 + list(range(100, 400))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, vectors)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in ann.nearest(rows.where("vec_id in (100, 101, 102)"), rows, 20).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    exact = vectors.astype(float)
+    for q in (100, 101, 102):
+        v = exact[ids.index(q)]
+        want = sorted((-float((x * v).sum()), i) for i, x in zip(ids, exact) if i != q)[:20]
+        assert len(got[q]) == 20 and len({(i, round(s, 6)) for i, s in got[q]} & {(i, round(-s, 6)) for s, i in want}) >= 19
