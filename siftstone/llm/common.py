@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from siftstone.sources.scratch import cut
 
@@ -40,6 +41,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return got
 
 
+def has_map(kind: DataType) -> bool:
+    """Whether a type holds a map, which has no order, at any depth."""
+    if isinstance(kind, StructType):
+        return any(has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType | VariantType) or (isinstance(kind, ArrayType) and has_map(kind.elementType))
+
+
 def _bounds(rows: int) -> dict[str, str]:
     return {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
 

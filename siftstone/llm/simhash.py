@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_batches, col, columns, free_name, table
+from siftstone.llm.common import arrow_batches, col, columns, free_name, has_map, table
 from siftstone.operators.graph import components
 from siftstone.sources.scratch import cut
 
@@ -186,7 +186,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     It is the one with the smallest doc_id, null ids last; of rows with that id the one whose
     text's digest is smallest; of rows that repeat id and text the one whose other columns are
-    smallest.  So no class is lost where ids repeat with different texts or are null.  Null and
+    smallest, or, where a column holds a map, whose row's digest is.  So no class is lost where ids repeat with different texts or are null.  Null and
     empty texts are one class; long texts are read whole.  All columns stay, whatever their names; an empty table
     gives no rows.
     """
@@ -211,5 +211,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return named.join(gone.hint("merge"), met(gone), "left_anti").select(*columns(docs))
     once = named.join(judged.hint("merge"), met(judged), "left_anti").select(*columns(docs))
     several = named.join(repeated.hint("merge"), met(repeated), "left_semi")
-    one = several.groupBy("doc_id", n1, n2).agg(F.min(F.struct(*columns(docs))).alias("r")).select("r.*")
+    row = F.struct(*columns(docs))
+    # Columns without an order (maps) are told apart by a digest.
+    least = F.min_by(row, F.sha2(F.to_json(row), 256)) if has_map(docs.schema) else F.min(row)
+    one = several.groupBy("doc_id", n1, n2).agg(least.alias("r")).select("r.*")
     return once.unionByName(one)

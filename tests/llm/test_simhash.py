@@ -109,3 +109,12 @@ def test_query_on_whole_table(spark):
     want = {i: ids[r] for i, r in zip(ids, closure(prints))}
     assert {r["doc_id"]: r["component_id"] for r in out} == want
     assert {r["doc_id"]: r["fingerprint"] for r in out} == {i: f"{p:016x}" for i, p in zip(ids, prints)}
+
+
+def test_rows_with_maps_are_told_apart(spark):
+    """Rows that repeat id and text, with a column that has no order."""
+    rows = [(1, "some words of a text", {"k": i % 2}, [{"a": 1}]) for i in range(4)] + [(2, "some words of a text", None, None), (3, "quite another one here", {}, [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, n array<map<string,int>>")
+    first = [r.asDict() for r in simhash.dedup_stage(spark, df, SF).orderBy("doc_id").collect()]
+    again = [r.asDict() for r in simhash.dedup_stage(spark, df.repartition(3), SF).orderBy("doc_id").collect()]
+    assert [r["doc_id"] for r in first] == [1, 3] and first == again
