@@ -164,9 +164,13 @@ def hamming(a: Column | str, b: Column | str) -> Column:
 def phash_bits(coefficients: Column | str) -> Column:
     """64 coefficients to 64 bits: bit i is set where value i is above element 32 of the sorted 64."""
     c = _c(coefficients)
-    middle = F.element_at(F.array_sort(c), 33)
-    bits = F.transform(c, lambda v, i: F.when(v > middle, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    def above(middle: Column) -> Column:
+        bits = F.transform(c, lambda v, i: F.when(v > middle, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    # As the variable of a function the middle is found once, not for each value.
+    return F.element_at(F.transform(F.array(F.element_at(F.array_sort(c), 33)), above), 1)
 
 
 # --- texts -----------------------------------------------------------------------------

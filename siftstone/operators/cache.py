@@ -80,8 +80,9 @@ def moves_by_hash(hashed: DataFrame, bank: DataFrame, claimed: DataFrame | None
     stale = bank.where("not path_exists").select("hash", "id", F.col("normalized_path").alias("moved_from"))
     if claimed is not None:
         stale = stale.join(claimed.select(F.col("claimed").alias("moved_from")).where("moved_from is not null").distinct(), "moved_from", "left_anti")
-    new = hashed.select("hash", "normalized_path").join(stale.select("hash").distinct(), "hash", "left_semi")
-    stale = stale.join(new.select("hash").distinct(), "hash", "left_semi")
+    # Written, as each is counted and ranked: what is left of both is what moved, at most.
+    new = cut(hashed.select("hash", "normalized_path").join(stale.select("hash").distinct(), "hash", "left_semi"), "moves-new")
+    stale = cut(stale.join(new.select("hash").distinct(), "hash", "left_semi"), "moves-stale")
 
     of_new, of_stale = numbered(new, "hash", "normalized_path", tag="moves"), numbered(stale, "hash", "id", tag="moves")
     return of_new.join(of_stale, ["hash", "k"]).select("normalized_path", "hash", "moved_from")

@@ -153,7 +153,7 @@ def video_edges(fingerprints: DataFrame, max_distance: int = K.MAX_DISTANCE) ->
     meet, all blocks are compared with all.
     """
     digests = [F.xxhash64("frames").alias("d1"), F.xxhash64(F.lit(1), "frames").alias("d2")]
-    rows = fingerprints.where("frames is not null").select("path", "frames", *digests)
+    rows = cut(fingerprints.where("frames is not null").select("path", "frames", *digests), "video-prints")
     named = rows.groupBy("d1", "d2").agg(F.first("frames").alias("frames"), F.count(F.lit(1)).alias("n"))
     named = cut(named.withColumn("id", F.monotonically_increasing_id()), "video-classes")  # ids are fixed once written
     classes = named.select("id", "frames")
