@@ -9,7 +9,8 @@ from siftstone.operators import cache, dedupe, inventory, reports, similar
 from siftstone.operators.inventory import ScanOptions
 from siftstone.plans import fixtures as X
 from siftstone.plans.fixtures import sql
-from siftstone.sources.scratch import cut
+from siftstone.sources import media
+from siftstone.sources.scratch import cut, scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -489,6 +490,23 @@ def similar_clusters(spark, sf_dir):
     return similar.clusters(video_edges_within(spark, sf_dir, 26)).select("cluster", "size", "n_edges", "total_distance")
 
 
+@register(
+    "decoded_images",
+    sql(
+        "emb_fp",
+        """select image, count(*)::int as height, 64::int as width, string_agg(luma, '' order by place) as luma from (
+        select image, place, array_to_string(list_transform(tones, lambda p: format('{:02X}', (2126 * (127 - p) + 7152 * ((p * 3) % 128) + 722 * p) // 10000)), '') as luma from (
+        select id // 8 as image, id % 8 as place, list_transform(min(c), lambda v: least(greatest(floor((v + 1) * 63.5), 0), 127)::int) as tones from emb_fp where id is not null group by 1, 2)) group by image""",
+    ),
+)
+def decoded_images(spark, sf_dir):
+    """Vectors written as image files, a file for each eight, and read back as luma through the image source."""
+    root = scratch_path(spark, "frame-images")
+    X.frame_images(spark, sf_dir).write.partitionBy("image").text(root)
+    read = media.luma(media.images(spark, root))
+    return read.select(F.regexp_extract("origin", r"image=(\d+)/", 1).cast("long").alias("image"), "height", "width", F.hex("luma").alias("luma"))
+
+
 # --- reports ---------------------------------------------------------------------------
 
 

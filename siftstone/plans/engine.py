@@ -256,19 +256,23 @@ class Engine:
 
     # --- similar videos -----------------------------------------------------------------
 
-    def find_similar_videos(self, max_distance: int = K.MAX_DISTANCE, frame=media.extract_frame, duration=media.probe_duration) -> dict:
-        """Clusters of the last scan's videos, for review; they never reach the plan."""
+    def find_similar_videos(self, max_distance: int = K.MAX_DISTANCE, frame=media.extract_frame, duration=media.probe_duration, frames_root: str | None = None) -> dict:
+        """Clusters of the last scan's videos, for review; they never reach the plan.
+
+        With ``frames_root`` frames are read from image files there (:func:`media.stored_fingerprints`), without the tools.
+        """
         if self._last is None:
             raise NoPendingPlan()
         if not 0 <= max_distance <= 32:
             raise BadInput("distance must lie between 0 and 32")
         videos = inventory.video_paths(self._last.files).distinct()
-        if frame is media.extract_frame and not media.tools_available():
+        if frames_root is None and frame is media.extract_frame and not media.tools_available():
             return {"available": False, "message": "the tools that read video frames were not found", "considered": videos.count(), "fingerprinted": 0, "failed": 0, "clusters": None, "members": None}
         if not self._busy.acquire(blocking=False):
             raise ScanAlreadyRunning()
         try:
-            prints = cut(media.fingerprints(videos, frame, duration), "similar-prints")
+            taken = media.fingerprints(videos, frame, duration) if frames_root is None else media.stored_fingerprints(videos, frames_root)
+            prints = cut(taken, "similar-prints")
             good = prints.where("frames is not null")
             edges = cut(similar.video_edges(good, max_distance), "similar-edges")
             totals = similar.similar_totals(videos, good).first().asDict()

@@ -102,6 +102,28 @@ def recoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return videos.unionByName(videos.withColumn("n", n).select(F.format_string("/vault/video/r_%04d.mp4", "n").alias("path"), flipped.alias("frames")))
 
 
+def _tone(v):
+    """A vector's value as a pixel of 7 bits."""
+    return F.least(F.greatest(F.floor((v + 1) * 63.5), F.lit(0)), F.lit(127)).cast("int")
+
+
+def frame_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to eight vectors as one BMP of 64 pixels a row, as (image, bytes): blue is the tone, green thrice that, red its inverse.
+
+    All bytes are below 128, so that a text file can hold the picture.
+    """
+    e = emb_fp(spark, sf_dir).where("id is not null")
+    rows = [F.min(F.when(F.col("id") % 8 == i, F.col("coefficients"))) for i in range(8)]
+    held = e.groupBy(F.expr("id div 8").alias("image")).agg(F.array_compact(F.array(*rows)).alias("rows"))
+    letter = lambda n: F.call_function("chr", n.cast("long"))
+    pixel = lambda v: F.concat(letter(_tone(v)), letter(_tone(v) * 3 % 128), letter(127 - _tone(v)))
+    # A BMP's two headers, 14 and 40 bytes, for 24 bits a pixel, with the size of eight rows; rows go from the bottom up.
+    zeros = lambda n: F.lit("\0" * n)
+    head = F.concat(F.lit("BM6\6"), zeros(6), F.lit("6"), zeros(3), F.lit("("), zeros(3), F.lit("@"), zeros(3), letter(F.size("rows")), zeros(3), F.lit("\1\0\x18"), zeros(25))
+    body = F.array_join(F.transform(F.reverse("rows"), lambda r: F.array_join(F.transform(r, pixel), "")), "")
+    return held.select("image", F.concat(head, body).alias("bytes"))
+
+
 LEVELS = ["info", "warn", "error", "dry", "real"]
 
 
