@@ -9,10 +9,14 @@ nothing of this module goes into a plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftstone.functions import constants as K
 from siftstone.functions import scalars as S
@@ -25,8 +29,14 @@ INDEXED_DISTANCE = 11
 #: Frames of a video's orientation that are looked up: of eight frames four have to match, so
 #: of any five one does.
 PREFIX_FRAMES = K.FRAMES - K.MIN_MATCHES + 1
-#: Rows of a block in the comparison of all blocks with all.
-BLOCK_ROWS = 4096
+#: Rows of a block in the comparison of all blocks with all: fingerprints of 32 words, hashes of one.
+BLOCK_ROWS = 2048
+BLOCK_HASHES = 16384
+#: Small tables are dealt to as many blocks, so that their cells are many tasks' work; blocks of fewer rows aren't worth a task.
+SPREAD_BLOCKS = 16
+LEAST_ROWS = 256
+#: Pairs that a task compares at a time.
+TILE = 1 << 17
 
 
 def hash_bits(rows: DataFrame, coefficients: str = "coefficients") -> DataFrame:
@@ -88,28 +98,110 @@ def near_hashes(left: DataFrame, right: DataFrame, max_distance: int, also: str
     return met.where((F.bit_count(x) <= max_distance) & earlier & (F.col("m") == lowest)).select("l", "r", F.bit_count(x).alias("distance"))
 
 
-def in_blocks(rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All unordered pairs (l, r) of ``rows``, by blocks: each row goes to the cells of its
-    block's row and column, and cells are equi-joined, so work is spread evenly over any
-    number of tasks and no side is broadcast.  For thresholds that no index can serve."""
-    rows = cut(rows, "blocks")  # both sides and the count read it
-    n = max(1, -(-rows.count() // block_rows))
-    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    row = F.struct(*rows.columns)
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    left = rows.select(row.alias("l"), block.alias("bl")).select("l", "bl", F.explode(others).alias("br"))
-    right = rows.select(row.alias("r"), block.alias("br")).select("r", "br", F.explode(others).alias("bl"))
-    return left.hint("merge").join(right, ["bl", "br"]).where(F.col(f"l.{key}") < F.col(f"r.{key}")).select("l", "r")
+Near = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def near_words(max_distance: int) -> Near:
+    """(i, j, distance) of single hashes at most ``max_distance`` apart; words lie in columns."""
+
+    def near(a: np.ndarray, b: np.ndarray):
+        off = np.bitwise_count(a[0][:, None] ^ b[0])
+        i, j = np.nonzero(off <= max_distance)
+        return i, j, off[i, j]
+
+    return near
+
+
+def near_prints(max_distance: int) -> Near:
+    """(i, j, total distance) of similar fingerprints, given as columns of :func:`_flat`."""
+    turns, frames = K.ORIENTATIONS, K.FRAMES
+
+    def near(a: np.ndarray, b: np.ndarray):
+        (a, whole_a), (b, whole_b) = ((v[: turns * frames].reshape(turns, frames, -1), v[turns * frames :] > 0) for v in (a, b))
+        shape = a.shape[2], b.shape[2]
+        bits, off, hit = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.empty(shape, bool)
+        met = np.zeros(shape, bool)
+        each = [(x, y) for x in range(turns) for y in range(turns)]
+        for x, y in each:
+            matches = np.zeros(shape, np.uint8)
+            for f in range(frames):
+                np.bitwise_xor(a[x, f][:, None], b[y, f], out=bits)
+                np.less_equal(np.bitwise_count(bits, out=off), max_distance, out=hit)
+                matches += hit.view(np.uint8)
+            met |= (matches >= K.MIN_MATCHES) & whole_a[x][:, None] & whole_b[y]
+        i, j = np.nonzero(met)
+        best = np.full(len(i), 64 * frames, np.int32)
+        for x, y in each:  # distances are summed for similar pairs alone
+            off = np.bitwise_count(a[x][:, i] ^ b[y][:, j])
+            match = ((off <= max_distance).sum(0) >= K.MIN_MATCHES) & whole_a[x][i] & whole_b[y][j]
+            best = np.where(match, np.minimum(best, off.sum(0, dtype=np.int32)), best)
+        return i, j, best
+
+    return near
+
+
+def _flat(frames: str) -> Column:
+    """A fingerprint's 32 words, then for each orientation 1 if it has all its frames."""
+    word = lambda k: F.get(F.get(frames, F.floor(k / K.FRAMES).cast("int")), k % K.FRAMES)
+    words = F.transform(F.array(*map(F.lit, range(K.ORIENTATIONS * K.FRAMES))), lambda k: F.coalesce(word(k), F.lit(0).cast("long")))
+    whole = lambda o: F.size(F.filter(F.get(frames, o), lambda h: h.isNotNull())) == K.FRAMES
+    return F.concat(words, F.transform(F.array(*map(F.lit, range(K.ORIENTATIONS))), lambda o: F.when(whole(o), 1).otherwise(0).cast("long")))
+
+
+def _tiles(near: Near, left: np.ndarray, right: np.ndarray, same: bool, tile: int):
+    """``near`` of two blocks, some rows of the left one at a time; each pair once if the blocks are the same."""
+    rows = max(1, tile // max(1, right.shape[1]))
+    for start in range(0, left.shape[1], rows):
+        first = start if same else 0
+        i, j, distance = near(np.ascontiguousarray(left[:, start : start + rows]), right[:, first:])
+        if same:
+            once = i < j
+            i, j, distance = i[once], j[once], distance[once]
+        yield i + start, j + first, distance
+
+
+def _compared(near: Near, tile: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = pa.Table.from_batches(batches).combine_chunks()
+        own, row, column = (cell[c].to_numpy() for c in ("own", "row", "column"))
+        words = cell["words"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(own), -1)
+        key = cell["key"].combine_chunks()
+        at = [np.flatnonzero(own == row), np.flatnonzero(own == column)]
+        left, right = (np.ascontiguousarray(words[x].T) for x in at)
+        for i, j, distance in _tiles(near, left, right, row[0] == column[0], tile):
+            if len(i):
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(at[0][i])), key.take(pa.array(at[1][j])), pa.array(distance.astype(np.int32))], ["a", "b", "distance"])
+
+    return run
+
+
+def in_blocks(rows: DataFrame, key: str, words: Column, near: Near, block_rows: int) -> DataFrame:
+    """(a, b, distance), a < b: the pairs of ``rows`` that ``near`` finds among all unordered pairs.
+
+    ``words`` has as many longs in every row.  Each row goes once to each pair of blocks that its own is
+    in, and such a cell is one task's work: two blocks of bounded size, compared in bounded tiles.  No side
+    is broadcast.  For thresholds that no index can serve: pairs are quadratic, so only their cost is kept low.
+    """
+    rows = cut(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), words.alias("words")), "blocks")  # the count reads it too
+    count = rows.count()
+    n = max(1, -(-count // block_rows), min(SPREAD_BLOCKS, -(-count // LEAST_ROWS)))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    cells = dealt.select("key", "words", "own", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"))
+    cells = cells.repartition(n * (n + 1) // 2, "row", "column")
+    of = rows.schema["key"].dataType
+    kind = T.StructType([T.StructField("a", of), T.StructField("b", of), T.StructField("distance", T.IntegerType())])
+    met = cells.groupBy("row", "column").applyInArrow(_compared(near, TILE), kind)
+    return met.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 
 def hamming_pairs(rows: DataFrame, max_distance: int, key: str = "id") -> DataFrame:
     """(id_a, id_b, distance) with id_a < id_b, for hashes at most ``max_distance`` apart."""
     if max_distance <= INDEXED_DISTANCE:
         met = near_hashes(rows.select(key, "hash"), rows.select(key, "hash"), max_distance).where(F.col(f"l.{key}") < F.col(f"r.{key}"))
+        met = met.select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), "distance")
     else:
-        pairs = in_blocks(rows.select(key, "hash"), key)
-        met = pairs.withColumn("distance", S.hamming("l.hash", "r.hash")).where(F.col("distance") <= max_distance)
-    return met.select(F.col(f"l.{key}").alias("id_a"), F.col(f"r.{key}").alias("id_b"), F.col("distance").cast("int").alias("distance"))
+        met = in_blocks(rows.where("hash is not null"), key, F.array("hash"), near_words(max_distance), BLOCK_HASHES)
+    return met.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.col("distance").cast("int").alias("distance"))
 
 
 def _pair_distance(a: str, b: str, max_distance: int) -> Column:
@@ -161,10 +253,10 @@ def video_edges(fingerprints: DataFrame, max_distance: int = K.MAX_DISTANCE) ->
         a = classes.select(F.col("id").alias("id_a"), F.col("frames").alias("fa"))
         b = classes.select(F.col("id").alias("id_b"), F.col("frames").alias("fb"))
         met = _met_videos(classes, max_distance).join(a, "id_a").join(b, "id_b")
+        near = met.select("id_a", "id_b", _pair_distance("fa", "fb", max_distance).alias("total")).where("total is not null")
     else:
-        cells = in_blocks(classes, "id")
-        met = cells.select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"), F.col("l.frames").alias("fa"), F.col("r.frames").alias("fb"))
-    near = met.select("id_a", "id_b", _pair_distance("fa", "fb", max_distance).alias("total")).where("total is not null")
+        met = in_blocks(classes, "id", _flat("frames"), near_prints(max_distance), BLOCK_ROWS)
+        near = met.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.col("distance").alias("total"))
     alike = named.where("n > 1").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("total"))
     near = cut(near.unionByName(alike), "video-near")
     members = rows.select("path", "d1", "d2").distinct().join(named.select("d1", "d2", "id"), ["d1", "d2"]).select("id", "path")
