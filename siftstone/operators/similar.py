@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,37 +160,81 @@ def _tiles(near: Near, left: np.ndarray, right: np.ndarray, same: bool, tile: in
         yield i + start, j + first, distance
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray, bool]:
+    """A cell's rows, where those of its two blocks lie, the blocks' words in columns, and whether it is one block."""
+    cell = pa.Table.from_batches(batches).combine_chunks()
+    own, row, column = (cell[c].to_numpy() for c in ("own", "row", "column"))
+    words = cell["words"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(own), -1)
+    at = [np.flatnonzero(own == row), np.flatnonzero(own == column)]
+    left, right = (np.ascontiguousarray(words[x].T) for x in at)
+    return cell, at, left, right, bool(row[0] == column[0])
+
+
 def _compared(near: Near, tile: int):
+    """The pairs of a cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = pa.Table.from_batches(batches).combine_chunks()
-        own, row, column = (cell[c].to_numpy() for c in ("own", "row", "column"))
-        words = cell["words"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(own), -1)
+        cell, at, left, right, same = _opened(batches)
         key = cell["key"].combine_chunks()
-        at = [np.flatnonzero(own == row), np.flatnonzero(own == column)]
-        left, right = (np.ascontiguousarray(words[x].T) for x in at)
-        for i, j, distance in _tiles(near, left, right, row[0] == column[0], tile):
+        for i, j, distance in _tiles(near, left, right, same, tile):
             if len(i):
                 yield pa.RecordBatch.from_arrays([key.take(pa.array(at[0][i])), key.take(pa.array(at[1][j])), pa.array(distance.astype(np.int32))], ["a", "b", "distance"])
 
     return run
 
 
-def in_blocks(rows: DataFrame, key: str, words: Column, near: Near, block_rows: int) -> DataFrame:
-    """(a, b, distance), a < b: the pairs of ``rows`` that ``near`` finds among all unordered pairs.
+def joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``root`` (each node's root, the least of its component) after the links i - j."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def _summed(near: Near, tile: int):
+    """A cell's pairs as sums of their left rows, and as a forest that links the same rows: a row for each row at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, at, left, right, same = _opened(batches)
+        key, copies = cell["key"].to_numpy(), cell["copies"].to_numpy()
+        root, n, total = np.arange(len(key)), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        for i, j, distance in _tiles(near, left, right, same, tile):
+            i, j = at[0][i], at[1][j]
+            pairs = copies[i] * copies[j]
+            np.add.at(n, i, pairs)
+            np.add.at(total, i, pairs * distance)
+            root = joined(root, i, j)
+        kept = np.flatnonzero((n > 0) | (root != np.arange(len(root))))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[kept], key[root[kept]], n[kept], total[kept])], ["node", "root", "n", "total"])
 
-    ``words`` has as many longs in every row.  Each row goes once to each pair of blocks that its own is
-    in, and such a cell is one task's work: two blocks of bounded size, compared in bounded tiles.  No side
-    is broadcast.  For thresholds that no index can serve: pairs are quadratic, so only their cost is kept low.
+    return run
+
+
+def _cells(rows: DataFrame, block_rows: int) -> GroupedData:
+    """``rows`` (key, words: as many longs in every row, and what else is needed) dealt to cells of two blocks.
+
+    Each row goes once to each pair of blocks that its own is in, and such a cell is one task's work: two blocks
+    of bounded size, compared in bounded tiles.  No side is broadcast.  For thresholds that no index can serve:
+    pairs are quadratic, so only their cost is kept low.
     """
-    rows = cut(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), words.alias("words")), "blocks")  # the count reads it too
+    rows = cut(rows.where("key is not null"), "blocks")  # the count reads it too
     count = rows.count()
     n = max(1, -(-count // block_rows), min(SPREAD_BLOCKS, -(-count // LEAST_ROWS)))
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    cells = dealt.select("key", "words", "own", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"))
-    cells = cells.repartition(n * (n + 1) // 2, "row", "column")
-    of = rows.schema["key"].dataType
+    cells = dealt.withColumn("row", F.least("own", "other")).withColumn("column", F.greatest("own", "other")).drop("other")
+    return cells.repartition(n * (n + 1) // 2, "row", "column").groupBy("row", "column")
+
+
+def in_blocks(rows: DataFrame, key: str, words: Column, near: Near, block_rows: int) -> DataFrame:
+    """(a, b, distance), a < b: the pairs of ``rows`` that ``near`` finds among all unordered pairs (see :func:`_cells`)."""
+    of = rows.schema[key].dataType
     kind = T.StructType([T.StructField("a", of), T.StructField("b", of), T.StructField("distance", T.IntegerType())])
-    met = cells.groupBy("row", "column").applyInArrow(_compared(near, TILE), kind)
+    met = _cells(rows.select(F.col(key).alias("key"), words.alias("words")), block_rows).applyInArrow(_compared(near, TILE), kind)
     return met.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 
@@ -235,6 +279,23 @@ def _met_videos(classes: DataFrame, max_distance: int) -> DataFrame:
     return near.where(F.col("l.id") < F.col("r.id")).select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b")).distinct()
 
 
+def _classes(fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal fingerprints (id, d1, d2, frames, n: paths), and their members (id, path)."""
+    digests = [F.xxhash64("frames").alias("d1"), F.xxhash64(F.lit(1), "frames").alias("d2")]
+    rows = cut(fingerprints.where("frames is not null").select("path", "frames", *digests).dropDuplicates(["path", "d1", "d2"]), "video-prints")
+    named = rows.groupBy("d1", "d2").agg(F.first("frames").alias("frames"), F.count(F.lit(1)).alias("n"))
+    named = cut(named.withColumn("id", F.monotonically_increasing_id()), "video-classes")  # ids are fixed once written
+    return named, rows.select("path", "d1", "d2").join(named.select("d1", "d2", "id"), ["d1", "d2"]).select("id", "path")
+
+
+def _indexed(classes: DataFrame, max_distance: int) -> DataFrame:
+    """(id_a, id_b, total) of similar classes that the index finds."""
+    a = classes.select(F.col("id").alias("id_a"), F.col("frames").alias("fa"))
+    b = classes.select(F.col("id").alias("id_b"), F.col("frames").alias("fb"))
+    met = _met_videos(classes, max_distance).join(a, "id_a").join(b, "id_b")
+    return met.select("id_a", "id_b", _pair_distance("fa", "fb", max_distance).alias("total")).where("total is not null")
+
+
 def video_edges(fingerprints: DataFrame, max_distance: int = K.MAX_DISTANCE) -> DataFrame:
     """(path_a, path_b, total_distance, avg_distance), path_a < path_b.
 
@@ -244,27 +305,48 @@ def video_edges(fingerprints: DataFrame, max_distance: int = K.MAX_DISTANCE) ->
     Frames are fetched for distinct pairs alone.  Beyond that distance, where half of all unlike frames would
     meet, all blocks are compared with all.
     """
-    digests = [F.xxhash64("frames").alias("d1"), F.xxhash64(F.lit(1), "frames").alias("d2")]
-    rows = cut(fingerprints.where("frames is not null").select("path", "frames", *digests), "video-prints")
-    named = rows.groupBy("d1", "d2").agg(F.first("frames").alias("frames"), F.count(F.lit(1)).alias("n"))
-    named = cut(named.withColumn("id", F.monotonically_increasing_id()), "video-classes")  # ids are fixed once written
-    classes = named.select("id", "frames")
+    named, members = _classes(fingerprints)
     if max_distance <= INDEXED_DISTANCE:
-        a = classes.select(F.col("id").alias("id_a"), F.col("frames").alias("fa"))
-        b = classes.select(F.col("id").alias("id_b"), F.col("frames").alias("fb"))
-        met = _met_videos(classes, max_distance).join(a, "id_a").join(b, "id_b")
-        near = met.select("id_a", "id_b", _pair_distance("fa", "fb", max_distance).alias("total")).where("total is not null")
+        near = _indexed(named.select("id", "frames"), max_distance)
     else:
-        met = in_blocks(classes, "id", _flat("frames"), near_prints(max_distance), BLOCK_ROWS)
+        met = in_blocks(named, "id", _flat("frames"), near_prints(max_distance), BLOCK_ROWS)
         near = met.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.col("distance").alias("total"))
     alike = named.where("n > 1").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("total"))
     near = cut(near.unionByName(alike), "video-near")
-    members = rows.select("path", "d1", "d2").distinct().join(named.select("d1", "d2", "id"), ["d1", "d2"]).select("id", "path")
     both = near.join(members.select(F.col("id").alias("id_a"), F.col("path").alias("p")), "id_a").join(members.select(F.col("id").alias("id_b"), F.col("path").alias("q")), "id_b")
     both = both.where((F.col("id_a") != F.col("id_b")) | (F.col("p") < F.col("q")))
     return both.select(F.least("p", "q").alias("path_a"), F.greatest("p", "q").alias("path_b"), F.col("total").cast("long").alias("total_distance"), (F.col("total") / K.FRAMES).alias("avg_distance"))
 
 
+def video_clusters(fingerprints: DataFrame, max_distance: int = K.MAX_DISTANCE) -> DataFrame:
+    """``clusters(video_edges(fingerprints, max_distance))`` without a row for each edge.
+
+    Classes of equal fingerprints stay one node, whose number of paths is the weight of its pairs.  Beyond
+    the index's distance a cell of two blocks hands on the sums of its rows and a forest that links what its pairs link.
+    """
+    named, members = _classes(fingerprints)
+    if max_distance <= INDEXED_DISTANCE:
+        near = _indexed(named.select("id", "frames"), max_distance)
+        a, b = (named.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+        pairs = F.col("n_a") * F.col("n_b")
+        sums = near.join(a, "id_a").join(b, "id_b").select(F.col("id_a").alias("node"), F.col("id_b").alias("root"), pairs.alias("n"), (pairs * F.col("total")).alias("total"))
+    else:
+        cells = _cells(named.select(F.col("id").alias("key"), _flat("frames").alias("words"), F.col("n").alias("copies")), BLOCK_ROWS)
+        sums = cells.applyInArrow(_summed(near_prints(max_distance), TILE), "node long, root long, n long, total long")
+    sums = cut(sums, "video-sums")
+    members = cut(members, "video-members")
+    # A path that is listed with several fingerprints links their classes.
+    twice = members.groupBy("path").agg(F.min("id").alias("u"), F.collect_set("id").alias("all")).where(F.size("all") > 1).select("u", F.explode("all").alias("v"))
+    found = components(sums.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(twice)).withColumnRenamed("node", "id")
+    classes = cut(named.select("id", "n").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("alike")), "video-roots")
+    per = sums.groupBy(F.col("node").alias("id")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    edges = F.sum(F.col("alike") + F.coalesce("n", F.lit(0)))
+    inside = classes.join(per, "id", "left").groupBy("root").agg(edges.alias("n_edges"), F.coalesce(F.sum("total"), F.lit(0)).cast("long").alias("total_distance"))
+    paths = members.join(classes, "id").select("root", "path").distinct().groupBy("root").agg(F.min("path").alias("cluster"), F.count(F.lit(1)).alias("size"))
+    mean = (F.col("total_distance") / K.FRAMES / F.col("n_edges")).alias("avg_distance")
+    return paths.where("size > 1").join(inside, "root").select("cluster", "size", "n_edges", "total_distance", mean).orderBy(F.desc("size"), "avg_distance", "cluster")
+
+
 def clusters(edges: DataFrame) -> DataFrame:
     """(cluster, size, n_edges, total_distance, avg_distance) of each component of two or
     more; named by its first path.  The mean is over qualifying pairs alone."""

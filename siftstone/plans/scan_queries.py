@@ -8,7 +8,7 @@ from siftstone.functions import scalars as S
 from siftstone.operators import cache, dedupe, inventory, reports, similar
 from siftstone.operators.inventory import ScanOptions
 from siftstone.plans import fixtures as X
-from siftstone.plans.catalogue import _CLUSTERS, register, video_edges_within
+from siftstone.plans.catalogue import _CLUSTERS, register
 from siftstone.plans.fixtures import sql
 
 # --- walks -----------------------------------------------------------------------------
@@ -345,7 +345,7 @@ def hamming_recoded(spark, sf_dir):
     + """select n.cluster, avg(e.total_distance / 8.0::double) as avg_distance from edges e join named n on e.path_a = n.path group by n.cluster""",
 )
 def similar_cluster_means(spark, sf_dir):
-    return similar.clusters(video_edges_within(spark, sf_dir, 26)).select("cluster", "avg_distance")
+    return similar.video_clusters(X.emb_video(spark, sf_dir), 26).select("cluster", "avg_distance")
 
 
 # --- scalars ---------------------------------------------------------------------------
