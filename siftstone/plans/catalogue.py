@@ -10,7 +10,7 @@ from siftstone.operators.inventory import ScanOptions
 from siftstone.plans import fixtures as X
 from siftstone.plans.fixtures import sql
 from siftstone.sources import media
-from siftstone.sources.scratch import cut, scratch_path
+from siftstone.sources.scratch import scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -463,11 +463,6 @@ def hamming_pairs_default(spark, sf_dir):
     return similar.hamming_pairs(similar.hash_bits(X.emb_fp(spark, sf_dir)).select("id", "hash"), 10)
 
 
-def video_edges_within(spark, sf_dir, max_distance):
-    """Edges as a table, as clusters read them twice."""
-    return cut(similar.video_edges(X.emb_video(spark, sf_dir), max_distance), "video-edges")
-
-
 @register("video_edges", sql("emb_fp video", "select path_a, path_b, total_distance from edges", distance=26))
 def video_edges(spark, sf_dir):
     return similar.video_edges(X.emb_video(spark, sf_dir), 26).select("path_a", "path_b", "total_distance")
@@ -487,7 +482,7 @@ _CLUSTERS = """, reach(a, b) as (
     from edges e join (select *, count(*) over (partition by cluster) as size from named) n on e.path_a = n.path group by n.cluster""",
 )
 def similar_clusters(spark, sf_dir):
-    return similar.clusters(video_edges_within(spark, sf_dir, 26)).select("cluster", "size", "n_edges", "total_distance")
+    return similar.video_clusters(X.emb_video(spark, sf_dir), 26).select("cluster", "size", "n_edges", "total_distance")
 
 
 @register(
